@@ -1,4 +1,4 @@
 """All registered queries; importing this package fills the registry."""
 
-from . import tokens_and_labels  # noqa: F401
+from . import span_metrics, tokens_and_labels  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
