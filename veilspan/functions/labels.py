@@ -1,4 +1,8 @@
-"""Label arrays <-> spans, all within a row."""
+"""Label arrays <-> spans, all within a row.
+
+Names ending in ``_sql`` map SQL text to SQL text; the others wrap them as columns.
+Spans are ``struct<start,end>`` over tokens unless said otherwise.
+"""
 
 from __future__ import annotations
 
@@ -6,212 +10,197 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import BEGIN, INSIDE, OUTSIDE
-from .text import collapse_space, fold_case
-from .tokens import let, regex_spans, token_span
+from .tokens import bind, regex_spans_sql, token_span_sql
+
+SPANS = "array<struct<start:int,end:int>>"
+
 
+def _bounds(spans: str) -> str:
+    return f"transform({spans}, s -> named_struct('start', int(s.start), 'end', int(s.`end`)))"
 
-def label_codes(labels: Column) -> Column:
+
+# --- readers -----------------------------------------------------------------------------
+def label_codes_sql(labels: str) -> str:
     """One letter per label, so span readers become one regex pass."""
-    return F.array_join(
-        F.transform(
-            labels,
-            lambda x: F.when(x == BEGIN, "B").when(x == INSIDE, "I").otherwise("O"),
-        ),
-        "",
+    return (
+        f"array_join(transform({labels}, x -> case x when '{BEGIN}' then 'B' when '{INSIDE}' then 'I' else 'O' end), '')"
     )
 
 
-def _bounds(spans: Column) -> Column:
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+def spans_lenient_sql(labels: str) -> str:
+    return _bounds(regex_spans_sql(label_codes_sql(labels), "BI*"))
+
 
+def spans_scoring_sql(labels: str) -> str:
+    return _bounds(regex_spans_sql(label_codes_sql(labels), "BI*|I+"))
 
-def spans_lenient(labels: Column) -> Column:
+
+def spans_lenient(labels: str) -> Column:
     """A span opens only at B; an orphan I is ignored."""
-    return _bounds(regex_spans(label_codes(labels), "BI*"))
+    return F.expr(spans_lenient_sql(labels))
 
 
-def spans_scoring(labels: Column) -> Column:
+def spans_scoring(labels: str) -> Column:
     """The chunk reading used for P/R/F1: an orphan I opens a span."""
-    return _bounds(regex_spans(label_codes(labels), "BI*|I+"))
+    return F.expr(spans_scoring_sql(labels))
 
 
-def has_positive(labels: Column) -> Column:
-    return F.exists(labels, lambda x: x != OUTSIDE)
+def has_positive(labels: str) -> Column:
+    return F.expr(f"exists({labels}, x -> x <> '{OUTSIDE}')")
 
 
-def positive_count(labels: Column) -> Column:
-    return F.size(F.filter(labels, lambda x: x != OUTSIDE))
+def positive_count(labels: str) -> Column:
+    return F.expr(f"size(filter({labels}, x -> x <> '{OUTSIDE}'))")
 
 
-def _paint(count: Column, ordered: Column) -> Column:
+# --- writers -----------------------------------------------------------------------------
+def _paint(count: str, ordered: str) -> str:
     """Labels from spans in painting order: the last span covering a token wins."""
     def painted(spans):
-        def label(i):
-            cover = F.filter(spans, lambda s: (s["start"] <= i) & (i < s["end"]))
-            return let(
-                F.try_element_at(cover, F.lit(-1)),
-                lambda top: F.when(top.isNull(), OUTSIDE).when(top["start"] == i, BEGIN).otherwise(INSIDE),
-            )
-
-        return F.when(F.size(spans) == 0, F.array_repeat(F.lit(OUTSIDE), count)).when(
-            count > 0, F.transform(F.sequence(F.lit(0), count - 1), label)
-        ).otherwise(F.array().cast("array<string>"))
+        cover = f"filter({spans}, s -> s.start <= i and i < s.`end`)"
+        label = bind(
+            f"try_element_at({cover}, -1)",
+            lambda t: f"case when {t} is null then '{OUTSIDE}' when {t}.start = i then '{BEGIN}' else '{INSIDE}' end",
+        )
+        return (
+            f"if(size({spans}) = 0 or {count} = 0, array_repeat('{OUTSIDE}', {count}), "
+            f"transform(sequence(0, greatest({count}, 1) - 1), i -> {label}))"
+        )
 
-    return let(ordered, painted)
+    return bind(ordered, painted)
 
 
-def labels_from_token_spans(count: Column, spans: Column) -> Column:
+def labels_from_token_spans(count: str, spans: str) -> Column:
     """Token spans painted in (start, end) order; spans out of range are skipped."""
-    return let(count, lambda n: _paint(n, F.filter(
-        F.array_sort(_bounds(spans)),
-        lambda s: (s["start"] >= 0) & (s["end"] <= n) & (s["end"] > s["start"]),
-    )))
+    return F.expr(bind(count, lambda n: _paint(n, (
+        f"filter(array_sort({_bounds(spans)}), s -> s.start >= 0 and s.`end` <= {n} and s.`end` > s.start)"
+    ))))
 
 
-def project_spans(starts: Column, ends: Column, spans: Column) -> Column:
+def project_spans_sql(starts: str, ends: str, spans: str) -> str:
     """Character spans (in order) to token spans; those touching no token vanish."""
-    def projected(pair):
-        return F.filter(
-            F.transform(spans, lambda s: token_span(pair["starts"], pair["ends"], s["start"], s["end"])),
-            lambda s: s.isNotNull(),
-        )
-
-    return let(F.struct(starts.alias("starts"), ends.alias("ends")), projected)
+    return bind(f"named_struct('a', {starts}, 'b', {ends})", lambda p: (
+        f"filter(transform({spans}, s -> {token_span_sql(f'{p}.a', f'{p}.b', 's.start', 's.`end`')}), t -> t is not null)"
+    ))
 
 
-def labels_from_char_spans(starts: Column, ends: Column, spans: Column) -> Column:
+def labels_from_char_spans(starts: str, ends: str, spans: str) -> Column:
     """Annotations painted in (start, end) order, each overwriting the earlier."""
-    return _paint(F.size(starts), project_spans(starts, ends, F.array_sort(_bounds(spans))))
+    return F.expr(_paint(f"size({starts})", project_spans_sql(starts, ends, f"array_sort({_bounds(spans)})")))
 
 
-def merge_intervals(spans: Column) -> Column:
+def merge_intervals_sql(spans: str) -> str:
     """Union of character intervals; touching intervals join."""
-    kind = "array<struct<start:int,end:int>>"
+    step = bind("try_element_at(acc, -1)", lambda t: (
+        f"if({t} is null or s.start > {t}.`end`, concat(acc, array(s)), "
+        f"concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', {t}.start, 'end', greatest({t}.`end`, s.`end`)))))"
+    ))
+    return f"aggregate(array_sort({_bounds(spans)}), cast(array() as {SPANS}), (acc, s) -> cast({step} as {SPANS}))"
 
-    def step(acc, s):
-        grown = lambda top: F.concat(
-            F.slice(acc, 1, F.size(acc) - 1),
-            F.array(F.struct(top["start"].alias("start"), F.greatest(top["end"], s["end"]).alias("end"))),
-        )
-        return let(
-            F.try_element_at(acc, F.lit(-1)),
-            lambda top: F.when(top.isNull() | (s["start"] > top["end"]), F.concat(acc, F.array(s)))
-            .otherwise(grown(top)),
-        )
 
-    ordered = F.array_sort(_bounds(spans)).cast(kind)
-    return F.aggregate(ordered, F.array().cast(kind), lambda acc, s: step(acc, s).cast(kind))
+def merge_intervals(spans: str) -> Column:
+    return F.expr(merge_intervals_sql(spans))
 
 
-def labels_from_merged_spans(starts: Column, ends: Column, spans: Column) -> Column:
-    return _paint(F.size(starts), project_spans(starts, ends, merge_intervals(spans)))
+def labels_from_merged_spans(starts: str, ends: str, spans: str) -> Column:
+    return F.expr(_paint(f"size({starts})", project_spans_sql(starts, ends, merge_intervals_sql(spans))))
 
 
-def labels_to_mask(labels: Column) -> Column:
-    return F.transform(labels, lambda x: x != OUTSIDE)
+def labels_to_mask(labels: str) -> Column:
+    return F.expr(f"transform({labels}, x -> x <> '{OUTSIDE}')")
 
 
-def mask_to_labels(mask: Column) -> Column:
+def mask_to_labels(mask: str) -> Column:
     """Runs of true become B I I ...; adjacent spans fuse."""
-    return let(mask, lambda ms: F.transform(
-        ms,
-        lambda m, i: F.when(~m, OUTSIDE)
-        .when(F.coalesce(F.get(ms, i - 1), F.lit(False)), INSIDE)
-        .otherwise(BEGIN),
-    ))
+    return F.expr(bind(mask, lambda ms: (
+        f"transform({ms}, (m, i) -> case when not m then '{OUTSIDE}' "
+        f"when coalesce(get({ms}, i - 1), false) then '{INSIDE}' else '{BEGIN}' end)"
+    )))
+
+
+# --- span predicates and views -------------------------------------------------------------
+def overlap_sql(a: str, b: str) -> str:
+    return f"({a}.start < {b}.`end` and {b}.start < {a}.`end`)"
+
+
+def overlaps_any(span: str, others: str) -> Column:
+    return F.expr(bind(span, lambda s: f"exists({others}, o -> {overlap_sql(s, 'o')})"))
+
+
+def overlap_count(span: str, others: str) -> Column:
+    return F.expr(bind(span, lambda s: f"size(filter({others}, o -> {overlap_sql(s, 'o')}))"))
 
 
-def overlaps(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+def span_text_sql(tokens: str, span: str) -> str:
+    return f"array_join(slice({tokens}, {span}.start + 1, {span}.`end` - {span}.start), ' ')"
 
 
-def overlaps_any(span: Column, others: Column) -> Column:
-    return F.exists(others, lambda o: overlaps(span, o))
+def span_text(tokens: str, span: str) -> Column:
+    return F.expr(span_text_sql(tokens, span))
 
 
-def span_text(tokens: Column, span: Column) -> Column:
-    return F.array_join(F.slice(tokens, span["start"] + 1, span["end"] - span["start"]), " ")
+def _part(tokens: str, a: str, b: str) -> str:
+    return f"slice({tokens}, {a} + 1, greatest(0, {b} - ({a})))"
 
 
-def preview(tokens: Column, span: Column, window: int = 8) -> Column:
+def preview(tokens: str, span: str, window: int = 8) -> Column:
     """Tokens around a span with ``[[`` and ``]]`` around it."""
-    n = F.size(tokens)
-    left = F.greatest(F.lit(0), span["start"] - window)
-    right = F.least(n, span["end"] + window)
-    part = lambda a, b: F.slice(tokens, a + 1, F.greatest(F.lit(0), b - a))
-    return F.array_join(
-        F.concat(
-            part(left, span["start"]),
-            F.array(F.lit("[[")),
-            part(span["start"], span["end"]),
-            F.array(F.lit("]]")),
-            part(span["end"], right),
-        ),
-        " ",
+    s, e = f"{span}.start", f"{span}.`end`"
+    lo, hi = f"greatest(0, {s} - {window})", f"least(size({tokens}), {e} + {window})"
+    return F.expr(
+        f"array_join(concat({_part(tokens, lo, s)}, array('[['), {_part(tokens, s, e)}, array(']]'), "
+        f"{_part(tokens, e, hi)}), ' ')"
     )
 
 
-def masked_preview(tokens: Column, target: Column, gold: Column, pred: Column, window: int = 6) -> Column:
+def masked_preview(tokens: str, target: str, gold: str, pred: str, window: int = 6) -> Column:
     """Preview with spans replaced by markers; the first marker at a position wins.
 
     Walks the markers (few) rather than the tokens: a marker only counts when its
     start is not already hidden behind an earlier marker.
     """
-    return let(F.struct(
-        target["start"].alias("start"), target["end"].alias("end"),
-        F.greatest(F.lit(0), target["start"] - window).alias("lo"),
-        F.least(F.size(tokens), target["end"] + window).alias("hi"),
-        tokens.alias("tokens"),
-    ), lambda t: _masked(t, gold, pred))
-
-
-def _masked(t: Column, gold: Column, pred: Column) -> Column:
-    tokens, lo, hi, target = t["tokens"], t["lo"], t["hi"], t
-
-    def marks(spans, name):
-        kept = F.filter(
-            spans,
-            lambda s: ~((s["start"] == target["start"]) & (s["end"] == target["end"]))
-            & (s["end"] > lo) & (s["start"] < hi) & (s["start"] >= lo),
+    def walk(t):
+        def marks(spans, rank, name):
+            return (
+                f"transform(filter({spans}, s -> not (s.start = {t}.s and s.`end` = {t}.e) "
+                f"and s.`end` > {t}.lo and s.start < {t}.hi and s.start >= {t}.lo), "
+                f"s -> named_struct('start', s.start, 'end', s.`end`, 'rank', {rank}, 'mark', '{name}'))"
+            )
+
+        own = f"array(named_struct('start', {t}.s, 'end', {t}.e, 'rank', 0, 'mark', '[TARGET_SPAN]'))"
+        ordered = f"array_sort(concat({own}, {marks(gold, 1, '[GOLD_SPAN]')}, {marks(pred, 2, '[PRED_SPAN]')}))"
+        step = (
+            f"if(m.start < a.at, a, named_struct('at', m.`end`, 'out', "
+            f"concat(a.out, {_part(f'{t}.w', 'a.at', 'm.start')}, array(m.mark))))"
         )
-        return F.transform(kept, lambda s: F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), F.lit(name).alias("mark")))
-
-    own = F.array(F.struct(target["start"].alias("start"), target["end"].alias("end"),
-                           F.lit("[TARGET_SPAN]").alias("mark")))
-    rank = lambda m: F.when(m == "[TARGET_SPAN]", 0).when(m == "[GOLD_SPAN]", 1).otherwise(2)
-    ordered = F.array_sort(F.transform(
-        F.concat(own, marks(gold, "[GOLD_SPAN]"), marks(pred, "[PRED_SPAN]")),
-        lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"),
-                           rank(m["mark"]).alias("rank"), m["mark"].alias("mark")),
+        done = f"aggregate({ordered}, named_struct('at', {t}.lo, 'out', cast(array() as array<string>)), (a, m) -> {step})"
+        return bind(done, lambda d: f"array_join(concat({d}.out, {_part(f'{t}.w', f'{d}.at', f'{t}.hi')}), ' ')")
+
+    s, e = f"{target}.start", f"{target}.`end`"
+    return F.expr(bind(
+        f"named_struct('s', {s}, 'e', {e}, 'lo', greatest(0, {s} - {window}), "
+        f"'hi', least(size({tokens}), {e} + {window}), 'w', {tokens})",
+        walk,
     ))
-    piece = lambda a, b: F.slice(tokens, a + 1, F.greatest(F.lit(0), b - a))
-    walked = F.aggregate(
-        ordered,
-        F.struct(lo.cast("int").alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, m: F.when(m["start"] < a["at"], a).otherwise(F.struct(
-            m["end"].cast("int").alias("at"),
-            F.concat(a["out"], piece(a["at"], m["start"]), F.array(m["mark"])).alias("out"),
-        )),
-    )
-    return F.array_join(F.concat(walked["out"], piece(walked["at"], hi)), " ")
 
 
-def find_subsequence(tokens: Column, target: Column) -> Column:
+def find_subsequence(tokens: str, target: str) -> Column:
     """First case-folded occurrence of ``target`` in ``tokens``; null when empty or absent."""
-    key = lambda arr: F.transform(arr, lambda t: fold_case(collapse_space(t)))
-
-    def search(pair):
-        have, want = pair["have"], pair["want"]
-        m = F.size(want)
-        starts = F.when((m > 0) & (F.size(have) >= m), F.filter(
-            F.sequence(F.lit(0), F.size(have) - m),
-            lambda i: (F.get(have, i) == F.get(want, F.lit(0))) & (F.slice(have, i + 1, m) == want),
-        ))
-        return let(F.get(starts, F.lit(0)), lambda at: F.when(
-            at.isNotNull(), F.struct(at.alias("start"), (at + m).alias("end"))))
-
-    return let(F.struct(
-        key(tokens).alias("have"),
-        F.filter(key(target), lambda t: t != "").alias("want"),
-    ), search)
+    from .text import SPACE_CLASS
+    from .tokens import sql_text
+
+    key = lambda arr: (
+        f"transform({arr}, t -> replace(lower(trim(regexp_replace(t, {sql_text(f'[{SPACE_CLASS}]+')}, ' '))), 'ß', 'ss'))"
+    )
+
+    def search(p):
+        m = f"size({p}.w)"
+        starts = (
+            f"if({m} > 0 and size({p}.h) >= {m}, filter(sequence(0, greatest(size({p}.h) - {m}, 0)), "
+            f"i -> get({p}.h, i) = get({p}.w, 0) and slice({p}.h, i + 1, {m}) = {p}.w), null)"
+        )
+        return bind(f"get({starts}, 0)", lambda at: (
+            f"if({at} is null, null, named_struct('start', {at}, 'end', {at} + {m}))"))
+
+    return F.expr(bind(
+        f"named_struct('h', {key(tokens)}, 'w', filter({key(target)}, t -> t <> ''))", search))

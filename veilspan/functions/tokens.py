@@ -3,32 +3,46 @@
 Both are computed inside one row with built-in array functions, so no operator
 that needs offsets has to shuffle.  Offsets are sums of ``length()`` values (code
 points), never positions from the regex engine (UTF-16 units).
+
+Helpers here and in :mod:`labels` take and return SQL text and are wrapped by
+``F.expr`` at the edge: one parse instead of hundreds of calls into the JVM.  An
+argument is a column name or any SQL expression.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import itertools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import SPACE_CLASS, TOKEN_PATTERN
 
 _BLOCK = 32
+_fresh = itertools.count()
 
 
-def tokenize(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
+def sql_text(value: str) -> str:
+    """A raw string literal."""
+    quote = '"' if '"' not in value else "'"
+    return f"r{quote}{value}{quote}"
 
 
-def let(value: Column, body) -> Column:
-    """Bind ``value`` once for use inside lambdas.
+def bind(value: str, body) -> str:
+    """Bind ``value`` once: a column named inside a lambda is evaluated per element.
 
-    A column mentioned inside a lambda body is evaluated again for every element
-    (the optimiser may even inline a whole regex there).  A lambda variable is not.
+    (The optimiser may even inline a whole regex there; a lambda variable it cannot.)
     """
+    name = f"v{next(_fresh)}"
+    return f"transform(array({value}), {name} -> {body(name)})[0]"
+
+
+def let(value: Column, body) -> Column:
+    """:func:`bind` for columns."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def explode_rows(df, array: Column, name: str):
+def explode_rows(df: DataFrame, array: Column | str, name: str) -> DataFrame:
     """One row per element; rows with an empty array vanish.
 
     A plain ``explode`` makes the optimiser push ``size(array) > 0`` below every
@@ -37,83 +51,89 @@ def explode_rows(df, array: Column, name: str):
     return df.withColumn(name, F.explode_outer(array)).filter(F.col(name).isNotNull())
 
 
-def _running(arr: Column, base: Column) -> Column:
-    return F.aggregate(
-        arr,
-        F.struct(base.alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x).alias("at"),
-            F.concat(a["out"], F.array(a["at"] + x)).alias("out"),
-        ),
-        lambda a: a["out"],
+def _running(arr: str, base: str) -> str:
+    return (
+        f"aggregate({arr}, named_struct('at', {base}, 'out', cast(array() as array<int>)), "
+        "(a, x) -> named_struct('at', a.at + x, 'out', concat(a.out, array(a.at + x))), a -> a.out)"
     )
 
 
-def prefix_ends(lengths: Column) -> Column:
+def prefix_ends_sql(lengths: str) -> str:
     """Inclusive prefix sums of an int array.
 
     Appending to an array inside ``aggregate`` is quadratic, so sums run over
     blocks of 32 and then within each block: a 20,000-word text costs about 600
     appends for the blocks plus at most 32 per block.
     """
-    def blocked(ls):
-        blocks = F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(ls) - 1) / _BLOCK).cast("int")),
-            lambda b: F.slice(ls, b * _BLOCK + 1, F.lit(_BLOCK)),
+    def shifted(bs):
+        totals = f"transform({bs}, k -> aggregate(k, 0, (a, x) -> a + x))"
+        return bind(
+            f"concat(array(0), {_running(totals, '0')})",
+            lambda bases: f"flatten(transform({bs}, (k, i) -> {_running('k', f'get({bases}, i)')}))",
         )
 
-        def shifted(bs):
-            totals = F.transform(bs, lambda blk: F.aggregate(blk, F.lit(0), lambda a, x: a + x))
-            return let(
-                F.concat(F.array(F.lit(0)), _running(totals, F.lit(0))),
-                lambda bases: F.flatten(F.transform(bs, lambda blk, i: _running(blk, F.get(bases, i)))),
-            )
+    return bind(lengths, lambda ls: bind(
+        f"transform(sequence(0, int((size({ls}) - 1) div {_BLOCK})), b -> slice({ls}, b * {_BLOCK} + 1, {_BLOCK}))",
+        shifted,
+    ))
 
-        return F.when(F.size(ls) <= _BLOCK, _running(ls, F.lit(0))).otherwise(let(blocks, shifted))
 
-    return let(lengths, blocked)
+def tokenize_sql(text: str) -> str:
+    return f"regexp_extract_all({text}, {sql_text(TOKEN_PATTERN)}, 0)"
 
 
-def with_tokens(df, text: str = "text", prefix: str = ""):
+def tokenize(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
+
+
+def with_tokens(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     """Add parallel arrays ``tokens``, ``starts`` and ``ends``."""
-    chunk = f"[{SPACE_CLASS}]*(?:{TOKEN_PATTERN})"
-    lengths = F.transform(
-        F.regexp_extract_all(F.col(text), F.lit(chunk), F.lit(0)), lambda c: F.length(c)
-    )
+    chunk = sql_text(f"[{SPACE_CLASS}]*(?:{TOKEN_PATTERN})")
+    lengths = f"transform(regexp_extract_all({text}, {chunk}, 0), c -> length(c))"
     tok, ends, starts = f"{prefix}tokens", f"{prefix}ends", f"{prefix}starts"
-    df = df.withColumn(tok, tokenize(F.col(text))).withColumn(ends, prefix_ends(lengths))
-    return df.withColumn(starts, F.zip_with(ends, tok, lambda e, t: e - F.length(t)))
+    return df.select("*", F.expr(tokenize_sql(text)).alias(tok), F.expr(prefix_ends_sql(lengths)).alias(ends)).select(
+        "*", F.expr(f"zip_with({ends}, {tok}, (e, t) -> e - length(t))").alias(starts))
 
 
-def regex_spans(text: Column, pattern: str) -> Column:
+def regex_spans_sql(text: str, pattern: str) -> str:
     """Every match of ``pattern`` as ``array<struct<start,end,text>>``.
 
-    ``pattern`` must not contain capture groups that change group 0 and must not
-    match the empty string.
+    ``pattern`` must not match the empty string.
     """
-    empty = F.array().cast("array<struct<start:int,end:int,text:string>>")
+    def located(t):
+        hits = f"regexp_extract_all({t}, {sql_text('(?:' + pattern + ')')}, 0)"
+
+        def zipped(h):
+            lengths = (
+                f"zip_with(slice(split({t}, {sql_text(pattern)}, -1), 1, size({h})), {h}, "
+                "(g, m) -> length(g) + length(m))"
+            )
+            return (
+                f"zip_with({prefix_ends_sql(lengths)}, {h}, "
+                "(e, m) -> named_struct('start', e - length(m), 'end', e, 'text', m))"
+            )
+
+        return bind(hits, zipped)
+
+    return bind(text, located)
 
-    def located(hits):
-        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(hits))
-        lengths = F.zip_with(gaps, hits, lambda g, h: F.length(g) + F.length(h))
-        return F.when(F.size(hits) > 0, F.zip_with(
-            prefix_ends(lengths),
-            hits,
-            lambda e, h: F.struct((e - F.length(h)).alias("start"), e.alias("end"), h.alias("text")),
-        )).otherwise(empty)
 
-    return let(F.regexp_extract_all(text, F.lit(f"(?:{pattern})"), F.lit(0)), located)
+def regex_spans(text: str, pattern: str) -> Column:
+    return F.expr(regex_spans_sql(text, pattern))
 
 
-def token_span(starts: Column, ends: Column, start: Column, end: Column) -> Column:
+def token_span_sql(starts: str, ends: str, start: str, end: str) -> str:
     """``[first, last+1)`` of the tokens that overlap ``[start, end)``; null if none.
 
     Token offsets ascend, so the bounds are two counts.
     """
-    return let(
-        F.struct(
-            let(start, lambda p: F.size(F.filter(ends, lambda e: e <= p))).alias("start"),
-            let(end, lambda p: F.size(F.filter(starts, lambda s: s < p))).alias("end"),
-        ),
-        lambda t: F.when(t["end"] > t["start"], t),
+    first = bind(start, lambda p: f"size(filter({ends}, e -> e <= {p}))")
+    last = bind(end, lambda p: f"size(filter({starts}, s -> s < {p}))")
+    return bind(
+        f"named_struct('start', {first}, 'end', {last})",
+        lambda t: f"if({t}.`end` > {t}.start, {t}, null)",
     )
+
+
+def token_span(starts: str, ends: str, start: str, end: str) -> Column:
+    return F.expr(token_span_sql(starts, ends, start, end))

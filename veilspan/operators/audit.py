@@ -13,7 +13,7 @@ from ..constants import CONTACT_HINTS, FORMAT_HINTS, RARE_TYPES
 from ..functions import labels as L
 from ..functions import rules as R
 from ..functions.text import contains_any
-from ..functions.tokens import explode_rows, let
+from ..functions.tokens import explode_rows
 from ..plans.scaled import first_k
 from .metrics import ratio, unfold_slices
 
@@ -29,9 +29,9 @@ def seed_hits(df: DataFrame, seeds: str = "seeds", pred: str = "pred_labels") ->
     ``seeds`` is ``array<struct<start,end,span_text,action_label,entity_type>>`` on the
     row, so the overlap test is an ``exists`` over two arrays of the same row.
     """
-    held = df.withColumn("__p", L.spans_lenient(F.col(pred)))
+    held = df.withColumn("__p", L.spans_lenient(pred))
     rows = explode_rows(held, F.col(seeds), "seed")
-    hit = let(F.struct(F.col("seed").alias("s"), F.col("__p").alias("p")), lambda x: L.overlaps_any(x["s"], x["p"]))
+    hit = L.overlaps_any("seed", "__p")
     direct = R.detect_direct_id(F.col("seed.span_text"), F.col("seed.entity_type")).isNotNull()
     return (
         rows.withColumn("candidate_hit", hit).withColumn("direct_hit", direct)
@@ -62,7 +62,7 @@ def seed_coverage(hits: DataFrame, slices: Mapping[str, Column]) -> DataFrame:
 
 
 def volume(df: DataFrame, gold: str = "gold_labels", pred: str = "pred_labels") -> DataFrame:
-    n = lambda c: F.sum(F.size(L.spans_lenient(F.col(c))))
+    n = lambda c: F.sum(F.size(L.spans_lenient(c)))
     return df.agg(
         n(gold).alias("gold_span_count"), n(pred).alias("predicted_span_count"),
         ratio(n(pred), n(gold)).alias("candidate_volume_multiplier"))
@@ -93,17 +93,16 @@ def miss_buckets(hits: DataFrame, subject: Column, role: Column) -> DataFrame:
 # --- span errors --------------------------------------------------------------------------
 def span_errors(df: DataFrame, gold: str = "gold_labels", pred: str = "pred_labels", raw: str = "text") -> DataFrame:
     """False positives and negatives with a bucket name and a masked preview."""
-    base = df.withColumn("__g", L.spans_lenient(F.col(gold))).withColumn("__p", L.spans_lenient(F.col(pred)))
+    base = df.select("*", L.spans_lenient(gold).alias("__g"), L.spans_lenient(pred).alias("__p"))
     tag = lambda spans, kind: F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("span")))
     wrong = F.concat(
         tag(F.array_except("__p", "__g"), "fp"), tag(F.array_except("__g", "__p"), "fn"))
     rows = explode_rows(base, wrong, "__e").select(
         *df.columns, "__g", "__p", F.col("__e.kind").alias("error_type"), F.col("__e.span").alias("span"))
     fp = F.col("error_type") == "fp"
-    other = F.when(fp, F.col("__g")).otherwise(F.col("__p"))
     words = F.slice(F.col("tokens"), F.col("span.start") + 1, F.col("span.end") - F.col("span.start"))
-    rows = rows.withColumn("span_text", L.span_text(F.col("tokens"), F.col("span"))).withColumn("__w", words)
-    touches = let(F.struct(F.col("span").alias("s"), other.alias("o")), lambda x: L.overlaps_any(x["s"], x["o"]))
+    rows = rows.withColumn("span_text", L.span_text("tokens", "span")).withColumn("__w", words)
+    touches = L.overlaps_any("span", "if(error_type = 'fp', __g, __p)")
     odd = lambda c: contains_any(c, FORMAT_HINTS)
     bucket = (
         F.when(touches, "boundary error")
@@ -114,7 +113,7 @@ def span_errors(df: DataFrame, gold: str = "gold_labels", pred: str = "pred_labe
         .otherwise("annotation ambiguity")
     )
     return rows.withColumn("bucket", bucket).withColumn(
-        "preview", L.masked_preview(F.col("tokens"), F.col("span"), F.col("__g"), F.col("__p"))
+        "preview", L.masked_preview("tokens", "span", "__g", "__p")
     ).drop("__g", "__p", "__w")
 
 
@@ -129,8 +128,8 @@ def top_patterns(errors: DataFrame, limit: int = 2) -> DataFrame:
 
 def positive_rates(df: DataFrame, pred: str = "pred_labels", keys: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*keys).agg(
-        ratio(F.count_if(L.has_positive(F.col(pred))), F.count(F.lit(1)), 0).alias("predicted_positive_row_rate"),
-        ratio(F.sum(L.positive_count(F.col(pred))), F.sum(F.size(pred)), 0).alias("predicted_positive_token_rate"))
+        ratio(F.count_if(L.has_positive(pred)), F.count(F.lit(1)), 0).alias("predicted_positive_row_rate"),
+        ratio(F.sum(L.positive_count(pred)), F.sum(F.size(pred)), 0).alias("predicted_positive_token_rate"))
 
 
 # --- summaries ------------------------------------------------------------------------------

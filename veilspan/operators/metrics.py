@@ -39,12 +39,12 @@ def unfold_slices(df: DataFrame, slices: Mapping[str, Column], overall: bool = T
 # --- span metrics ---------------------------------------------------------------------
 def span_counts(df: DataFrame, gold: str = "gold_labels", pred: str = "pred_labels") -> DataFrame:
     """Per-row ``gold_n, pred_n, tp_n`` under the scoring reader; no shuffle."""
-    spans = df.withColumn("__g", L.spans_scoring(F.col(gold))).withColumn("__p", L.spans_scoring(F.col(pred)))
+    spans = df.select("*", L.spans_scoring(gold).alias("__g"), L.spans_scoring(pred).alias("__p"))
     return spans.select(
         *df.columns,
         F.size("__g").alias("gold_n"), F.size("__p").alias("pred_n"),
         F.size(F.array_intersect("__g", "__p")).alias("tp_n"),
-        L.has_positive(F.col(gold)).alias("gold_pos"), L.has_positive(F.col(pred)).alias("pred_pos"),
+        L.has_positive(gold).alias("gold_pos"), L.has_positive(pred).alias("pred_pos"),
         F.size(gold).alias("token_count"),
     )
 

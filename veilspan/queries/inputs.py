@@ -39,9 +39,8 @@ def candidates(spark: SparkSession, root: str) -> DataFrame:
     """``id, subject, speaker_role, text, tokens, starts, ends, gold_*, pred_*``."""
     df = tokenized(spark, root)
     for side, pattern in (("gold", GOLD_PATTERN), ("pred", PRED_PATTERN)):
-        df = df.withColumn(f"{side}_chars", T.regex_spans(F.col("text"), pattern))
-        df = df.withColumn(
-            f"{side}_labels", L.labels_from_merged_spans(F.col("starts"), F.col("ends"), F.col(f"{side}_chars")))
+        df = df.withColumn(f"{side}_chars", T.regex_spans("text", pattern))
+        df = df.withColumn(f"{side}_labels", L.labels_from_merged_spans("starts", "ends", f"{side}_chars"))
     return df
 
 

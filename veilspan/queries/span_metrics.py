@@ -58,14 +58,12 @@ def worst_context_recall(spark, root):
 # Seeds are the gold spans; the action comes from the span's own look.
 def _hits(spark, root):
     df = I.candidates(spark, root).select("id", "subject", "speaker_role", "tokens", "gold_labels", "pred_labels")
-    seeds = F.transform(L.spans_lenient(F.col("gold_labels")), lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), L.span_text(F.col("tokens"), s).alias("span_text")))
-    df = df.withColumn("plain", seeds).withColumn("seeds", F.transform("plain", lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), s["span_text"].alias("span_text"),
-        F.when(s["span_text"].contains("@"), "REVIEW").otherwise("REDACT").alias("action_label"),
-        F.when(s["span_text"].contains("@"), "EMAIL_ADDRESS").when(s["span_text"].contains("."), "IP_ADDRESS")
-        .otherwise("PHONE_NUMBER").alias("entity_type"))))
-    return A.seed_hits(df.drop("plain"))
+    texts = (f"transform({L.spans_lenient_sql('gold_labels')}, s -> named_struct('start', s.start, 'end', s.`end`, "
+             f"'span_text', {L.span_text_sql('tokens', 's')}))")
+    seeds = ("transform(plain, s -> named_struct('start', s.start, 'end', s.`end`, 'span_text', s.span_text, "
+             "'action_label', if(s.span_text like '%@%', 'REVIEW', 'REDACT'), 'entity_type', case when s.span_text like '%@%' "
+             "then 'EMAIL_ADDRESS' when s.span_text like '%.%' then 'IP_ADDRESS' else 'PHONE_NUMBER' end))")
+    return A.seed_hits(df.withColumn("plain", F.expr(texts)).withColumn("seeds", F.expr(seeds)).drop("plain"))
 
 
 _SEEDS = """,
@@ -194,7 +192,7 @@ FROM gold_spans g JOIN pred_spans p ON g.id = p.id AND g.s < p.e AND p.s < g.e""
 def seed_overlap_join(spark, root):
     """The same overlap as a join between two span tables; the id is the equi key."""
     base = I.candidates(spark, root).select("id", "gold_labels", "pred_labels")
-    side = lambda c, n: explode_rows(base.select("id", L.spans_lenient(F.col(c)).alias("ss")), F.col("ss"), "s").select(
+    side = lambda c, n: explode_rows(base.select("id", L.spans_lenient(c).alias("ss")), F.col("ss"), "s").select(
         "id", F.col("s.start").cast("long").alias(f"{n}_start"), F.col("s.end").cast("long").alias(f"{n}_end"))
     g, p = side("gold_labels", "gold"), side("pred_labels", "pred")
     both = g.join(p, (g["id"] == p["id"]) & (g["gold_start"] < p["pred_end"]) & (p["pred_start"] < g["gold_end"]))

@@ -37,8 +37,8 @@ WITH {I.tokens_sql()}, {I._matches("gold", I.GOLD_PATTERN)}
 SELECT g.id, g.s AS char_start, g.e AS char_end, min(t.i) AS token_start, max(t.i) + 1 AS token_end
 FROM gold_chars g JOIN tok t ON t.id = g.id AND t.s < g.e AND t.e > g.s GROUP BY g.id, g.s, g.e""")
 def char_to_token_span(spark, root):
-    df = T.explode_rows(I.tokenized(spark, root), T.regex_spans(F.col("text"), I.GOLD_PATTERN), "c")
-    span = T.token_span(F.col("starts"), F.col("ends"), F.col("c.start"), F.col("c.end"))
+    df = T.explode_rows(I.tokenized(spark, root), T.regex_spans("text", I.GOLD_PATTERN), "c")
+    span = T.token_span("starts", "ends", "c.start", "c.`end`")
     return df.withColumn("t", span).select(
         "id", F.col("c.start").cast("long").alias("char_start"), F.col("c.end").cast("long").alias("char_end"),
         F.col("t.start").cast("long").alias("token_start"), F.col("t.end").cast("long").alias("token_end"))
@@ -68,10 +68,9 @@ ok AS (SELECT DISTINCT ts.id, s, e FROM ts JOIN n USING (id) WHERE e <= n),
 def token_spans_to_bio(spark, root):
     """Predicted spans widened by one token, so they overlap and may leave the row."""
     df = I.tokenized(spark, root)
-    spans = F.transform(
-        L.project_spans(F.col("starts"), F.col("ends"), T.regex_spans(F.col("text"), I.PRED_PATTERN)),
-        lambda s: F.struct(s["start"].alias("start"), (s["end"] + 1).alias("end")))
-    return _label_rows(df, L.labels_from_token_spans(F.size("tokens"), spans))
+    exact = L.project_spans_sql("starts", "ends", T.regex_spans_sql("text", I.PRED_PATTERN))
+    wide = f"transform({exact}, s -> named_struct('start', s.start, 'end', s.`end` + 1))"
+    return _label_rows(df, L.labels_from_token_spans("size(tokens)", wide))
 
 
 BOTH = f"{I.GOLD_PATTERN}", f"{I.PRED_PATTERN}"
@@ -84,8 +83,8 @@ ann AS (SELECT DISTINCT id, s, e FROM (SELECT id, s, e FROM gold_chars UNION ALL
                        on="t.id = a.id AND t.s < a.e AND t.e > a.s"))
 def annotations_to_bio(spark, root):
     df = I.tokenized(spark, root)
-    both = F.concat(T.regex_spans(F.col("text"), I.GOLD_PATTERN), T.regex_spans(F.col("text"), I.PRED_PATTERN))
-    return _label_rows(df, L.labels_from_char_spans(F.col("starts"), F.col("ends"), both))
+    both = f"concat({', '.join(T.regex_spans_sql('text', p) for p in (I.GOLD_PATTERN, I.PRED_PATTERN))})"
+    return _label_rows(df, L.labels_from_char_spans("starts", "ends", both))
 
 
 @query("t6_merged_intervals_to_bio", f"""
@@ -93,7 +92,7 @@ WITH {I.tokens_sql()}, {I._matches("gold", I.GOLD_PATTERN)}, {I._painted("gold")
 SELECT id, i, lab || '-SUSPECT' AS label FROM gold_lab""")
 def merged_intervals_to_bio(spark, root):
     df = I.tokenized(spark, root)
-    labels = L.labels_from_merged_spans(F.col("starts"), F.col("ends"), T.regex_spans(F.col("text"), I.GOLD_PATTERN))
+    labels = L.labels_from_merged_spans("starts", "ends", T.regex_spans_sql("text", I.GOLD_PATTERN))
     return _label_rows(df, labels)
 
 
@@ -127,14 +126,14 @@ block AS (SELECT *, sum(CASE WHEN lab = 'O' THEN 1 ELSE 0 END) OVER (PARTITION B
 run AS (SELECT id, i, lab, CASE WHEN max(CASE WHEN lab = 'B' THEN i END) OVER (PARTITION BY id, o ORDER BY i) IS NULL
                             THEN 0 ELSE b END AS g FROM block)""" + _SPAN_ROWS_SQL)
 def bio_to_spans_lenient(spark, root):
-    return _span_rows(_odd_labels(I.tokenized(spark, root).select("id", "tokens")), L.spans_lenient(F.col("labels")))
+    return _span_rows(_odd_labels(I.tokenized(spark, root).select("id", "tokens")), L.spans_lenient("labels"))
 
 
 @query("t8_bio_to_spans_scoring", ODD_LABELS_SQL + """,
 run AS (SELECT id, i, lab, sum(CASE WHEN lab = 'B' OR (lab = 'I' AND coalesce(pl, 'O') = 'O') THEN 1 ELSE 0 END)
                OVER (PARTITION BY id ORDER BY i) AS g FROM flag)""" + _SPAN_ROWS_SQL)
 def bio_to_spans_scoring(spark, root):
-    return _span_rows(_odd_labels(I.tokenized(spark, root).select("id", "tokens")), L.spans_scoring(F.col("labels")))
+    return _span_rows(_odd_labels(I.tokenized(spark, root).select("id", "tokens")), L.spans_scoring("labels"))
 
 
 @query("t9_mask_to_labels", ODD_LABELS_SQL + """
@@ -144,7 +143,7 @@ SELECT id, sum(CASE WHEN lab <> 'O' AND coalesce(pl, 'O') = 'O' THEN 1 ELSE 0 EN
 FROM flag GROUP BY id""")
 def mask_to_labels(spark, root):
     df = _odd_labels(I.tokenized(spark, root).select("id", "tokens")).filter(F.size("tokens") > 0)
-    df = df.withColumn("fused", L.mask_to_labels(L.labels_to_mask(F.col("labels"))))
+    df = df.withColumn("fused", L.mask_to_labels("transform(labels, x -> x <> 'O')"))
     n = lambda v: F.size(F.filter("fused", lambda x: x == v)).cast("long")
     at = F.aggregate(F.transform("fused", lambda x, i: F.when(x == "B-SUSPECT", i).otherwise(0)),
                      F.lit(0).cast("long"), lambda a, x: a + x)
@@ -153,8 +152,7 @@ def mask_to_labels(spark, root):
 
 def _gold_span_rows(spark, root):
     df = I.candidates(spark, root).select("id", "tokens", "gold_labels", "pred_labels")
-    return df.withColumn("gold", L.spans_lenient(F.col("gold_labels"))).withColumn(
-        "pred", L.spans_lenient(F.col("pred_labels")))
+    return df.select("id", "tokens", L.spans_lenient("gold_labels").alias("gold"), L.spans_lenient("pred_labels").alias("pred"))
 
 
 @query("t10_span_text_and_preview", I.candidates_sql("""
@@ -164,15 +162,15 @@ FROM gold_spans g JOIN tok t ON t.id = g.id AND t.i >= g.s - 8 AND t.i < g.e + 8
 def span_text_and_preview(spark, root):
     df = T.explode_rows(_gold_span_rows(spark, root), F.col("gold"), "s")
     return df.select("id", F.col("s.start").cast("long").alias("token_start"),
-                     L.span_text(F.col("tokens"), F.col("s")).alias("span_text"),
-                     L.preview(F.col("tokens"), F.col("s")).alias("preview"))
+                     L.span_text("tokens", "s").alias("span_text"),
+                     L.preview("tokens", "s").alias("preview"))
 
 
 @query("t11_masked_preview")
 def masked_preview(spark, root):
     df = T.explode_rows(_gold_span_rows(spark, root), F.col("pred"), "s")
     return df.select("id", F.col("s.start").cast("long").alias("token_start"), L.masked_preview(
-        F.col("tokens"), F.col("s"), F.col("gold"), F.col("pred")).alias("preview"))
+        "tokens", "s", "gold", "pred").alias("preview"))
 
 
 @query("t12_span_overlap", I.candidates_sql("""
@@ -181,7 +179,7 @@ FROM gold_spans g LEFT JOIN pred_spans p ON g.id = p.id AND g.s < p.e AND p.s <
 def span_overlap(spark, root):
     """Both span lists stay on their row, so the theta join needs no shuffle."""
     df = T.explode_rows(_gold_span_rows(spark, root).select("id", "pred", "gold"), F.col("gold"), "g")
-    hits = T.let(F.struct("g", "pred"), lambda x: F.size(F.filter(x["pred"], lambda p: L.overlaps(x["g"], p))))
+    hits = L.overlap_count("g", "pred")
     return df.select("id", F.col("g.start").cast("long").alias("gold_start"),
                      F.col("g.end").cast("long").alias("gold_end"), hits.cast("long").alias("n_overlapping"))
 
@@ -191,7 +189,7 @@ WITH {I.tokens_sql()}, b AS (SELECT id, lower(token) AS token, i, lead(lower(tok
 SELECT id, min(i) FILTER (replace(token, 'ß', 'ss') = 'of' AND replace(nx, 'ß', 'ss') = 'the') AS token_start FROM b GROUP BY id""")
 def subsequence_search(spark, root):
     df = I.tokenized(spark, root).select("id", "tokens").filter(F.size("tokens") > 0)
-    hit = L.find_subsequence(F.col("tokens"), F.array(F.lit("OF"), F.lit("The"), F.lit(" ")))
+    hit = L.find_subsequence("tokens", "array('OF', 'The', ' ')")
     return df.select("id", hit["start"].cast("long").alias("token_start"))
 
 
