@@ -302,6 +302,6 @@ def override_spot_check(base: DataFrame, patched: DataFrame, limit: int = 10) ->
 
 
 def hardest_review_misses(df: DataFrame, limit: int = 8) -> DataFrame:
-    """Gold REVIEW decided otherwise, most confident first (``f`` holds the features)."""
+    """Gold REVIEW decided otherwise, most confident first."""
     rows = df.filter((F.col("gold_action") == "REVIEW") & (F.col("predicted_action") != "REVIEW"))
-    return rows.orderBy(F.desc("f.confidence"), "id").limit(limit)
+    return rows.orderBy(F.desc("confidence"), "id").limit(limit)

@@ -142,9 +142,8 @@ def decisions(spark: SparkSession, root: str, model: int = 1) -> DataFrame:
         (F.col("o_totalprice") / 1000).alias("latency_ms"),
         F.when(F.col("o_totalprice") > 20000, F.col("o_totalprice") / 100000).alias("cost"),
     )
-    p = P.normalise(F.col("s_redact"), F.col("s_keep"), F.col("s_review"))
-    df = df.withColumn("p", p).drop("s_redact", "s_keep", "s_review")
-    return df.withColumn("predicted_action", P.argmax(F.col("p")))
+    df = P.normalise(df, "s_redact", "s_keep", "s_review").drop("s_redact", "s_keep", "s_review")
+    return df.withColumn("predicted_action", P.argmax())
 
 
 def decisions_sql(name: str = "dec", model: int = 1) -> str:
