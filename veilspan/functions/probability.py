@@ -33,6 +33,16 @@ def argmax(prefix: str = "p_") -> Column:
     return F.when((r >= k) & (r >= v), "REDACT").when(k >= v, "KEEP").otherwise("REVIEW")
 
 
+def _settled(df: DataFrame, columns: list[Column]) -> DataFrame:
+    """Add columns that later filters read as values.
+
+    A filter is pushed through a projection by substituting its expressions; after a
+    few stages of arithmetic that expression no longer compiles.  It is not pushed
+    through a generator, and a one-element ``inline`` costs nothing.
+    """
+    return df.select("*", F.inline_outer(F.array(F.struct(*columns))))
+
+
 def _logs(df: DataFrame, prefix: str) -> DataFrame:
     return df.select("*", *[F.log(F.greatest(F.col(f"{prefix}{n}"), F.lit(EPSILON))).alias(f"__l{n}") for n in CLASSES])
 
@@ -52,7 +62,7 @@ def temper(df: DataFrame, temperature: str, prefix: str = "p_", out: str = "q_")
     """Temperature scaling by a column of temperatures; identity at 1."""
     same = F.abs(F.col(temperature) - 1.0) < 1e-9
     df = _softened(_logs(df, prefix), temperature)
-    return df.select("*", *[
+    return _settled(df, [
         F.when(same, F.col(f"{prefix}{n}")).otherwise(F.col(f"__e{n}") / F.col("__sum")).alias(f"{out}{n}") for n in CLASSES
     ]).drop(*_SCRATCH)
 
@@ -71,10 +81,10 @@ def with_features(df: DataFrame, prefix: str = "q_") -> DataFrame:
     """Add :data:`FEATURES` of the probabilities under ``prefix``."""
     p = {n: F.col(f"{prefix}{n}") for n in CLASSES}
     plogp = lambda x: x * F.log(F.greatest(x, F.lit(EPSILON)))
-    df = df.select(
-        "*", F.greatest(*p.values()).alias("confidence"), F.abs(p["redact"] - p["keep"]).alias("margin"),
+    df = _settled(df, [
+        F.greatest(*p.values()).alias("confidence"), F.abs(p["redact"] - p["keep"]).alias("margin"),
         p["review"].alias("review_probability"),
-        (-(plogp(p["redact"]) + plogp(p["keep"]) + plogp(p["review"]))).alias("entropy"))
+        (-(plogp(p["redact"]) + plogp(p["keep"]) + plogp(p["review"]))).alias("entropy")])
     return df.select("*", (F.col("entropy") / math.log(3)).alias("normalized_entropy"))
 
 

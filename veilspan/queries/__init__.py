@@ -1,4 +1,4 @@
 """All registered queries; importing this package fills the registry."""
 
-from . import decisions, span_metrics, tokens_and_labels  # noqa: F401
+from . import context_windows, decisions, quality_checks, span_metrics, tokens_and_labels, transcripts  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
