@@ -60,6 +60,22 @@ def running_sum(df: DataFrame, groups: Sequence[str], order: Sequence[Column], c
     )
 
 
+def running_min_before(df: DataFrame, groups: Sequence[str], order: Sequence[Column], chunk: Column, value: str,
+                       name: str) -> DataFrame:
+    """Minimum of ``value`` over the earlier rows of the group; null for the first."""
+    cut = df.withColumn(_CHUNK, chunk)
+    lows = cut.groupBy(*groups, _CHUNK).agg(F.min(value).alias("n"))
+    earlier = Window.partitionBy(*groups).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    carried = lows.select(*groups, _CHUNK, F.min("n").over(earlier).alias(_BASE))
+    w = Window.partitionBy(*groups, _CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    # least() skips nulls, so either side may be missing.
+    return (
+        cut.join(carried, [*groups, _CHUNK])
+        .withColumn(name, F.least(F.min(value).over(w), F.col(_BASE)))
+        .drop(_CHUNK, _BASE)
+    )
+
+
 def first_k(df: DataFrame, groups: Sequence[str], order: Sequence[Column], k: int, name: str | None = None) -> DataFrame:
     """First ``k`` rows per group.
 
