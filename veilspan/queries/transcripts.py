@@ -231,6 +231,14 @@ def proxy_summary(spark, root):
     return S.proxy_summary(baseline_turns(spark, root), ["subject", "speaker_role"])
 
 
+@query("j9_raw_text_lookup", "SELECT CAST(doc_id AS VARCHAR) AS id, md5(coalesce(html, text)) AS digest FROM documents LEFT JOIN pages ON page_id = doc_id")
+def raw_text_lookup(spark, root):
+    """Raw text by row id where there is one, else the row's own text."""
+    raw = I.load(spark, root, "pages").select(F.col("page_id").alias("doc_id"), "html")
+    docs = I.load(spark, root, "documents").select("doc_id", "text")
+    return docs.join(raw, "doc_id", "left").select(F.col("doc_id").cast("string").alias("id"), F.md5(F.coalesce("html", "text")).alias("digest"))
+
+
 @query("j5_interval_containment", f"{_IN_TURN} SELECT role AS speaker_role, count(*) AS n FROM it JOIN trn ON trn.id = it.id AND trn.turn = it.turn GROUP BY role")
 def interval_containment(spark, root):
     base = transcripts(spark, root, WORD, moved=True)
