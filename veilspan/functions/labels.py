@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import BEGIN, INSIDE, OUTSIDE
-from .tokens import bind, regex_spans_sql, token_span_sql
+from .tokens import bind, regex_spans_sql, token_ends_sql, token_span_sql
 
 SPANS = "array<struct<start:int,end:int>>"
 
@@ -27,12 +27,18 @@ def label_codes_sql(labels: str) -> str:
     )
 
 
+def _any_label(labels: str, spans: str) -> str:
+    """Most rows hold no span; they skip the reader."""
+    present = f"(array_contains({labels}, '{BEGIN}') or array_contains({labels}, '{INSIDE}'))"
+    return f"if({labels} is null, null, if({present}, {spans}, cast(array() as {SPANS})))"
+
+
 def spans_lenient_sql(labels: str) -> str:
-    return _bounds(regex_spans_sql(label_codes_sql(labels), "BI*"))
+    return _any_label(labels, _bounds(regex_spans_sql(label_codes_sql(labels), "BI*")))
 
 
 def spans_scoring_sql(labels: str) -> str:
-    return _bounds(regex_spans_sql(label_codes_sql(labels), "BI*|I+"))
+    return _any_label(labels, _bounds(regex_spans_sql(label_codes_sql(labels), "BI*|I+")))
 
 
 def spans_lenient(labels: str) -> Column:
@@ -46,11 +52,11 @@ def spans_scoring(labels: str) -> Column:
 
 
 def has_positive(labels: str) -> Column:
-    return F.expr(f"exists({labels}, x -> x <> '{OUTSIDE}')")
+    return F.expr(f"size(array_remove({labels}, '{OUTSIDE}')) > 0")
 
 
 def positive_count(labels: str) -> Column:
-    return F.expr(f"size(filter({labels}, x -> x <> '{OUTSIDE}'))")
+    return F.expr(f"size(array_remove({labels}, '{OUTSIDE}'))")
 
 
 # --- writers -----------------------------------------------------------------------------
@@ -62,9 +68,17 @@ def _paint(count: str, ordered: str) -> str:
             f"try_element_at({cover}, -1)",
             lambda t: f"case when {t} is null then '{OUTSIDE}' when {t}.start = i then '{BEGIN}' else '{INSIDE}' end",
         )
+        # Disjoint spans (the usual case) are laid end to end; only overlaps need a look per token.
+        before = f"if(i = 0, 0, get({spans}, i - 1).`end`)"
+        laid = (
+            f"concat(flatten(transform({spans}, (s, i) -> concat(array_repeat('{OUTSIDE}', s.start - {before}), array('{BEGIN}'), "
+            f"array_repeat('{INSIDE}', s.`end` - s.start - 1)))), "
+            f"array_repeat('{OUTSIDE}', {count} - element_at({spans}, -1).`end`))"
+        )
+        crossing = f"exists(sequence(0, size({spans}) - 1), i -> i > 0 and get({spans}, i).start < get({spans}, i - 1).`end`)"
         return (
-            f"if(size({spans}) = 0 or {count} = 0, array_repeat('{OUTSIDE}', {count}), "
-            f"transform(sequence(0, greatest({count}, 1) - 1), i -> {label}))"
+            f"case when size({spans}) = 0 or {count} = 0 then array_repeat('{OUTSIDE}', {count}) "
+            f"when {crossing} then transform(sequence(0, greatest({count}, 1) - 1), i -> {label}) else {laid} end"
         )
 
     return bind(ordered, painted)
@@ -118,6 +132,17 @@ def mask_to_labels(mask: str) -> Column:
     )))
 
 
+def labels_of_text(text: str, tokens: str, spans: str) -> Column:
+    """Merged character spans as labels, for rows whose token offsets nobody else needs.
+
+    Offsets are worked out only where the row holds a span.
+    """
+    starts = "zip_with({e}, " + tokens + ", (e, t) -> e - length(t))"
+    painted = bind(token_ends_sql(text), lambda e: bind(
+        starts.format(e=e), lambda s: _paint(f"size({s})", project_spans_sql(s, e, merge_intervals_sql(spans)))))
+    return F.expr(f"if(size({spans}) = 0, array_repeat('{OUTSIDE}', size({tokens})), {painted})")
+
+
 # --- span predicates and views -------------------------------------------------------------
 def overlap_sql(a: str, b: str) -> str:
     return f"({a}.start < {b}.`end` and {b}.start < {a}.`end`)"

@@ -82,16 +82,20 @@ def tokenize_sql(text: str) -> str:
     return f"regexp_extract_all({text}, {sql_text(TOKEN_PATTERN)}, 0)"
 
 
+def token_ends_sql(text: str) -> str:
+    """End offset of every token: prefix sums over (white space + token) chunks."""
+    chunk = sql_text(f"[{SPACE_CLASS}]*(?:{TOKEN_PATTERN})")
+    return prefix_ends_sql(f"transform(regexp_extract_all({text}, {chunk}, 0), c -> length(c))")
+
+
 def tokenize(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
 
 
 def with_tokens(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     """Add parallel arrays ``tokens``, ``starts`` and ``ends``."""
-    chunk = sql_text(f"[{SPACE_CLASS}]*(?:{TOKEN_PATTERN})")
-    lengths = f"transform(regexp_extract_all({text}, {chunk}, 0), c -> length(c))"
     tok, ends, starts = f"{prefix}tokens", f"{prefix}ends", f"{prefix}starts"
-    return df.select("*", F.expr(tokenize_sql(text)).alias(tok), F.expr(prefix_ends_sql(lengths)).alias(ends)).select(
+    return df.select("*", F.expr(tokenize_sql(text)).alias(tok), F.expr(token_ends_sql(text)).alias(ends)).select(
         "*", F.expr(f"zip_with({ends}, {tok}, (e, t) -> e - length(t))").alias(starts))
 
 
@@ -113,8 +117,9 @@ def regex_spans_sql(text: str, pattern: str) -> str:
                 "(e, m) -> named_struct('start', e - length(m), 'end', e, 'text', m))"
             )
 
-        return bind(hits, zipped)
+        return f"if({t} rlike {sql_text(pattern)}, {bind(hits, zipped)}, {none})"
 
+    none = "cast(array() as array<struct<start:int,end:int,text:string>>)"
     return bind(text, located)
 
 

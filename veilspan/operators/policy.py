@@ -24,7 +24,7 @@ from . import metrics as M
 
 # Fixed search range of the temperature fit.
 MIN_TEMPERATURE, MAX_TEMPERATURE, TEMPERATURE_STEPS = 0.25, 5.0, 96
-_BINS = 1 << 16
+_BINS = 1 << 13
 
 
 # --- calibration ------------------------------------------------------------------------

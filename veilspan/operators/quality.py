@@ -117,8 +117,8 @@ def leakage(df: DataFrame, key: str = "dialogue_id", split: str = "split") -> Da
 
 def exclude_used(df: DataFrame, used: DataFrame, key: str = "dialogue_id") -> DataFrame:
     """Drop rows whose key was used before; a used row without a key is an error."""
-    guard = F.when(F.col(key).isNull(), F.raise_error(F.lit(f"null {key} in exclusion table")).cast("boolean")).otherwise(True)
-    return df.join(used.filter(guard).select(key).distinct(), key, "left_anti")
+    require_none(used.filter(F.col(key).isNull()).select(key), f"null {key} in exclusion table")
+    return df.join(used.select(key).distinct(), key, "left_anti")
 
 
 def provisional_counts(df: DataFrame, allowed: Sequence[str] = ()) -> DataFrame:

@@ -20,6 +20,7 @@ from ..functions import rules as R
 from ..functions.text import fold_case, stable_hash
 from ..functions.tokens import explode_rows, tokenize
 from ..plans.scaled import first_k, hash_block, ranked
+from ..session import cut_lineage
 
 
 def _hashed(df: DataFrame, key: str, seed: int | None) -> DataFrame:
@@ -356,7 +357,7 @@ def stratified_split(dialogues: DataFrame, targets: Mapping[str, int], seed: int
     bits = sum(F.when(F.array_contains("types", t), F.lit(1 << i)).otherwise(0) for i, t in enumerate(rare))
     held = dialogues.select("dialogue_id", bits.cast("long").alias("rare"), F.col("has_positive").cast("int").alias("pos"),
                             stable_hash(F.col("dialogue_id"), seed).alias("h"))
-    held = held.withColumn("width", F.bit_count("rare"))
+    held = cut_lineage(held.withColumn("width", F.bit_count("rare")))  # narrow rows, read several times below
     lead = F.concat(F.lpad((99 - F.col("width")).cast("string"), 2, "0"), (1 - F.col("pos")).cast("string"), hash_block(F.col("h")))
     order = ranked(held, [], [F.desc("width"), F.desc("pos"), F.col("h"), F.col("dialogue_id")], lead, "slot")
 
@@ -428,9 +429,10 @@ def balanced_split(rows: DataFrame, counts_by_split: Mapping[str, int], seed: in
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("int")
     held = rows.select("subject", key, flag("missed_any").alias("a"), flag("has_multispan_seed").alias("b"),
                        flag("has_redact_seed").alias("c"), stable_hash(F.col(key), seed).alias("h"))
+    held = cut_lineage(held)  # narrow rows, read three times below
     lead = F.concat(*[(1 - F.col(x)).cast("string") for x in "abc"], hash_block(F.col("h")))
     order = ranked(held, ["subject"], [F.desc("a"), F.desc("b"), F.desc("c"), F.col("h"), F.col(key)], lead, "slot")
-    subjects = rows.select("subject").distinct()
+    subjects = held.select("subject").distinct()
     quotas = None
     for split, total in counts_by_split.items():
         part = even_quotas(subjects, "subject", total).withColumn("split", F.lit(split))

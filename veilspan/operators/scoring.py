@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import rules as R
 from ..functions.text import any_word
-from ..functions.tokens import regex_spans_sql, with_tokens
+from ..functions.tokens import regex_spans_sql, tokenize_sql
 
 # Surface forms of direct identifiers inside running text.
 IDENTIFIER_PATTERN = (
@@ -28,7 +28,7 @@ def score_candidates(df: DataFrame, factory: Callable[[], Callable[[pd.DataFrame
     ``(start, end)`` character spans per row.  Without one, built-in patterns are used
     and nothing leaves the JVM.
     """
-    base = with_tokens(df.select("id", "text"))
+    base = df.select("id", "text", F.expr(tokenize_sql("text")).alias("tokens"))
     if factory is None:
         held = base.withColumn("__s", F.expr(regex_spans_sql("text", pattern)))
     else:
@@ -41,7 +41,7 @@ def score_candidates(df: DataFrame, factory: Callable[[], Callable[[pd.DataFrame
                 yield batch.assign(__s=[[{"start": int(a), "end": int(b)} for a, b in row] for row in spans])
 
         held = base.mapInPandas(run, schema)
-    return held.select("id", L.labels_from_merged_spans("starts", "ends", "__s").alias("predicted_labels"))
+    return held.select("id", L.labels_of_text("text", "tokens", "__s").alias("predicted_labels"))
 
 
 def rule_action(span: Column, context: Column, entity_type: Column) -> Column:

@@ -263,7 +263,8 @@ def turns_from_actions(actions: DataFrame, order: str = "ord") -> DataFrame:
         F.col("tag_start").cast("int").alias("start"), F.col("tag_end").cast("int").alias("end"),
         F.col("a.action_label").alias("action_label"), F.col("a.entity_type").alias("entity_type")))).alias("chars"))
     both = with_tokens(turns.join(seeds, "turn_id", "left")).filter("size(tokens) > 0")
-    token = f"transform(chars, c -> named_struct('t', {token_span_sql('starts', 'ends', 'c.start', 'c.`end`')}, 'c', c))"
+    token = bind("named_struct('a', starts, 'b', ends)", lambda p: (
+        f"transform(chars, c -> named_struct('t', {token_span_sql(f'{p}.a', f'{p}.b', 'c.start', 'c.`end`')}, 'c', c))"))
     held = both.withColumn("__t", F.expr(token)).withColumn("seeds", F.expr(
         "coalesce(transform(filter(__t, x -> x.t is not null), x -> named_struct('start', x.t.start, 'end', x.t.`end`, "
         "'span_text', substring(text, x.c.start + 1, x.c.`end` - x.c.start), 'action_label', x.c.action_label, "

@@ -36,11 +36,11 @@ def tokenized(spark: SparkSession, root: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, root: str) -> DataFrame:
-    """``id, subject, speaker_role, text, tokens, starts, ends, gold_*, pred_*``."""
-    df = tokenized(spark, root)
+    """``id, subject, speaker_role, text, tokens, gold_*, pred_*``."""
+    df = documents(spark, root).withColumn("tokens", F.expr(T.tokenize_sql("text")))
     for side, pattern in (("gold", GOLD_PATTERN), ("pred", PRED_PATTERN)):
         df = df.withColumn(f"{side}_chars", T.regex_spans("text", pattern))
-        df = df.withColumn(f"{side}_labels", L.labels_from_merged_spans("starts", "ends", f"{side}_chars"))
+        df = df.withColumn(f"{side}_labels", L.labels_of_text("text", "tokens", f"{side}_chars"))
     return df
 
 
