@@ -88,7 +88,7 @@ def test_lesson_transcripts(spark, tmp_path):
         d = tmp_path / folder
         d.mkdir(parents=True)
         name = "Science AU1 transcript.txt" if folder != "XX" else "Science XX1 transcript.txt"
-        (d / name).write_text(text or (tmp_path / "AU" / name).read_text())
+        (d / name).write_bytes(text.encode() if text else (tmp_path / "AU" / name).read_bytes())
     rows = readers.read_transcripts(spark, str(tmp_path), ["au "]).orderBy("turn_index").collect()
     assert [(r.dialogue_id, r.turn_index, r.speaker_role, r.text) for r in rows] == [
         ("timss-science-au1", 1, "teacher", "Good morning"), ("timss-science-au1", 2, "student", "hi")]

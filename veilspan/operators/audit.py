@@ -229,7 +229,7 @@ def residual_concentration(df: DataFrame, kind: str = "entity_type") -> DataFram
     packed = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "type", "n"))).alias("top"))
     n_at = lambda i: F.coalesce(F.get(F.col("top"), F.lit(i))["n"], F.lit(0))
     share = F.coalesce(ratio(n_at(0) + n_at(1), F.col("error_count")), F.lit(1.0))
-    return total.join(packed, F.lit(True)).select(
+    return total.withColumn("top", packed.scalar()).select(
         "error_count", F.array_join(F.transform("top", lambda t: t["type"]), ",").alias("top_types"),
         share.alias("top_two_share"), (share >= 0.60).alias("concentrated"))
 
@@ -281,8 +281,7 @@ def carry_forward_gate(current: DataFrame, baseline: DataFrame, keys: Sequence[s
     fewer = F.col("strategy_count") < F.col("b_strategy_count")
     steadier = (F.col("review_rate_stdev") <= F.col("b_review_rate_stdev") * 0.75) | (F.col("review_rate_stdev") <= 0.0315)
     carry = (drop > 0) | ((fewer | steadier) & (drop >= -0.005) & F.col("all_recall_one"))
-    joined = current.join(b, list(keys)) if keys else current.join(b, F.lit(True))
-    return joined.select(*keys, drop.alias("delta_macro_f1"), fewer.alias("strategy_collapsed"),
+    return current.join(b, list(keys)).select(*keys, drop.alias("delta_macro_f1"), fewer.alias("strategy_collapsed"),
                          steadier.alias("review_stdev_improved"), carry.alias("carry_forward"))
 
 
