@@ -64,7 +64,7 @@ def test_thresholds_grid_and_sweep(spark, coarse):
     losses = {x: sum(-math.log(max(plain_features(r[4:], x)["p"][ACTIONS.index(r[2])], 1e-12)) for r in rows) / len(rows) for x in Y.temperature_grid()}
     assert losses[t] <= min(losses.values()) + 1e-12
     feats = [
-        (r, f) for r, f in zip(rows, [x.asDict() for x in cal.orderBy(F.col("id").cast("int")).collect()])]
+        (r, f) for r, f in zip(rows, [x.asDict() for x in Y.with_features(df, temperature).orderBy(F.col("id").cast("int")).collect()])]
     for r in Y.tail_thresholds(cal).collect():
         name = r.series.split("_")[-1] if r.series.startswith(("redact", "keep")) else r.series
         side = r.series.split("_")[0].upper()

@@ -229,12 +229,15 @@ def override_direct_ids(df: DataFrame, span_text: str = "span_text", entity_type
     })
 
 
-def calibrate(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(temperature, rows with features, policy grid)``.
+def calibrate(df: DataFrame, subject: str = "subject") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(temperature, narrow rows with features, policy grid)``.
+
+    Calibration reads its rows four times, so the six columns it needs are written once.
 
     The temperature (one row) and the grid (at most 91) are checkpointed: they feed
     several later subqueries, and each would otherwise repeat its pass over the rows.
     """
+    df = cut_lineage(df.select(subject, "gold_action", "predicted_action", *[f"p_{n}" for n in P.CLASSES]))
     temperature = cut_lineage(fit_temperature(df))
     cal = with_features(df, temperature)
     return temperature, cal, cut_lineage(policy_grid(tail_thresholds(cal)))

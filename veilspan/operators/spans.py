@@ -15,7 +15,7 @@ from ..functions import rules as R
 from ..functions.text import SPACE_CLASS
 from ..functions.tokens import bind, explode_rows, prefix_ends_sql, regex_spans_sql, sql_text, token_span_sql, with_tokens
 
-# Line breaks as the reference language splits them, CRLF counting once.
+# Line breaks as Python splits them, CRLF counting once.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 # Fixed speaker prefixes that open a turn.
 SPEAKER_PATTERN = r"(?i)\A(student|volunteer):[\x09-\x0d\x1c-\x20\x{85}\p{Z}]*"
@@ -173,9 +173,16 @@ def resolve_spans(df: DataFrame) -> DataFrame:
 
     ``df``: dialogue_id, transcript, spans array<struct<start,end,text,pii_type>>.
     """
-    rows = explode_rows(df, F.col("spans"), "s").select(
-        "dialogue_id", "transcript", "s.start", "s.end", "s.text", F.coalesce("s.pii_type", F.lit("SUSPECT")).alias("raw_type"))
-    return repair_offsets(rows).withColumn("type", R.canonical_type(F.col("raw_type")))
+    lo = f"int(greatest(0, s.start - {SEARCH_RADIUS}))"
+    hi = f"int(greatest(s.`end`, s.start) + {SEARCH_RADIUS} + length(s.text))"
+    # Each span travels with the part of the transcript a repair may look at, not the whole.
+    cut = bind("transcript", lambda t: (
+        f"transform(spans, s -> named_struct('base', {lo}, 'window', substring({t}, {lo} + 1, {hi} - {lo}), "
+        f"'start', s.start - {lo}, 'end', s.`end` - {lo}, 'text', s.text, 'pii_type', s.pii_type))"))
+    rows = explode_rows(df.select("dialogue_id", F.expr(cut).alias("__c")), F.col("__c"), "s").select(
+        "dialogue_id", "s.base", "s.window", "s.start", "s.end", "s.text", F.coalesce("s.pii_type", F.lit("SUSPECT")).alias("raw_type"))
+    back = {c: F.col(c) + F.col("base") for c in ("start", "end", "resolved_start", "resolved_end")}
+    return repair_offsets(rows, "window").withColumns(back).drop("base", "window").withColumn("type", R.canonical_type(F.col("raw_type")))
 
 
 def resolved_arrays(df: DataFrame) -> DataFrame:

@@ -367,7 +367,7 @@ def carry_forward_gate(spark, root):
     return rounded(A.carry_forward_gate(A.policy_stability(suite, ["project"]), A.policy_stability(suite, ["project"], "direct_id"), ["project"]))
 
 
-# --- sources and sinks: tables written in the reference shapes and read back --------------------------
+# --- sources and sinks: tables written in the file shapes and read back --------------------------
 @query("s1_jsonl_round_trip", "SELECT conv_id, turn, role, md5(text) AS digest FROM conversations")
 def jsonl_round_trip(spark, root):
     path = f"{live.work_folder(spark, 'jsonl')}/rows"
@@ -398,11 +398,11 @@ def annotated_sessions(spark, root):
     return readers.read_sessions(spark, path).select("session_id", F.col("turn_index").cast("long").alias("turn_index"), "speaker_role", F.length("text").cast("long").alias("chars"))
 
 
-@query("s6_anonymized_sessions", "SELECT CAST(conv_id AS VARCHAR) AS session_id, CASE WHEN conv_id % 3 = 0 THEN 'english' ELSE 'social_studies' END AS subject, count(*) AS turns FROM conversations WHERE conv_id % 3 < 2 GROUP BY ALL")
+@query("s6_anonymized_sessions", "SELECT * FROM (SELECT CAST(conv_id AS VARCHAR) AS session_id, CASE WHEN bool_or(role = 'system') THEN 'english' WHEN count(*) > 4 THEN 'social_studies' END AS subject, count(*) AS turns FROM conversations GROUP BY conv_id) WHERE subject IS NOT NULL")
 def anonymized_sessions(spark, root):
-    """Every third session has a topic outside the two known ones and is skipped by the reader."""
+    """Short sessions get a topic outside the two known ones and are skipped by the reader."""
     turn = F.struct("turn", F.col("text").alias("message"), F.lit("text").alias("message_type"), F.col("role").alias("user_role"), F.lit(1.0).alias("timestamp_seconds"))
-    topic = F.when(F.col("conv_id") % 3 == 0, "readingWriting").when(F.col("conv_id") % 3 == 1, "socialStudies").otherwise("math")
+    topic = F.when(F.exists("ts", lambda t: t["user_role"] == "system"), "readingWriting").when(F.size("ts") > 4, "socialStudies").otherwise("math")
     path = f"{live.work_folder(spark, 'anon')}/rows"
     sinks.write_jsonl(_sessions(spark, root, turn).select(F.col("conv_id").cast("string").alias("session_id"), topic.alias("topic_name"), F.lit("x").alias("subject_name"), F.array_sort("ts").alias("anonymized_transcript")), path)
     return readers.read_anonymized_sessions(spark, path).groupBy("session_id", "subject").agg(F.count(F.lit(1)).alias("turns"))
