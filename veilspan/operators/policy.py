@@ -234,7 +234,7 @@ def calibrate(df: DataFrame, subject: str = "subject") -> tuple[DataFrame, DataF
 
     Calibration reads its rows four times, so the six columns it needs are written once.
 
-    The temperature (one row) and the grid (at most 91) are checkpointed: they feed
+    The temperature (one row) and the grid (at most 91) are written out: they feed
     several later subqueries, and each would otherwise repeat its pass over the rows.
     """
     df = cut_lineage(df.select(subject, "gold_action", "predicted_action", *[f"p_{n}" for n in P.CLASSES]))

@@ -7,6 +7,7 @@ from ..operators import boards as B
 from ..operators import policy as Y
 from ..operators import research as Z
 from ..sources import readers, sinks
+from ..session import work_folder
 from ..streaming import live
 from . import inputs as I
 from .decisions import rounded
@@ -75,14 +76,14 @@ def _stream(spark, root):
 
 @query("l8_live_best_per_peer", f"WITH {RUNS}, b AS (SELECT agent, min((metric, run_id, kind)) AS b, max(ts) AS u FROM runs GROUP BY agent) SELECT agent, b[1] AS metric, b[2] AS run_id, b[3] AS kind, CAST(epoch_us(u) AS BIGINT) AS updated_us FROM b")
 def live_best_per_peer(spark, root):
-    out = live.drain(live.best_per_peer(_stream(spark, root)), "complete", live.work_folder(spark, "live-best"))
+    out = live.drain(live.best_per_peer(_stream(spark, root)), "complete", work_folder(spark, "live-best"))
     return out.select("agent", "best.metric", "best.run_id", "best.kind", F.unix_micros("updated").alias("updated_us"))
 
 
 @query("l9_hourly_snapshots", f"WITH {RUNS} SELECT CAST(epoch_us(date_trunc('hour', ts)) AS BIGINT) AS hour_us, count(*) AS runs, min(metric) AS best FROM runs GROUP BY 1 HAVING date_trunc('hour', any_value(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM runs)")
 def hourly_snapshots(spark, root):
     """Hours still open under the watermark are not emitted."""
-    out = live.drain(live.hourly_snapshots(_stream(spark, root)), "append", live.work_folder(spark, "hourly"))
+    out = live.drain(live.hourly_snapshots(_stream(spark, root)), "append", work_folder(spark, "hourly"))
     return out.select(F.unix_micros("window.start").alias("hour_us"), "runs", "best")
 
 
@@ -370,7 +371,7 @@ def carry_forward_gate(spark, root):
 # --- sources and sinks: tables written in the file shapes and read back --------------------------
 @query("s1_jsonl_round_trip", "SELECT conv_id, turn, role, md5(text) AS digest FROM conversations")
 def jsonl_round_trip(spark, root):
-    path = f"{live.work_folder(spark, 'jsonl')}/rows"
+    path = f"{work_folder(spark, 'jsonl')}/rows"
     sinks.write_jsonl(I.load(spark, root, "conversations"), path)
     return readers.read_jsonl(spark, path, "conv_id long, turn long, role string, text string").select("conv_id", "turn", "role", F.md5("text").alias("digest"))
 
@@ -378,7 +379,7 @@ def jsonl_round_trip(spark, root):
 @query("s2_validated_candidates", f"SELECT CAST(doc_id AS VARCHAR) AS id, len(regexp_extract_all(text, '{I.TOKEN_PATTERN}')) AS n_tokens FROM documents WHERE lang <> 'es'")
 def validated_candidates(spark, root):
     """Rows without a subject are dropped by the lenient scan."""
-    path = f"{live.work_folder(spark, 'candidate')}/rows"
+    path = f"{work_folder(spark, 'candidate')}/rows"
     df = I.tokenized(spark, root).select("id", F.when(F.col("subject") != "es", F.col("subject")).alias("subject"), "tokens", F.transform("tokens", lambda t: F.lit("O")).alias("labels"))
     sinks.write_jsonl(df, path)
     return readers.read_candidate(spark, path, strict=False).select("id", F.size("tokens").cast("long").alias("n_tokens"))
@@ -393,7 +394,7 @@ def _sessions(spark, root, turn):
 def annotated_sessions(spark, root):
     """Turns are stored unordered; the reader sorts them by sequence id."""
     turn = F.struct(F.lit("x").alias("_id"), F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id"), "role", F.col("text").alias("content"), F.col("turn").cast("int").alias("sequence_id"))
-    path = f"{live.work_folder(spark, 'sessions')}/rows"
+    path = f"{work_folder(spark, 'sessions')}/rows"
     sinks.write_jsonl(_sessions(spark, root, turn).select(F.lit("volunteer").alias("leadRole"), F.reverse("ts").alias("transcript")), path)
     return readers.read_sessions(spark, path).select("session_id", F.col("turn_index").cast("long").alias("turn_index"), "speaker_role", F.length("text").cast("long").alias("chars"))
 
@@ -403,7 +404,7 @@ def anonymized_sessions(spark, root):
     """Short sessions get a topic outside the two known ones and are skipped by the reader."""
     turn = F.struct("turn", F.col("text").alias("message"), F.lit("text").alias("message_type"), F.col("role").alias("user_role"), F.lit(1.0).alias("timestamp_seconds"))
     topic = F.when(F.exists("ts", lambda t: t["user_role"] == "system"), "readingWriting").when(F.size("ts") > 4, "socialStudies").otherwise("math")
-    path = f"{live.work_folder(spark, 'anon')}/rows"
+    path = f"{work_folder(spark, 'anon')}/rows"
     sinks.write_jsonl(_sessions(spark, root, turn).select(F.col("conv_id").cast("string").alias("session_id"), topic.alias("topic_name"), F.lit("x").alias("subject_name"), F.array_sort("ts").alias("anonymized_transcript")), path)
     return readers.read_anonymized_sessions(spark, path).groupBy("session_id", "subject").agg(F.count(F.lit(1)).alias("turns"))
 
@@ -431,7 +432,7 @@ def json_summary(spark, root):
 
 @query("s11_run_ledger", "SELECT 'c' || c_mktsegment AS commit, 'action' AS stage, CAST(count(*) AS VARCHAR) AS primary_metric, 'keep' AS status, 'rows of ' || c_mktsegment AS description FROM customer GROUP BY c_mktsegment")
 def run_ledger(spark, root):
-    path = f"{live.work_folder(spark, 'ledger')}/results"
+    path = f"{work_folder(spark, 'ledger')}/results"
     seg = F.col("c_mktsegment")
     counts = I.load(spark, root, "customer").groupBy(seg).agg(F.count(F.lit(1)).cast("string").alias("primary_metric"))
     sinks.append_ledger(counts.select(F.concat(F.lit("c"), seg).alias("commit"), F.lit("action").alias("stage"), "primary_metric", F.lit("keep").alias("status"), F.concat(F.lit("rows of "), seg).alias("description")), path)

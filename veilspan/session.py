@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,20 +25,28 @@ def build_session(app: str = "veilspan", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names.
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared folder the cluster names in ``spark.checkpoint.dir``.
 
     Only where the session names none *and* runs in one local JVM (tests) is a
-    folder chosen here; on a cluster a machine-local folder would be lost with
-    its executor, so that is an error.
+    temporary folder used; on a cluster a machine-local folder would be lost with its
+    executor, so that is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            named = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
-        sc.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        return tempfile.mkdtemp(prefix="spark-")
+    return f"{named.rstrip('/')}/{name}-{sc.applicationId}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the rows once and go on from the written table.
+
+    A table survives lost executors and is computed once; an eager ``checkpoint()``
+    runs its plan twice unless the rows are cached.
+    """
+    path = f"{work_folder(df.sparkSession, 'cut')}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

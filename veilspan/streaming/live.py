@@ -5,10 +5,7 @@ The batch functions in :mod:`boards` give the same answers on the same events.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,17 +25,6 @@ def hourly_snapshots(stream: DataFrame, lateness: str = "10 minutes") -> DataFra
         F.count(F.lit(1)).alias("runs"), F.min("metric").alias("best"))
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for state and output beside the session's checkpoint folder."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        return tempfile.mkdtemp(prefix="spark-")
-    return f"{named.rstrip('/')}/{name}-{sc.applicationId}-{uuid.uuid4().hex}"
-
-
 def drain(result: DataFrame, mode: str, folder: str) -> DataFrame:
     """Process everything available and read back the output table.
 
