@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from ..constants import ACTIONS, ASYMMETRIC_ANCHORS, SIMPLE_ANCHORS
 from ..functions import probability as P
-from ..functions import rules as R
 from ..operators import audit as A
 from ..operators import metrics as M
 from ..operators import policy as Y

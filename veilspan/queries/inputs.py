@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import probability as P
 from ..functions import tokens as T
-from ..functions.text import SPACE_CLASS, TOKEN_PATTERN, collapse_space
+from ..functions.text import SPACE_CLASS, TOKEN_PATTERN
 from ..plans.layout import load, load_text
 
 GOLD_PATTERN = (

@@ -8,9 +8,7 @@ from ..functions import tokens as T
 from ..operators import quality as Q
 from ..operators import spans as S
 from . import inputs as I
-from .decisions import rounded
 from .registry import query
-from .transcripts import TR, transcripts  # noqa: F401
 
 
 def _damaged(spark, root):

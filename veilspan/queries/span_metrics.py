@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..functions import rules as R
 from ..functions.tokens import explode_rows
 from ..operators import audit as A
 from ..operators import metrics as M
