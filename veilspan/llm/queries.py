@@ -25,3 +25,25 @@ def op1_simhash_near_dedup(spark: SparkSession, root: str) -> DataFrame:
 
     found = near_duplicates(load(spark, root, "documents"), size=4, radius=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op5_toxicity(spark: SparkSession, root: str) -> DataFrame:
+    """Toxicity of every document, learned from the labelled rows of three folds in four."""
+    from veilspan.llm.text import fold
+    from veilspan.llm.toxicity import toxicity
+
+    docs = load(spark, root, "documents").select("doc_id", "text")
+    scored = toxicity(docs, load(spark, root, "labels"), learn_from=fold("doc_id", 4) != 2, label="toxic", threshold=0.3)
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
+@query
+def op10_language_id(spark: SparkSession, root: str) -> DataFrame:
+    """Language of every document, learned from three folds in four."""
+    from veilspan.llm.language_id import identify
+    from veilspan.llm.text import fold
+
+    docs = load(spark, root, "documents").select("doc_id", "text", "lang")
+    found = identify(docs, learn_from=fold("doc_id", 4) != 2)
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
