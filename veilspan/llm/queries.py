@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,3 +48,22 @@ def op10_language_id(spark: SparkSession, root: str) -> DataFrame:
     docs = load(spark, root, "documents").select("doc_id", "text", "lang")
     found = identify(docs, learn_from=fold("doc_id", 4) != 2)
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+PIECE_MODEL = os.environ.get("VEILSPAN_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+@query
+def op8_sentencepiece(spark: SparkSession, root: str) -> DataFrame:
+    """Piece ids of every document, with parity and round trip."""
+    from veilspan.llm.sentencepiece_codec import encode
+
+    return encode(load(spark, root, "documents").select("doc_id", "text"), PIECE_MODEL).drop("text")
+
+
+@query
+def op9_token_counts(spark: SparkSession, root: str) -> DataFrame:
+    """Greedy word-piece counts of every document."""
+    from veilspan.llm.token_counts import count_tokens, from_piece_model
+
+    return count_tokens(load(spark, root, "documents").select("doc_id", "text"), from_piece_model(PIECE_MODEL)).drop("text")

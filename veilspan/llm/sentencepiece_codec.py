@@ -4,7 +4,7 @@ The model file is parsed once on the driver and broadcast (its size is fixed by
 Python worker rebuilds normaliser, space marker, scores and byte fallback from it.  Where no piece
 holds a space marker behind another character, a text falls apart into marker-led words that
 encode independently; each batch encodes its unseen words in one multithreaded call and keeps
-them in a bounded cache.  Every distinct word is also encoded by the sentencepiece library:
+them in a bounded cache.  Every such word is also encoded by the sentencepiece library:
 ``parity`` tells whether all of a text's words agree.  ``round_trip`` tells whether decoding the
 ids gives the text back.
 """
@@ -12,7 +12,8 @@ ids gives the text back.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 from veilspan.llm.pieces import BPE, BYTE, NORMAL, SPACE, UNIGRAM, USER_DEFINED, PieceModel, parse_model, read_model
 from veilspan.llm.text import raw
 
-CACHE = 150_000
-WORD = re.compile(f"{SPACE}+[^{SPACE}]*|^[^{SPACE}]+")
+CACHE = 120_000  # words kept of the youngest batches, and as many of those before
+RUN = 256
+WORD = re.compile(f"{SPACE}+[^{SPACE}]+(?:{SPACE}+$)?|^[^{SPACE}]+|{SPACE}+$")  # markers that end a text stay with the last word
 
 
 def build_tokenizer(model: PieceModel):
@@ -68,35 +70,64 @@ class Codec:
         self.whole = build_tokenizer(self.model)
         self.judge = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.by_word = self.model.spaces_lead() and not self.model.charsmap and self.model.add_dummy_prefix
-        self.known: dict[str, tuple[list[int], bool]] = {}
+        self.known: dict[str, list[int]] = {}  # words of the youngest batches
+        self.older: dict[str, list[int]] = {}  # words known before that; those still in use move over
+        self.apart: set[str] = set()  # words on which the two libraries differ
+        self.lossy: set[str] = set()  # words that decode to something else
 
     def learn(self, words: list[str]) -> None:
-        """Encodes words unseen so far in one batch.  A word without its first marker is a text of its own."""
-        texts = [w[1:].replace(SPACE, " ") if w[:1] == SPACE else w for w in words]
-        ours = self.whole.encode_batch_fast(texts, add_special_tokens=False)
-        for word, mine, theirs in zip(words, ours, self.judge.encode(texts, num_threads=1)):
-            self.known[word] = (mine.ids, mine.ids == theirs)
-
-    def encode(self, texts: list[str]) -> list[tuple[list[int], bool]]:
+        """Encodes unseen words, many to a text: the other library's lengths cut a text's ids where all of them agree."""
+        texts = [w[1:].replace(SPACE, " ") for w in words]
+        theirs = self.judge.encode(texts, num_threads=1)
+        runs = [slice(k, k + RUN) for k in range(0, len(words), RUN)]
+        ours = self.whole.encode_batch_fast(["".join(words[r])[1:].replace(SPACE, " ") for r in runs], add_special_tokens=False)
+        odd = []
+        for run, mine in zip(runs, ours):
+            if mine.ids == list(chain.from_iterable(theirs[run])):
+                self.known.update(zip(words[run], theirs[run]))
+            else:
+                odd.extend(range(run.start, min(run.stop, len(words))))
+        for k, mine in zip(odd, self.whole.encode_batch_fast([texts[k] for k in odd], add_special_tokens=False)):
+            self.known[words[k]] = mine.ids
+            if mine.ids != theirs[k]:
+                self.apart.add(words[k])
+        again = self.decode([list(chain.from_iterable(self.known[w] for w in words[r])) for r in runs])
+        for run, text in zip(runs, again):
+            if SPACE + text.replace(" ", SPACE) != "".join(words[run]):
+                one_by_one = self.decode([self.known[w] for w in words[run]])
+                self.lossy.update(w for w, t in zip(words[run], one_by_one) if SPACE + t.replace(" ", SPACE) != w)
+
+    def split(self, text: str) -> list[str]:
+        if self.model.remove_extra_whitespaces:
+            text = re.sub(" {2,}", " ", text.strip(" "))
+        return WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
+
+    def encode(self, texts: list[str]) -> tuple[array, list[int], list[bool], list[bool]]:
+        """Ids of all texts on end, how many of each, whether both libraries agree, whether decoding gives the text back."""
+        flat, sizes, same, back = array("i"), [], [], []
         if not self.by_word:
-            ours = self.whole.encode_batch_fast(texts, add_special_tokens=False)
-            return [(a.ids, a.ids == b) for a, b in zip(ours, self.judge.encode(texts, num_threads=1))]
-        split = []
-        for text in texts:
-            if self.model.remove_extra_whitespaces:
-                text = re.sub(" {2,}", " ", text.strip(" "))
-            split.append(WORD.findall(SPACE + text.replace(" ", SPACE)) if text else [])
-        new = {w for words in split for w in words if w not in self.known}
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = {w for words in split for w in words}
-        if new:
-            self.learn(list(new))
-        out = []
-        for words in split:
-            found = [self.known[w] for w in words]
-            out.append(([i for ids, _ in found for i in ids], all(same for _, same in found)))
-        return out
+            ours = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+            flat.extend(chain.from_iterable(ours))
+            return (flat, list(map(len, ours)), [a == b for a, b in zip(ours, self.judge.encode(texts, num_threads=1))],
+                    [a == b for a, b in zip(self.decode(ours), texts)])
+        split = list(map(self.split, texts))
+        if len(self.known) > CACHE:
+            self.older, self.known = self.known, {}
+            self.apart.intersection_update(self.older), self.lossy.intersection_update(self.older)
+        unseen = {w for words in split for w in words}.difference(self.known)
+        for word in unseen.intersection(self.older):
+            self.known[word] = self.older[word]
+        unseen.difference_update(self.known)
+        if unseen:
+            self.learn(sorted(unseen))
+        for text, words in zip(texts, split):
+            before = len(flat)
+            flat.extend(chain.from_iterable(map(self.known.__getitem__, words)))
+            sizes.append(len(flat) - before)
+            same.append(self.apart.isdisjoint(words) if self.apart else True)
+            plain = SPACE not in text and (not self.model.remove_extra_whitespaces or text == re.sub(" {2,}", " ", text.strip(" ")))
+            back.append(plain and (self.lossy.isdisjoint(words) if self.lossy else True))
+        return flat, sizes, same, back
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
@@ -132,17 +163,14 @@ def encode_column(spark: SparkSession, model_path: str, text: Column) -> Column:
     @F.arrow_udf("ids array<int>, n_tokens int, parity boolean, round_trip boolean")
     def run(column: pa.Array) -> pa.Array:
         codec, texts = _codec(held.value), [x.decode("utf-8", "replace") for x in raw(column)]
-        ids, sizes, same, back = [], [], [], []
+        ids, sizes, same, back = array("i"), [], [], []
         for part in _parts(texts):
-            found = codec.encode(texts[part])
-            for text, (own, parity), again in zip(texts[part], found, codec.decode([own for own, _ in found])):
-                sizes.append(len(own)), same.append(parity), back.append(again == text)
-            ids.append(np.fromiter((i for own, _ in found for i in own), np.int32))
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+            for all_of, own in zip((ids, sizes, same, back), codec.encode(texts[part])):
+                all_of.extend(own)
         offsets = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))).astype(np.int32)
         return pa.StructArray.from_arrays(
-            [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(sizes, pa.int32()), pa.array(same, pa.bool_()),
-             pa.array(back, pa.bool_())], ["ids", "n_tokens", "parity", "round_trip"])
+            [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.array(ids, np.int32))), pa.array(sizes, pa.int32()),
+             pa.array(same, pa.bool_()), pa.array(back, pa.bool_())], ["ids", "n_tokens", "parity", "round_trip"])
 
     return run(text)
 
