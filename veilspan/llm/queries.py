@@ -67,3 +67,11 @@ def op9_token_counts(spark: SparkSession, root: str) -> DataFrame:
     from veilspan.llm.token_counts import count_tokens, from_piece_model
 
     return count_tokens(load(spark, root, "documents").select("doc_id", "text"), from_piece_model(PIECE_MODEL)).drop("text")
+
+
+@query
+def op6_decontamination(spark: SparkSession, root: str) -> DataFrame:
+    """Documents that hold a test item or an edited copy of one, with the passage."""
+    from veilspan.llm.decontamination import contaminated_passages
+
+    return contaminated_passages(load(spark, root, "documents"), load(spark, root, "benchmark"))
