@@ -75,3 +75,46 @@ def op6_decontamination(spark: SparkSession, root: str) -> DataFrame:
     from veilspan.llm.decontamination import contaminated_passages
 
     return contaminated_passages(load(spark, root, "documents"), load(spark, root, "benchmark"))
+
+
+@query
+def op2_lm_scoring(spark: SparkSession, root: str) -> DataFrame:
+    """log10 probability of every document under unigram counts and under the attention model; nine folds in ten train."""
+    from veilspan.llm.lm_scoring import score_texts
+    from veilspan.llm.text import fold
+
+    docs = load(spark, root, "documents").select("doc_id", "text")
+    scored = score_texts(docs, fold("doc_id", 10) != 0, PIECE_MODEL)
+    return scored.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op4_quality_rules(spark: SparkSession, root: str) -> DataFrame:
+    """Rule statistics of every document and the verdict of its host, taken from ``source``."""
+    from veilspan.llm.quality_rules import quality_rules
+
+    return quality_rules(load(spark, root, "documents"), host="source").drop("host_rate")
+
+
+ORACLES["op4_quality_rules"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+p AS (SELECT r, unnest(w) AS a, unnest(range(len(w))) AS i FROM w),
+g AS (SELECT r, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM p WINDOW o AS (PARTITION BY r ORDER BY i)),
+k AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM g WHERE c IS NOT NULL),
+v AS (SELECT r, count(DISTINCT i + s) AS n FROM k, (VALUES (0), (1), (2)) x(s) WHERE n > 1 GROUP BY r),
+l AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
+u AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+m AS (SELECT d.doc_id, d.source, len(w.w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w.w, x -> length(x))), 0)::BIGINT AS word_chars,
+        (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+        coalesce(u.n, 0)::BIGINT AS n_dup_lines, coalesce(v.n, 0)::BIGINT AS n_repeat_words
+      FROM d JOIN w USING (r) LEFT JOIN u USING (r) LEFT JOIN v USING (r)),
+f AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM m),
+h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS x FROM f GROUP BY source),
+s AS (SELECT sum(x) / sum(n) AS mean, avg(1.0 / n) AS inverse, var_pop(x / n) AS spread FROM h),
+q AS (SELECT mean, spread - mean * (1 - mean) * inverse AS beyond FROM s),
+y AS (SELECT source, CASE WHEN beyond > 0 THEN (x + greatest(mean * (1 - mean) / beyond - 1, 0) * mean) / (n + greatest(mean * (1 - mean) / beyond - 1, 0))
+        ELSE mean END AS rate FROM h, q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND rate <= 0.5) AS kept
+FROM f JOIN y ON f.source IS NOT DISTINCT FROM y.source
+"""
