@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilspan.llm.text import raw
+from veilspan.llm.text import hash_sample, raw
 
 LETTERS = re.compile(r"[^\W\d_]+")
 CACHE = 200_000
@@ -78,8 +78,8 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     """
     content = F.coalesce(F.col(text), F.lit(""))
     sample = Window.partitionBy("l").orderBy(F.xxhash64(F.col("i").cast("string"), F.lit("sample")), "i", "c")
-    picked = (labelled.filter(F.col(lang).isNotNull())
-              .select(F.col(lang).alias("l"), F.col(doc_id).alias("i"), F.xxhash64(content).alias("c")).distinct()
+    named = labelled.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("l"), F.col(doc_id).alias("i"), F.xxhash64(content).alias("c"))
+    picked = (hash_sample(named.distinct(), "l", "i", per_language)
               .withColumn("k", F.row_number().over(sample)).filter(F.col("k") <= per_language).drop("k").collect())
     names = sorted({r.l for r in picked})
     if len(names) > max_languages:

@@ -47,7 +47,7 @@ def text_rules(docs: DataFrame, text: str = "text", size: int = 3) -> DataFrame:
         F.size(F.array_distinct("__h")) < F.size("__h"),
         F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     near = lambda j: F.get(F.col("__s"), j)["h"]
-    twice = F.filter("__s", lambda p, j: (p["h"] == F.coalesce(near(j + 1), ~p["h"])) | (p["h"] == F.when(j > 0, near(j - 1)).otherwise(~p["h"])))
+    twice = F.filter("__s", lambda p, j: p["h"].eqNullSafe(near(j + 1)) | p["h"].eqNullSafe(near(j - 1)))
     placed = ordered.withColumn("__p", F.sort_array(F.transform(twice, lambda p: p["i"]))).drop("__s", "__h")
     steps = F.zip_with("__p", F.slice("__p", F.lit(2), F.greatest(F.size("__p"), F.lit(0))), lambda a, b: F.least(F.coalesce(b - a, F.lit(size)), F.lit(size)))
     total = F.when(F.col("__p").isNull(), F.lit(0)).otherwise(F.aggregate(steps, F.lit(0), lambda x, y: x + y))

@@ -105,7 +105,7 @@ k AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM g WHERE c I
 v AS (SELECT r, count(DISTINCT i + s) AS n FROM k, (VALUES (0), (1), (2)) x(s) WHERE n > 1 GROUP BY r),
 l AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
 u AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
-m AS (SELECT d.doc_id, d.source, len(w.w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w.w, x -> length(x))), 0)::BIGINT AS word_chars,
+m AS (SELECT d.doc_id, d.source, len(w.w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
         coalesce(u.n, 0)::BIGINT AS n_dup_lines, coalesce(v.n, 0)::BIGINT AS n_repeat_words
       FROM d JOIN w USING (r) LEFT JOIN u USING (r) LEFT JOIN v USING (r)),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,3 +21,14 @@ def words(text: bytes) -> list[bytes]:
 def fold(doc_id: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % F.lit(parts)
+
+
+def hash_sample(rows: DataFrame, group: str, key: str, size: int) -> DataFrame:
+    """About ``2 * size`` rows of each ``group`` (all, if it has fewer), those of the least hash of ``key``.
+
+    A threshold from the group's count, so that no group meets in one task; ``rows`` need not be sorted.
+    """
+    counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * size) / F.col("__n"))
+    place = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return rows.join(counts, group).filter(place < share).drop("__n")

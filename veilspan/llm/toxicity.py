@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilspan.llm.text import raw
+from veilspan.llm.text import hash_sample, raw
 
 BUCKETS = 1 << 17
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -207,7 +207,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     size = docs.select(F.col(doc_id).alias("i"), F.length(content).alias("n"), F.xxhash64(content).alias("c")).distinct()
     marks = labels.filter(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("i")).agg((F.max(label) > 0).cast("int").alias("y"))
     first = Window.partitionBy("y").orderBy(F.xxhash64(F.col("i").cast("string"), F.lit("sample")), "i", "c")
-    picked = size.join(marks, "i").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_class).collect()
+    few = hash_sample(size.join(marks, "i"), "y", "i", per_class)
+    picked = few.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_class).collect()
     chosen = []
     for y in (0, 1):
         left = sample_chars // 2
