@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.session import cut_lineage
+from veilspan.llm.storage import written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,10 +35,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Loops are ignored; an empty table gives an empty one.
     """
-    now = cut_lineage(edges.filter("a <> b").select("a", "b").distinct())
+    now = written(edges.filter("a <> b").select("a", "b").distinct())
     mark = _sum(now)
     while mark[0]:
-        now = cut_lineage(_small_star(_large_star(now)))
+        now = written(_small_star(_large_star(now)))
         after = _sum(now)
         if after == mark:
             break

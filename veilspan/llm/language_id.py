@@ -106,9 +106,9 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     every = F.flatten(F.transform(F.array(*[F.lit(n) for n in range(1, longest + 1)]), lambda n: F.transform(
         F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(bounded) - n + 1)), lambda i: i + n - 1 <= F.length(bounded)),
         lambda i: F.struct(n.alias("n"), F.substr(bounded, i, n).alias("g")))))
-    from veilspan.session import cut_lineage
+    from veilspan.llm.storage import written
 
-    words_of = cut_lineage(words_of)
+    words_of = written(words_of)
     grams = words_of.select("l", "c", F.explode(every).alias("e")).groupBy("l", "e.n", "e.g").agg(F.sum("c").alias("c"))
     counted = words_of.select("l", F.lit(0).alias("n"), "g", "c").union(grams.select("l", "n", "g", "c"))
     totals = counted.groupBy("l", "n").agg(F.sum("c").alias("total"))

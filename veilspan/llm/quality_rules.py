@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.session import cut_lineage
+from veilspan.llm.storage import written
 
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK = r"[\x20\x09-\x0D]"
@@ -56,7 +56,7 @@ def text_rules(docs: DataFrame, text: str = "text", size: int = 3) -> DataFrame:
 
 def host_verdicts(failures: DataFrame, host: str, failed: str, max_rate: float = 0.5) -> DataFrame:
     """``(host, n, failures, rate, host_kept)``: shrunken rate of failure of each host, null host included."""
-    by_host = cut_lineage(failures.groupBy(host).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(failed).cast("long")).alias("failures")))
+    by_host = written(failures.groupBy(host).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(failed).cast("long")).alias("failures")))
     raw = F.col("failures") / F.col("n")
     moments = by_host.agg(F.sum("failures").alias("f"), F.sum("n").alias("n"), F.avg(1 / F.col("n")).alias("inverse"), F.var_pop(raw).alias("spread")).first()
     mean = (moments.f or 0) / moments.n if moments.n else 0.0
@@ -81,7 +81,7 @@ def quality_rules(docs: DataFrame, host: str, doc_id: str = "doc_id", text: str
     """
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.col(text).alias("text"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    rows = cut_lineage(text_rules(narrow).withColumn("base_failed", failed))
+    rows = written(text_rules(narrow).withColumn("base_failed", failed))
     verdicts = host_verdicts(rows, "host", "base_failed", max_rate).select(F.col("host").alias("h"), F.col("rate").alias("host_rate"), "host_kept")
     joined = rows.join(verdicts, F.col("host").eqNullSafe(F.col("h")), "left")
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate",

@@ -118,3 +118,12 @@ y AS (SELECT source, CASE WHEN beyond > 0 THEN (x + greatest(mean * (1 - mean) /
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND rate <= 0.5) AS kept
 FROM f JOIN y ON f.source IS NOT DISTINCT FROM y.source
 """
+
+
+@query
+def op7_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
+    """What is left of every document without the 13-word windows of documents before it."""
+    from veilspan.llm.substring_dedup import without_repeats
+
+    found = without_repeats(load(spark, root, "documents"), size=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from veilspan.llm.components import connected_components
 from veilspan.llm.text import raw, words
-from veilspan.session import cut_lineage
+from veilspan.llm.storage import written
 
 BUCKET = 1024
 BLOCK = 1 << 16
@@ -138,7 +138,7 @@ def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
         "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
     found = None
     while True:
-        done = cut_lineage(
+        done = written(
             rows.repartition("mask", "key").sortWithinPartitions("mask", "key")
             .mapInArrow(_bucket_links(radius), "mask long, key long, fp long, to long, hot boolean"))
         links = done.filter("not hot").select(F.col("fp").alias("a"), F.col("to").alias("b"))
@@ -156,7 +156,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     stay; a row with a null id stays and takes its component's id (null if the component has no other
     id); an empty table gives an empty one.  Other columns are not read.
     """
-    of = cut_lineage(fingerprints(docs, doc_id, text, size))
+    of = written(fingerprints(docs, doc_id, text, size))
     firsts = of.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = connected_components(near_links(firsts.select("fp"), radius))
     at = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
