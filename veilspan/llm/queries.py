@@ -127,3 +127,11 @@ def op7_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
 
     found = without_repeats(load(spark, root, "documents"), size=13)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op3_secret_scan(spark: SparkSession, root: str) -> DataFrame:
+    """Credentials found in documents, with the forest's score."""
+    from veilspan.llm.secrets import secret_findings
+
+    return secret_findings(load(spark, root, "documents").select("doc_id", "text"), ["doc_id"])
