@@ -108,8 +108,8 @@ def passage_sums(values: np.ndarray, width: int) -> np.ndarray:
     return sums[ends] - sums[starts]
 
 
-def train(texts: list[bytes], labels: list[int], width: int = 8, dim: int = 8, epochs: int = 8, rate: float = 0.1,
-          seed: int = 7, batch: int = 64, min_texts: int = 3) -> ToxicityModel:
+def train(texts: list[bytes], labels: list[int], width: int = 8, dim: int = 8, steps: int = 600, rate: float = 0.1,
+          seed: int = 7, batch: int = 32, min_texts: int = 3) -> ToxicityModel:
     """Fits embeddings and softmax together by Adagrad on four fifths of the texts, the logistic scale on the rest.
 
     The averages are scaled by the passage width before the softmax, which only changes its unit.  N-grams of
@@ -137,9 +137,11 @@ def train(texts: list[bytes], labels: list[int], width: int = 8, dim: int = 8, e
     inside, held = order[len(texts) // 5:], order[: len(texts) // 5]
     share = min(max(y[inside].mean(), 1e-3), 1 - 1e-3)
     weights = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))
-    for _ in range(epochs):
+    done = 0
+    while done < steps:
         rng.shuffle(inside)
-        for k in range(0, len(inside), batch):
+        for k in range(0, min(len(inside), (steps - done) * batch), batch):
+            done += 1
             flat, owner, starts, ends, of, kept, total = [], [], [], [], [], [], 0
             for i in inside[k:k + batch]:
                 words_before = total
@@ -164,8 +166,8 @@ def train(texts: list[bytes], labels: list[int], width: int = 8, dim: int = 8, e
             # slope of -log likelihood by a passage's margin, under the noisy-or
             pull = np.where(y[kept] > 0, -none / np.maximum(1 - none, 1e-6), 1.0) * weights[kept]
             g = p * pull[of] / len(kept)
-            steps = np.bincount(starts, g, total + 1) - np.bincount(ends, g, total + 1)
-            by_word = np.cumsum(steps)[:-1] / count
+            jumps = np.bincount(starts, g, total + 1) - np.bincount(ends, g, total + 1)
+            by_word = np.cumsum(jumps)[:-1] / count
             by_bucket = np.bincount(flat, by_word[owner], BUCKETS) * live
             g_delta = table.T @ by_bucket
             g_soft = np.stack([-g_delta, g_delta], 1)
