@@ -108,6 +108,13 @@ def test_pareto_front(spark):
     assert got == {y[1] for y in rows if not any(beats(x, y) for x in rows)}
 
 
+def test_pareto_front_keeps_equal_runs_however_they_are_dealt(spark):
+    df = spark.createDataFrame([("p", str(i), 1.0, 2.0, 3.0) for i in range(4)] + [("p", "x", 0.0, 2.0, 3.0)],
+                               "project string, label string, a double, b double, c double")
+    for parts in (1, 4):
+        assert {r.label for r in Y.pareto_front(df.repartition(parts), "project", ["a", "b"], ["c"]).collect()} == set("0123")
+
+
 def test_stream_replays_do_not_change_the_winner(spark, tmp_path):
     rows = [("events", a, r, f"2024-01-01 0{h}:10:00", float(m), "k") for a, r, h, m in ((1, 1, 0, 5), (1, 2, 1, 3), (2, 3, 1, 4), (1, 2, 1, 3), (2, 4, 5, 9))]
     df = spark.createDataFrame(rows, "project string, agent long, run_id long, ts string, metric double, kind string").withColumn("ts", F.to_timestamp("ts"))

@@ -4,8 +4,10 @@ import hashlib
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
+from veilspan.operators import quality as Q
 from veilspan.operators import redaction as X
 from veilspan.operators import sampling as N
 from veilspan.plans import scaled
@@ -144,33 +146,16 @@ def test_bounded_greedy_equals_the_full_walk(spark):
 
 
 def plain_stratified(rows, targets, seed, rare):
-    whole = sum(targets.values())
-
-    def share(total):
-        got = {s: total * n // whole for s, n in targets.items()}
-        for s in sorted(targets, key=lambda s: (-targets[s], s))[: total - sum(got.values())]:
-            got[s] += 1
-        return got
-
-    want_pos = share(sum(r["has_positive"] for r in rows))
-    want = {k: share(sum(k in r["types"] for r in rows)) for k in rare}
-    n, pos, had, out = Counter(), Counter(), Counter(), {}
-    for r in sorted(rows, key=lambda r: (-len(set(r["types"]) & set(rare)), -r["has_positive"], key(r["dialogue_id"], seed))):
-        kinds = set(r["types"]) & set(rare)
-        s = min((s for s in targets if n[s] < targets[s]), key=lambda s: (
-            n[s] / targets[s], -sum(max(want[k][s] - had[k, s], 0) for k in kinds), -max(want_pos[s] - pos[s], 0) if r["has_positive"] else 0, n[s], s))
-        out[r["dialogue_id"]] = s
-        n[s] += 1
-        pos[s] += r["has_positive"]
-        for k in kinds:
-            had[k, s] += 1
-    return out
+    bits = lambda r: sum(1 << i for i, k in enumerate(rare) if k in r["types"])
+    order = sorted(rows, key=lambda r: (-bits(r).bit_count(), bits(r), -r["has_positive"], key(r["dialogue_id"], seed)))
+    places = sorted(((2 * k + 1) / (2 * n), s) for s, n in targets.items() for k in range(n))
+    return {r["dialogue_id"]: s for r, (_, s) in zip(order, places)}
 
 
 def test_stratified_split(spark):
     rng = random.Random(9)
     rare = ("A", "B", "C")
-    for n, targets in ((60, {"train": 40, "dev": 10, "test": 10}), (47, {"train": 21, "dev": 13, "test": 13})):
+    for n, targets in ((60, {"train": 40, "dev": 10, "test": 10}), (147, {"train": 89, "dev": 29, "test": 29})):
         rows = []
         for i in range(n):
             types = rng.sample(["A", "B", "C", "NAME"], rng.randint(0, 2)) if rng.random() < 0.5 else []
@@ -178,9 +163,30 @@ def test_stratified_split(spark):
         df = spark.createDataFrame(rows, "dialogue_id string, types array<string>, has_positive boolean")
         got = {r[0]: r[1] for r in N.stratified_split(df, targets, 17, rare).collect()}
         assert got == plain_stratified(rows, targets, 17, rare)
-        # Beyond the head limit the sizes stay exact.
-        wide = Counter(r[1] for r in N.stratified_split(df, targets, 17, rare, head_limit=0).collect())
-        assert wide == Counter(targets)
+        assert Counter(got.values()) == Counter(targets)
+        cells = {}
+        for r in rows:
+            cells.setdefault((tuple(k in r["types"] for k in rare), r["has_positive"]), Counter())[got[r["dialogue_id"]]] += 1
+        for cell in cells.values():
+            for s, size in targets.items():
+                assert abs(cell[s] - sum(cell.values()) * size / n) < 2
+        with pytest.raises(ValueError):
+            N.stratified_split(df, {"train": n - 1}, 17, rare)
+
+
+def test_balanced_split_refuses_a_shortfall(spark):
+    rows = spark.createDataFrame([(s, f"{s}{i}", True, None, False) for s in "ab" for i in range(6)],
+                                 "subject string, id string, missed_any boolean, has_multispan_seed boolean, has_redact_seed boolean")
+    assert N.balanced_split(rows, {"train": 8, "dev": 4}, 17).count() == 12
+    with pytest.raises(Q.DataViolation):
+        N.balanced_split(rows, {"train": 10, "dev": 4}, 17)
+
+
+def test_source_caps_keep_rows_without_a_source(spark):
+    rows = spark.createDataFrame([("1", None), ("2", "a"), ("3", "a"), ("4", "b"), ("5", None)], "id string, source string")
+    got = [r.source for r in N.source_caps(rows, "source", {"a": 1, "b": -1}).collect()]
+    assert Counter(got) == Counter([None, None, "a", "b"])
+    assert N.source_caps(rows, "source", {}).count() == 5
 
 
 def test_span_pool_budgets_and_legacy(spark):

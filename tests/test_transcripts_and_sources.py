@@ -128,3 +128,11 @@ def test_quality_guards(spark):
         Q.pending(gold, pred.withColumn("predicted_action", F.lit("MAYBE")).filter("id = '9'"))
     with pytest.raises(Q.DataViolation):
         Q.exclude_used(gold.withColumnRenamed("id", "dialogue_id"), spark.createDataFrame([(None,)], "dialogue_id string")).collect()
+
+
+def test_radius_context_goes_by_place_not_by_number(spark):
+    from veilspan.operators.context import radius_context
+
+    turns = spark.createDataFrame([("d", t, "s", f"t{t}") for t in (0, 5, 9, 100_000)], "dialogue_id string, turn_index long, speaker_role string, text string")
+    got = {r.turn_index: r.context_text for r in radius_context(turns, 1).collect()}
+    assert got == {0: "s: t0\ns: t5", 5: "s: t0\ns: t5\ns: t9", 9: "s: t5\ns: t9\ns: t100000", 100_000: "s: t9\ns: t100000"}

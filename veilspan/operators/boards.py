@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scaled import first_k, ranked, running_min_before
+from ..session import cut_lineage
+
+CHUNKS = 64
 
 
 def _signed(ascending: bool) -> Column:
@@ -17,35 +20,41 @@ def _signed(ascending: bool) -> Column:
 
 
 def leaderboard(runs: DataFrame, ascending: bool = True) -> DataFrame:
-    """Per project and agent: best run with its kind, run count, last update, and rank.
+    """Per project and agent: best run with its kind (and ``gpu``, if given), run count, last update, and rank.
 
-    Ranks are chunked by the metric's integer part, so a project with very many agents
-    is not sorted in one task.
+    Ranks are chunked at quantiles of the best metrics, so a project with very many agents is not sorted
+    in one task, whatever the metric's scale; ranks do not depend on where the chunks are cut.
     """
     key = F.struct(_signed(ascending), F.col("run_id"))
+    shown = ["metric", "kind", "run_id", *(["gpu"] if "gpu" in runs.columns else [])]
     best = runs.groupBy("project", "agent").agg(
-        F.min_by(F.struct("metric", "kind", "run_id"), key).alias("b"), F.count(F.lit(1)).alias("runs"), F.max("ts").alias("updated"))
-    rows = best.select("project", "agent", "b.metric", "b.kind", "b.run_id", "runs", "updated")
-    return ranked(rows, ["project"], [_signed(ascending), F.col("agent")], F.floor(_signed(ascending)), "rank")
+        F.min_by(F.struct(*shown), key).alias("b"), F.count(F.lit(1)).alias("runs"), F.max("ts").alias("updated"))
+    rows = cut_lineage(best.select("project", "agent", *[f"b.{c}" for c in shown], "runs", "updated"))
+    signed = _signed(ascending)
+    cuts = rows.agg(F.percentile_approx(signed, [k / CHUNKS for k in range(1, CHUNKS)])).first()[0] or []
+    chunk = F.size(F.filter(F.array(*[F.lit(float(x)) for x in cuts]).cast("array<double>"), lambda x: x <= signed))
+    return ranked(rows, ["project"], [signed, F.col("agent")], chunk, "rank")
 
 
 def header(runs: DataFrame) -> DataFrame:
     return runs.groupBy("project").agg(F.count_distinct("agent").alias("agents"), F.count(F.lit(1)).alias("experiments"))
 
 
-def improvements(runs: DataFrame, chunk: Column | None = None) -> DataFrame:
-    """``is_new_best`` and ``improvement`` against the agent's own previous best, by time."""
+def improvements(runs: DataFrame, chunk: Column | None = None, ascending: bool = True) -> DataFrame:
+    """``is_new_best`` and ``improvement`` (positive is better) against the agent's own previous best, by time."""
     by_day = F.date_trunc("day", "ts") if chunk is None else chunk
-    out = running_min_before(runs, ["project", "agent"], [F.col("ts"), F.col("run_id")], by_day, "metric", "previous_best")
-    new = F.col("previous_best").isNull() | (F.col("metric") < F.col("previous_best"))
-    return out.withColumn("is_new_best", new).withColumn(
-        "improvement", F.when(new, F.col("previous_best") - F.col("metric")))
+    signed = runs.withColumn("__m", _signed(ascending))
+    out = running_min_before(signed, ["project", "agent"], [F.col("ts"), F.col("run_id")], by_day, "__m", "__best")
+    new = F.col("__best").isNull() | (F.col("__m") < F.col("__best"))
+    return out.withColumns({
+        "previous_best": F.col("__best") if ascending else -F.col("__best"), "is_new_best": new,
+        "improvement": F.when(new, F.col("__best") - F.col("__m"))}).drop("__m", "__best")
 
 
 def snapshot(board: DataFrame, runs: DataFrame, top: int = 10) -> DataFrame:
-    """Per project: top agents, global best and experiment count."""
+    """Per project: top agents, global best (the first of the board) and experiment count."""
     lead = board.filter(F.col("rank") <= top).groupBy("project").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "agent", "metric"))).alias("top"), F.min("metric").alias("global_best"))
+        F.array_sort(F.collect_list(F.struct("rank", "agent", "metric"))).alias("top"), F.min_by("metric", "rank").alias("global_best"))
     return lead.join(header(runs), "project")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import OUTSIDE
 from ..functions.text import collapse_space, is_blank, rstrip_space
 from ..functions.tokens import bind, tokenize_sql
-from ..plans.scaled import CHUNK_ROWS, first_k, neighbours
+from ..plans.scaled import CHUNK_ROWS, block, first_k, neighbours, ranked
 
 KEYS = ("dialogue_id",)
 IGNORE = "__IGNORE__"
@@ -35,17 +35,19 @@ def neighbour_context_normalised(df: DataFrame, order: str = "turn_index") -> Da
 
 
 def radius_context(df: DataFrame, radius: int, order: str = "turn_index") -> DataFrame:
-    """Rows ``[i-r, i+r]``: each row is sent to its neighbours' positions and re-joined.
+    """The ``radius`` rows before and after each row, by place in the dialogue; ``order`` may have gaps.
 
-    Works on dense positions, and never gathers a dialogue: the group is one position.
+    Places are ranks counted in chunks; each row is sent to its neighbours' places and re-joined, so
+    no dialogue is gathered: the group is one place.
     """
+    placed = ranked(df, ["dialogue_id"], [F.col(order)], block(F.col(order)), "__at")
     snippet = F.concat(F.col("speaker_role"), F.lit(": "), F.col("text"))
     offsets = F.explode(F.array(*[F.lit(d) for d in range(-radius, radius + 1)])).alias("d")
-    sent = df.select("dialogue_id", (F.col(order)).alias("__from"), snippet.alias("s"), offsets).select(
-        "dialogue_id", (F.col("__from") + F.col("d")).alias(order), "__from", "s")
-    packed = sent.groupBy("dialogue_id", order).agg(F.array_sort(F.collect_list(F.struct("__from", "s"))).alias("w"))
+    sent = placed.select("dialogue_id", F.col("__at").alias("__from"), snippet.alias("s"), offsets).select(
+        "dialogue_id", (F.col("__from") + F.col("d")).alias("__at"), "__from", "s")
+    packed = sent.groupBy("dialogue_id", "__at").agg(F.array_sort(F.collect_list(F.struct("__from", "s"))).alias("w"))
     text = F.array_join(F.transform("w", lambda x: x["s"]), "\n")
-    return df.join(packed, ["dialogue_id", order]).withColumn("context_text", text).drop("w")
+    return placed.join(packed, ["dialogue_id", "__at"]).withColumn("context_text", text).drop("w", "__at")
 
 
 def nonblank_neighbours(df: DataFrame, order: str = "turn_index", chunk: int = CHUNK_ROWS) -> DataFrame:

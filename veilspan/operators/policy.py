@@ -376,20 +376,20 @@ def adaptation_gate(runs: DataFrame, baseline: str) -> DataFrame:
 
 
 def pareto_front(runs: DataFrame, project: str, better_high: Sequence[str], better_low: Sequence[str] = ()) -> DataFrame:
-    """Runs of a project not beaten on every measure at once.
+    """Runs of a project not beaten on every measure at once; equal runs stay or go together.
 
-    A front of fronts is the front: each task keeps only its own survivors while it
-    streams its batches, and the exact comparison runs on those few rows.
+    A front of fronts is the front: each task keeps only the different points that survive its own
+    batches, the exact comparison runs on those few, and the runs at the points that remain are returned.
     """
     measures = [*better_high, *better_low]
     sign = [1.0] * len(better_high) + [-1.0] * len(better_low)
+    points = runs.select(project, *measures)
 
     def survivors(batches):
         kept: dict = {}
         for batch in batches:
             for key, part in batch.groupby(project, dropna=False):
-                pool = pd.concat([kept[key], part]) if key in kept else part
-                pool = pool.drop_duplicates(measures + [c for c in pool.columns if c not in measures])
+                pool = (pd.concat([kept[key], part]) if key in kept else part).drop_duplicates()
                 score = pool[measures].to_numpy(dtype=float) * sign
                 beaten = [
                     bool(((score >= row).all(axis=1) & (score > row).any(axis=1)).any()) for row in score
@@ -397,7 +397,7 @@ def pareto_front(runs: DataFrame, project: str, better_high: Sequence[str], bett
                 kept[key] = pool[[not b for b in beaten]]
         yield from kept.values()
 
-    local = runs.mapInPandas(survivors, runs.schema)
+    local = points.mapInPandas(survivors, points.schema).distinct()
     other = local.select(F.col(project).alias("__p"), *[F.col(c).alias(f"__{c}") for c in measures])
     ge = [F.col(f"__{c}") >= F.col(c) for c in better_high] + [F.col(f"__{c}") <= F.col(c) for c in better_low]
     gt = [F.col(f"__{c}") > F.col(c) for c in better_high] + [F.col(f"__{c}") < F.col(c) for c in better_low]
@@ -407,6 +407,11 @@ def pareto_front(runs: DataFrame, project: str, better_high: Sequence[str], bett
     strictly = gt[0]
     for g in gt[1:]:
         strictly = strictly | g
-    return local.join(other, cond & strictly, "left_anti")
+    front = local.join(other, cond & strictly, "left_anti").select(*[F.col(c).alias(f"__{c}") for c in (project, *measures)])
+    same = F.lit(True)
+    for c in (project, *measures):
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return runs.join(front, same, "left_semi")
+
 
 

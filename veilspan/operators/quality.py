@@ -184,5 +184,6 @@ def pending(todo: DataFrame, done: DataFrame, run: Mapping[str, str] | None = No
     return todo.join(done.select("id"), "id", "left_anti")
 
 
-def is_complete(df: DataFrame, expected: int) -> DataFrame:
+def is_complete(df: DataFrame, expected: int | Column) -> DataFrame:
+    """``expected`` is a number or a scalar subquery."""
     return df.agg(F.count(F.lit(1)).alias("rows")).select("rows", (F.col("rows") == expected).alias("complete"))

@@ -21,6 +21,7 @@ from ..functions.text import fold_case, stable_hash
 from ..functions.tokens import explode_rows, tokenize
 from ..plans.scaled import first_k, hash_block, ranked
 from ..session import cut_lineage
+from .quality import require_none
 
 
 def _hashed(df: DataFrame, key: str, seed: int | None) -> DataFrame:
@@ -92,13 +93,18 @@ def capped_top(df: DataFrame, session: str, order: Sequence[Column], cap: int, t
 
 
 def source_caps(df: DataFrame, source: str, caps: Mapping[str, int], key: str = "id") -> DataFrame:
-    """At most ``caps[source]`` rows per source in hash order; -1 or no entry means all."""
-    out = df.filter(~F.col(source).isin(*[s for s, k in caps.items() if k >= 0]))
-    for name, k in caps.items():
-        if k >= 0:
-            rows = _hashed(df.filter(F.col(source) == name), key, None)
-            out = out.unionByName(rows.orderBy("__h", key).limit(k).drop("__h"))
-    return out
+    """At most ``caps[source]`` rows per source in hash order; -1 or no entry means all, a null source too.
+
+    Sources without a cap pass as they are; all capped ones are ranked together.
+    """
+    capped = {s: k for s, k in caps.items() if k >= 0}
+    if not capped:
+        return df
+    within = F.coalesce(F.col(source).isin(*capped), F.lit(False))
+    cap = F.element_at(F.create_map(*[F.lit(x) for pair in capped.items() for x in pair]), F.col(source))
+    hashed = _hashed(df.filter(within), key, None)
+    first = first_k(hashed, [source], [F.col("__h"), F.col(key)], max(capped.values()), "__k").filter(F.col("__k") <= cap)
+    return df.filter(~within).unionByName(first.drop("__h", "__k"))
 
 
 # --- item filters and scores -------------------------------------------------------------------
@@ -343,88 +349,37 @@ def span_pool(candidates: DataFrame, legacy: DataFrame | None = None, pred_per_r
 
 
 # --- stratified and balanced splits ------------------------------------------------------------------
-def stratified_split(dialogues: DataFrame, targets: Mapping[str, int], seed: int, rare: Sequence[str] = RARE_TYPES,
-                     head_limit: int = 2_000_000) -> DataFrame:
+def stratified_split(dialogues: DataFrame, targets: Mapping[str, int], seed: int, rare: Sequence[str] = RARE_TYPES) -> DataFrame:
     """``dialogue_id, split``; ``dialogues``: dialogue_id, types array<string>, has_positive.
 
-    The order is (rare types, positive, hash).  Which split takes a dialogue depends on
-    running deficits only while there are rare or positive dialogues left (the head), and
-    then on nothing but counts.  The head is one narrow sequential walk and is run so
-    while it is known to be small; beyond ``head_limit`` dialogues the same slots are
-    filled in the same order without the deficit tie-break, which keeps every split size
-    exact and spreads each class of dialogues evenly.
+    Dialogues are ranked by cell (number and set of rare types, positive or not) and then by hash.  Each
+    split's places are spread evenly over the ranks, so every split has exactly its target and every
+    cell, a run of ranks, is dealt in proportion; what a cell leaves over is carried into the next.
+    Targets that do not add up to the number of dialogues are an error.
     """
     bits = sum(F.when(F.array_contains("types", t), F.lit(1 << i)).otherwise(0) for i, t in enumerate(rare))
     held = dialogues.select("dialogue_id", bits.cast("long").alias("rare"), F.col("has_positive").cast("int").alias("pos"),
                             stable_hash(F.col("dialogue_id"), seed).alias("h"))
     held = cut_lineage(held.withColumn("width", F.bit_count("rare")))  # narrow rows, read several times below
-    lead = F.concat(F.lpad((99 - F.col("width")).cast("string"), 2, "0"), (1 - F.col("pos")).cast("string"), hash_block(F.col("h")))
-    order = ranked(held, [], [F.desc("width"), F.desc("pos"), F.col("h"), F.col("dialogue_id")], lead, "slot")
-
-    head = order.filter("width > 0 or pos > 0")
-    stats = head.agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos"),
-                     *[F.sum((F.col("rare").bitwiseAND(1 << i) > 0).cast("int")).alias(f"r{i}") for i in range(len(rare))]).first()
-    whole = sum(targets.values())
-
-    def shares(total: int) -> dict[str, int]:
-        out = {s: total * n // whole for s, n in targets.items()}
-        for s in sorted(targets, key=lambda s: (-targets[s], s))[: total - sum(out.values())]:
-            out[s] += 1
-        return out
-
-    wanted_pos = shares(stats["pos"] or 0)
-    wanted_rare = [shares(stats[f"r{i}"] or 0) for i in range(len(rare))]
-
-    def slot_table(first: int) -> DataFrame:
-        """Slots after ``first`` picks, from the counts alone."""
-        spark = dialogues.sparkSession
-        seqs = None
-        for s, n in targets.items():
-            part = spark.range(n).select((F.col("id") / n).alias("fill"), F.col("id").alias("k"), F.lit(s).alias("split"))
-            seqs = part if seqs is None else seqs.unionByName(part)
-        chunk = F.floor(F.col("fill") * 4096)
-        return ranked(seqs, [], [F.col("fill"), F.col("k"), F.col("split")], chunk, "slot").filter(F.col("slot") > first)
-
-    if stats["n"] > head_limit:
-        return order.join(slot_table(0), "slot").select("dialogue_id", "split")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        done: Counter = Counter()
-        pos_done: Counter = Counter()
-        rare_done = [Counter() for _ in rare]
-        out = []
-        for row in pdf.sort_values("slot").itertuples():
-            kinds = [i for i in range(len(rare)) if row.rare >> i & 1]
-
-            def cost(s):
-                need = sum(max(wanted_rare[i][s] - rare_done[i][s], 0) for i in kinds)
-                need_pos = max(wanted_pos[s] - pos_done[s], 0) if row.pos else 0
-                return done[s] / targets[s], -need, -need_pos, done[s], s
-
-            s = min((s for s in targets if done[s] < targets[s]), key=cost)
-            done[s] += 1
-            pos_done[s] += row.pos
-            for i in kinds:
-                rare_done[i][s] += 1
-            out.append(s)
-        return pd.DataFrame({"dialogue_id": pdf.sort_values("slot").dialogue_id.to_list(), "split": out})
-
-    first = head.select("dialogue_id", "slot", "rare", "pos", F.lit(1).alias("one")).groupBy("one").applyInPandas(walk, "dialogue_id string, split string")
-    # Inside a block of equal fill the head may have taken splits in another order; what is
-    # left of that block is decided by counts, so the tail starts from the head's own counts.
-    used = {r["split"]: r["n"] for r in first.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
-    tail_slots = slot_table(0).filter(
-        F.col("k") >= F.coalesce(F.element_at(F.create_map(*[F.lit(x) for s in targets for x in (s, used.get(s, 0))]), F.col("split")), F.lit(0)))
-    tail_slots = ranked(tail_slots.drop("slot"), [], [F.col("fill"), F.col("k"), F.col("split")], F.floor(F.col("fill") * 4096), "at")
-    tail = order.filter("width = 0 and pos = 0").withColumn("at", F.col("slot") - F.lit(stats["n"]))
-    return first.unionByName(tail.join(tail_slots, "at").select("dialogue_id", "split"))
+    n, whole = held.count(), sum(targets.values())
+    if n != whole:
+        raise ValueError(f"targets add up to {whole}, dialogues are {n}")
+    lead = F.concat(F.lpad((99 - F.col("width")).cast("string"), 2, "0"), F.lpad("rare", 20, "0"), (1 - F.col("pos")).cast("string"), hash_block(F.col("h")))
+    order = ranked(held, [], [F.desc("width"), F.col("rare"), F.desc("pos"), F.col("h"), F.col("dialogue_id")], lead, "slot")
+    places = None
+    for name, size in targets.items():
+        part = dialogues.sparkSession.range(size).select(((2 * F.col("id") + 1) / (2 * size)).alias("fill"), F.lit(name).alias("split"))
+        places = part if places is None else places.unionByName(part)
+    slots = ranked(places, [], [F.col("fill"), F.col("split")], F.floor(F.col("fill") * 4096), "slot")
+    return order.join(slots, "slot").select("dialogue_id", "split")
 
 
 def balanced_split(rows: DataFrame, counts_by_split: Mapping[str, int], seed: int, key: str = "id") -> DataFrame:
     """``subject, id, split``: per subject, hardest rows first, dealt to the emptiest split.
 
     ``rows``: subject, id, missed_any, has_multispan_seed, has_redact_seed.  Dealing is a
-    slot table ranked by fill; rows and slots meet on their rank.
+    slot table ranked by fill; rows and slots meet on their rank.  A subject with fewer rows
+    than its quota is an error.
     """
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("int")
     held = rows.select("subject", key, flag("missed_any").alias("a"), flag("has_multispan_seed").alias("b"),
@@ -438,6 +393,8 @@ def balanced_split(rows: DataFrame, counts_by_split: Mapping[str, int], seed: in
         part = even_quotas(subjects, "subject", total).withColumn("split", F.lit(split))
         quotas = part if quotas is None else quotas.unionByName(part)
     quotas = quotas.filter("quota > 0")
+    short = quotas.groupBy("subject").agg(F.sum("quota").alias("wanted")).join(held.groupBy("subject").agg(F.count(F.lit(1)).alias("rows")), "subject")
+    require_none(short.filter("rows < wanted"), "subjects with too few rows")
     slots = explode_rows(quotas, F.expr("sequence(0, int(quota) - 1)"), "k").withColumn("fill", F.col("k") / F.col("quota"))
     slots = ranked(slots, ["subject"], [F.col("fill"), F.desc("quota"), F.col("split")], F.floor(F.col("fill") * 1024), "slot")
     return order.join(slots, ["subject", "slot"]).select("subject", key, "split")

@@ -7,7 +7,7 @@ from ..operators import boards as B
 from ..operators import policy as Y
 from ..operators import research as Z
 from ..sources import readers, sinks
-from ..session import work_folder
+from ..session import cut_lineage, work_folder
 from ..streaming import live
 from . import inputs as I
 from .decisions import rounded
@@ -22,8 +22,12 @@ def runs(spark, root):
 
 
 RUNS = "runs AS (SELECT 'events' AS project, user_id AS agent, event_id AS run_id, ts, value AS metric, event_type AS kind, CAST(json_extract(props, '$.k') AS INT) AS k FROM events)"
-_BOARD = f"""{RUNS}, best AS (SELECT agent, arg_min((metric, kind, run_id), (metric, run_id)) AS b, count(*) AS runs, max(ts) AS updated FROM runs GROUP BY agent),
-board AS (SELECT agent, b[1] AS metric, b[2] AS kind, b[3] AS run_id, runs, updated, row_number() OVER (ORDER BY b[1], agent) AS rank FROM best)"""
+def _board_sql(sign=""):
+    return f"""{RUNS}, best AS (SELECT agent, arg_min((metric, kind, run_id), ({sign} metric, run_id)) AS b, count(*) AS runs, max(ts) AS updated FROM runs GROUP BY agent),
+board AS (SELECT agent, b[1] AS metric, b[2] AS kind, b[3] AS run_id, runs, updated, row_number() OVER (ORDER BY {sign} b[1], agent) AS rank FROM best)"""
+
+
+_BOARD = _board_sql()
 
 
 @query("l1_leaderboard", f"WITH {_BOARD} SELECT agent, metric, kind, run_id, runs, CAST(epoch_us(updated) AS BIGINT) AS updated_us, rank FROM board")
@@ -31,6 +35,12 @@ def leaderboard(spark, root):
     return B.leaderboard(runs(spark, root)).select("agent", "metric", "kind", "run_id", "runs", F.unix_micros("updated").alias("updated_us"), "rank")
 
 
+@query("l1_leaderboard_high", f"WITH {_board_sql('-')} SELECT agent, metric, kind, run_id, runs, CAST(epoch_us(updated) AS BIGINT) AS updated_us, rank FROM board")
+def leaderboard_high(spark, root):
+    board = B.leaderboard(runs(spark, root), ascending=False)
+    return board.select("agent", "metric", "kind", "run_id", "runs", F.unix_micros("updated").alias("updated_us"), "rank")
+
+
 @query("l2_board_header", f"WITH {RUNS} SELECT project, count(DISTINCT agent) AS agents, count(*) AS experiments FROM runs GROUP BY project")
 def board_header(spark, root):
     return B.header(runs(spark, root))
@@ -41,6 +51,18 @@ def new_best(spark, root):
     return rounded(B.improvements(runs(spark, root)).select("run_id", "is_new_best", "improvement"))
 
 
+@query("l3_new_best_high", f"WITH {RUNS} SELECT run_id, p IS NULL OR metric > p AS is_new_best, round(CASE WHEN p IS NULL OR metric > p THEN metric - p END, 6) AS improvement FROM (SELECT *, max(metric) OVER (PARTITION BY agent ORDER BY ts, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM runs)")
+def new_best_high(spark, root):
+    return rounded(B.improvements(runs(spark, root), ascending=False).select("run_id", "is_new_best", "improvement"))
+
+
+@query("l4_network_snapshot_high", f"WITH {_board_sql('-')} SELECT 'events' AS project, string_agg(agent, ',' ORDER BY rank) FILTER (rank <= 10) AS top_agents, max(metric) AS global_best, count(*) AS agents, (SELECT count(*) FROM runs) AS experiments FROM board")
+def network_snapshot_high(spark, root):
+    r = runs(spark, root)
+    return B.snapshot(B.leaderboard(r, ascending=False), r).select(
+        "project", F.array_join(F.transform("top", lambda t: t["agent"].cast("string")), ",").alias("top_agents"), "global_best", "agents", "experiments")
+
+
 @query("l4_network_snapshot", f"WITH {_BOARD} SELECT 'events' AS project, string_agg(agent, ',' ORDER BY rank) FILTER (rank <= 10) AS top_agents, min(metric) AS global_best, count(*) AS agents, (SELECT count(*) FROM runs) AS experiments FROM board")
 def network_snapshot(spark, root):
     r = runs(spark, root)
@@ -74,19 +96,44 @@ def _stream(spark, root):
                     F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("metric"), F.col("event_type").alias("kind"))
 
 
-@query("l8_live_best_per_peer", f"WITH {RUNS}, b AS (SELECT agent, min((metric, run_id, kind)) AS b, max(ts) AS u FROM runs GROUP BY agent) SELECT agent, b[1] AS metric, b[2] AS run_id, b[3] AS kind, CAST(epoch_us(u) AS BIGINT) AS updated_us FROM b")
+def _live_sql(sign):
+    return f"WITH {RUNS}, b AS (SELECT agent, min(({sign} metric, run_id, kind)) AS b, count(*) AS runs, max(ts) AS u FROM runs GROUP BY agent) SELECT agent, {sign} b[1] AS metric, b[2] AS run_id, b[3] AS kind, runs, CAST(epoch_us(u) AS BIGINT) AS updated_us FROM b"
+
+
+def _live_best(spark, root, ascending):
+    out = live.drain(live.best_per_peer(_stream(spark, root), ascending), "complete", work_folder(spark, "live-best"))
+    return out.select("agent", "best.metric", "best.run_id", "best.kind", "runs", F.unix_micros("updated").alias("updated_us"))
+
+
+@query("l8_live_best_per_peer", _live_sql(""))
 def live_best_per_peer(spark, root):
-    out = live.drain(live.best_per_peer(_stream(spark, root)), "complete", work_folder(spark, "live-best"))
-    return out.select("agent", "best.metric", "best.run_id", "best.kind", F.unix_micros("updated").alias("updated_us"))
+    return _live_best(spark, root, True)
 
 
-@query("l9_hourly_snapshots", f"WITH {RUNS} SELECT CAST(epoch_us(date_trunc('hour', ts)) AS BIGINT) AS hour_us, count(*) AS runs, min(metric) AS best FROM runs GROUP BY 1 HAVING date_trunc('hour', any_value(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM runs)")
-def hourly_snapshots(spark, root):
-    """Hours still open under the watermark are not emitted."""
-    out = live.drain(live.hourly_snapshots(_stream(spark, root)), "append", work_folder(spark, "hourly"))
+@query("l8_live_best_per_peer_high", _live_sql("-"))
+def live_best_per_peer_high(spark, root):
+    return _live_best(spark, root, False)
+
+
+def _hourly_sql(best):
+    return f"WITH {RUNS} SELECT CAST(epoch_us(date_trunc('hour', ts)) AS BIGINT) AS hour_us, count(*) AS runs, {best}(metric) AS best FROM runs GROUP BY 1"
+
+
+def _hourly(spark, root, ascending):
+    closed = live.drain(live.hourly_snapshots(_stream(spark, root), ascending=ascending), "append", work_folder(spark, "hourly"))
+    out = live.with_open_hours(closed, runs(spark, root).select("project", "ts", "metric"), ascending)
     return out.select(F.unix_micros("window.start").alias("hour_us"), "runs", "best")
 
 
+@query("l9_hourly_snapshots", _hourly_sql("min"))
+def hourly_snapshots(spark, root):
+    """Closed hours from the stream, then the open ones in a last batch read."""
+    return _hourly(spark, root, True)
+
+
+@query("l9_hourly_snapshots_high", _hourly_sql("max"))
+def hourly_snapshots_high(spark, root):
+    return _hourly(spark, root, False)
 
 
 @query("l10_presence_points", f"""WITH {RUNS}, s AS (SELECT agent, (epoch_us(ts) // 1000000) // 90 * 90 AS sec, max(CASE kind WHEN 'error' THEN 5e-1 ELSE 1e0 END) AS w FROM runs GROUP BY ALL),
@@ -121,17 +168,18 @@ def _queries(spark, root):
 _TK = f"regexp_extract_all(lower({{x}}), '{I.TOKEN_PATTERN.replace('{', '{{').replace('}', '}}')}')"
 
 
-def _bm25_sql(docs="documents"):
+def _bm25_sql(docs="documents", p=""):
+    """Common tables whose names begin with ``p``."""
     return f"""
-fld AS (SELECT doc_id, 'title' AS field, 2e0 AS boost, {_TK.format(x="string_split(text, chr(10))[1]")} AS ts FROM {docs} UNION ALL
+{p}fld AS (SELECT doc_id, 'title' AS field, 2e0 AS boost, {_TK.format(x="string_split(text, chr(10))[1]")} AS ts FROM {docs} UNION ALL
   SELECT doc_id, 'body', 1e0, {_TK.format(x="substring(text, length(string_split(text, chr(10))[1]) + 2)")} FROM {docs}),
-st AS (SELECT field, avg(len(ts)) AS al, count(*) AS n FROM fld GROUP BY field),
-qt AS (SELECT item_id AS query_id, unnest(list_distinct({_TK.format(x='text')})) AS term FROM benchmark),
-tf AS (SELECT doc_id, field, boost, len, term, count(*) AS tf FROM (SELECT doc_id, field, boost, len(ts) AS len, unnest(ts) AS term FROM fld) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
-df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY ALL),
-pt AS (SELECT doc_id, term, sum(boost * ln(1 + (n - df + 5e-1) / (df + 5e-1)) * tf * 22e-1 / (tf + 12e-1 * (25e-2 + 75e-2 * len / al))) AS w FROM tf JOIN df USING (field, term) JOIN st USING (field) GROUP BY ALL),
-sc AS (SELECT query_id, doc_id, sum(w) AS score FROM pt JOIN qt USING (term) GROUP BY ALL),
-hits AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc) WHERE rank <= 50)"""
+{p}st AS (SELECT field, avg(len(ts)) AS al, count(*) AS n FROM {p}fld GROUP BY field),
+{p}qt AS (SELECT item_id AS query_id, unnest(list_distinct({_TK.format(x='text')})) AS term FROM benchmark),
+{p}tf AS (SELECT doc_id, field, boost, len, term, count(*) AS tf FROM (SELECT doc_id, field, boost, len(ts) AS len, unnest(ts) AS term FROM {p}fld) WHERE term IN (SELECT term FROM {p}qt) GROUP BY ALL),
+{p}df AS (SELECT field, term, count(*) AS df FROM {p}tf GROUP BY ALL),
+{p}pt AS (SELECT doc_id, term, sum(boost * ln(1 + (n - df + 5e-1) / (df + 5e-1)) * tf * 22e-1 / (tf + 12e-1 * (25e-2 + 75e-2 * len / al))) AS w FROM {p}tf JOIN {p}df USING (field, term) JOIN {p}st USING (field) GROUP BY ALL),
+{p}sc AS (SELECT query_id, doc_id, sum(w) AS score FROM {p}pt JOIN {p}qt USING (term) GROUP BY ALL),
+{p}hits AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM {p}sc) WHERE rank <= 50)"""
 
 
 @query("l12_bm25_search", f"WITH {_bm25_sql()} SELECT query_id, rank, doc_id, round(score, 5) AS score FROM hits WHERE rank <= 10")
@@ -140,31 +188,36 @@ def bm25_search(spark, root):
     return hits.select("query_id", "rank", "doc_id", F.round("score", 5).alias("score"))
 
 
-def _judged(spark, root, hits):
+def _judged(spark, root, scored):
+    """Every labelled document that shares a term with the query, wherever it ranks."""
     lab = I.load(spark, root, "labels").select("doc_id", (1 + F.col("quality") - F.col("toxic")).alias("rel"))
-    return hits.join(lab, "doc_id").select("query_id", "doc_id", "rel")
+    return scored.join(lab, "doc_id").select("query_id", "doc_id", "rel")
 
 
-_NDCG = """jd AS (SELECT query_id, doc_id, 1 + quality - toxic AS rel FROM hits JOIN labels USING (doc_id)),
-idl AS (SELECT query_id, sum((pow(2, rel) - 1) / log2(r + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, doc_id) AS r FROM jd) WHERE r <= 10 GROUP BY query_id),
-dcg AS (SELECT query_id, sum((pow(2, rel) - 1) / log2(rank + 1)) AS dcg FROM hits JOIN jd USING (query_id, doc_id) WHERE rank <= 10 GROUP BY query_id),
-nd AS (SELECT query_id, coalesce(coalesce(dcg, 0) / nullif(ideal, 0), 0) AS ndcg FROM idl LEFT JOIN dcg USING (query_id))"""
+def _ndcg_sql(p="", judged="sc"):
+    return f"""{p}jd AS (SELECT query_id, doc_id, 1 + quality - toxic AS rel FROM {judged} JOIN labels USING (doc_id)),
+{p}idl AS (SELECT query_id, sum((pow(2, rel) - 1) / log2(r + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, doc_id) AS r FROM {p}jd) WHERE r <= 10 GROUP BY query_id),
+{p}dcg AS (SELECT query_id, sum((pow(2, rel) - 1) / log2(rank + 1)) AS dcg FROM {p}hits JOIN {p}jd USING (query_id, doc_id) WHERE rank <= 10 GROUP BY query_id),
+{p}nd AS (SELECT query_id, coalesce(coalesce(dcg, 0) / nullif(ideal, 0), 0) AS ndcg FROM {p}idl LEFT JOIN {p}dcg USING (query_id))"""
 
 
-@query("l13_ndcg", f"WITH {_bm25_sql()}, {_NDCG} SELECT query_id, round(ndcg, 6) AS ndcg FROM nd")
+@query("l13_ndcg", f"WITH {_bm25_sql()}, {_ndcg_sql()} SELECT query_id, round(ndcg, 6) AS ndcg FROM nd")
 def ndcg(spark, root):
-    hits = Z.top_hits(Z.bm25(_corpus(spark, root), _queries(spark, root), BOOSTS), 50)
-    return rounded(Z.ndcg(hits, _judged(spark, root, hits)))
+    scored = cut_lineage(Z.bm25(_corpus(spark, root), _queries(spark, root), BOOSTS))
+    return rounded(Z.ndcg(Z.top_hits(scored), _judged(spark, root, scored)))
+
+
+_HIDDEN = "hidden AS (SELECT doc_id, regexp_replace(text, '\\p{Lu}\\p{L}{4,}', '[NAME]', 'g') AS text FROM documents)"
 
 
-@query("l20_utility_drop")
+@query("l20_utility_drop", f"WITH {_bm25_sql()}, {_ndcg_sql()}, {_HIDDEN}, {_bm25_sql('hidden', 'h')}, {_ndcg_sql('h', 'sc')}, a AS (SELECT (SELECT avg(ndcg) FROM nd) AS raw, (SELECT avg(ndcg) FROM hnd) AS redacted) SELECT round(raw, 6) AS raw, round(redacted, 6) AS redacted, round(raw - redacted, 6) AS utility_drop FROM a")
 def utility_drop(spark, root):
-    """Search quality on raw text against text with long capitalised words masked."""
-    raw = Z.top_hits(Z.bm25(_corpus(spark, root), _queries(spark, root), BOOSTS), 50)
-    judged = _judged(spark, root, raw)
+    """Search quality on raw text against text with long capitalised words masked; the judgements are those of the raw text."""
+    scored = cut_lineage(Z.bm25(_corpus(spark, root), _queries(spark, root), BOOSTS))
+    judged = _judged(spark, root, scored)
     masked = _corpus(spark, root, F.regexp_replace("text", r"\p{Lu}\p{L}{4,}", "[NAME]"))
     hidden = Z.top_hits(Z.bm25(masked, _queries(spark, root), BOOSTS))
-    return rounded(Z.utility_drop(Z.ndcg(raw, judged), Z.ndcg(hidden, judged)))
+    return rounded(Z.utility_drop(Z.ndcg(Z.top_hits(scored), judged), Z.ndcg(hidden, judged)))
 
 
 # --- finance ----------------------------------------------------------------------------------------

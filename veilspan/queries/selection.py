@@ -9,6 +9,7 @@ from ..operators import redaction as X
 from ..operators import sampling as N
 from ..operators import scoring as U
 from ..operators import spans as S
+from ..session import cut_lineage
 from . import inputs as I
 from .decisions import _with_span
 from .quality_checks import responses
@@ -65,9 +66,11 @@ def session_capped_top(spark, root):
     return N.capped_top(orders, "o_custkey", [F.desc("o_totalprice"), F.col("o_orderkey")], 2, 500).select(F.col("o_orderkey").cast("string").alias("id"))
 
 
-@query("n13_source_caps", "SELECT CAST(doc_id AS VARCHAR) AS id, source FROM documents WHERE source NOT IN ('src1', 'src2') UNION ALL SELECT id, source FROM (SELECT CAST(doc_id AS VARCHAR) AS id, source, row_number() OVER (PARTITION BY source ORDER BY sha1(CAST(doc_id AS VARCHAR)), CAST(doc_id AS VARCHAR)) AS r FROM documents WHERE source IN ('src1', 'src2')) WHERE r <= CASE source WHEN 'src1' THEN 10 ELSE 5 END")
+@query("n13_source_caps", "WITH documents AS (SELECT doc_id, CASE WHEN doc_id % 11 <> 0 THEN source END AS source FROM documents) SELECT CAST(doc_id AS VARCHAR) AS id, source FROM documents WHERE source IS NULL OR source NOT IN ('src1', 'src2') UNION ALL SELECT id, source FROM (SELECT CAST(doc_id AS VARCHAR) AS id, source, row_number() OVER (PARTITION BY source ORDER BY sha1(CAST(doc_id AS VARCHAR)), CAST(doc_id AS VARCHAR)) AS r FROM documents WHERE source IN ('src1', 'src2')) WHERE r <= CASE source WHEN 'src1' THEN 10 ELSE 5 END")
 def source_caps(spark, root):
-    docs = I.load(spark, root, "documents").select(F.col("doc_id").cast("string").alias("id"), "source")
+    """Every eleventh source is unknown: such rows have no cap."""
+    docs = I.load(spark, root, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id") % 11 != 0, F.col("source")).alias("source"))
     return N.source_caps(docs, "source", {"src1": 10, "src2": 5, "src3": -1})
 
 
@@ -199,28 +202,41 @@ def span_pool(spark, root):
     return N.span_pool(cand, legacy).groupBy("pool_source", "suggested_action").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("sum_start"))
 
 
-@query("n15_stratified_split")
+_N15 = f"""{_ITEMS}, d AS (SELECT dialogue_id, coalesce(w, 0) AS w, coalesce(b, 0) AS b, p IS NOT NULL AS p FROM (SELECT DISTINCT dialogue_id FROM tagged) LEFT JOIN
+  (SELECT session_id AS dialogue_id, count(DISTINCT r) AS w, CAST(sum(DISTINCT r) AS BIGINT) AS b, 1 AS p FROM (SELECT session_id, CASE entity_type WHEN 'PHONE_NUMBER' THEN 1 WHEN 'PERSON' THEN 2 WHEN 'NRP' THEN 4 END AS r FROM it) GROUP BY ALL) USING (dialogue_id)),
+rk AS (SELECT dialogue_id, row_number() OVER (ORDER BY w DESC, b, p DESC, sha1('17:' || dialogue_id), dialogue_id) AS slot FROM d),
+tot AS (SELECT count(*) AS n, CAST(floor(count(*) * 7e-1) AS BIGINT) AS a, CAST(floor(count(*) * 15e-2) AS BIGINT) AS b FROM d),
+t AS (SELECT 'train' AS split, a AS size FROM tot UNION ALL SELECT 'dev', b FROM tot UNION ALL SELECT 'test', n - a - b FROM tot),
+so AS (SELECT split, row_number() OVER (ORDER BY (2 * k + 1) / CAST(2 * size AS DOUBLE), split) AS slot FROM (SELECT split, size, unnest(range(size)) AS k FROM t))
+SELECT dialogue_id, split FROM rk JOIN so USING (slot)"""
+
+
+@query("n15_stratified_split", _N15)
 def stratified_split(spark, root):
-    """Dialogues are conversations; tag kinds play types.  Checked against a plain twin in the tests."""
-    rows = I.tagged_turns(spark, root).select("dialogue_id", S.tag_spans("text", supported_only=False).alias("ts"))
-    kinds = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.transform("ts", lambda t: R.canonical_type(t["entity_type"]))))))
-    per = rows.groupBy("dialogue_id").agg(kinds.alias("types"), (F.sum(F.size("ts")) > 0).alias("has_positive"))
+    """Dialogues are conversations; tag kinds play types."""
+    spans = F.explode_outer(S.tag_spans("text"))
+    rows = I.tagged_turns(spark, root).select("dialogue_id", spans.alias("t")).select("dialogue_id", F.col("t.entity_type").alias("kind"))
+    per = cut_lineage(rows.groupBy("dialogue_id").agg(F.collect_set("kind").alias("types"), F.count("kind").alias("k"))
+                      .select("dialogue_id", "types", (F.col("k") > 0).alias("has_positive")))
     n = per.count()
     targets = {"train": int(n * 0.7), "dev": int(n * 0.15)}
     targets["test"] = n - sum(targets.values())
-    return N.stratified_split(per, targets, 17, rare=("PHONE_NUMBER", "EMAIL", "NRP", "ODD_TAG"))
+    return N.stratified_split(per, targets, 17, rare=("PHONE_NUMBER", "PERSON", "NRP"))
 
 
 _BAL = f"""{_ITEMS}, f AS (SELECT session_id || '-turn-' || turn_index AS id, subject, bool_or(entity_type <> 'PERSON' AND NOT contains(entity_type, '_')) AS miss, count(*) >= 2 AS multi, bool_or(entity_type = 'PERSON') AS red FROM it GROUP BY ALL),
+low AS (SELECT min(n) AS m FROM (SELECT count(*) AS n FROM f GROUP BY subject)),
 rk AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY miss DESC, multi DESC, red DESC, sha1('17:' || id), id) AS slot FROM f),
-sl AS (SELECT subject, split, q, unnest(range(q)) AS k FROM (SELECT subject, split, tot // 2 + CASE WHEN subject = 'english' AND tot % 2 = 1 THEN 1 ELSE 0 END AS q FROM (VALUES ('english'), ('social_studies')) s(subject), (VALUES ('train', 101), ('dev', 30), ('test', 30)) t(split, tot))),
+sl AS (SELECT subject, split, q, unnest(range(q)) AS k FROM (SELECT subject, split, tot // 2 + CASE WHEN subject = 'english' AND tot % 2 = 1 THEN 1 ELSE 0 END AS q FROM (VALUES ('english'), ('social_studies')) s(subject), (SELECT 'train' AS split, m AS tot FROM low UNION ALL SELECT 'dev', m // 4 FROM low UNION ALL SELECT 'test', m // 4 FROM low) t)),
 so AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY CAST(k AS DOUBLE) / q, q DESC, split) AS slot FROM sl) SELECT subject, id, split FROM rk JOIN so USING (subject, slot)"""
 
 
 @query("n16_balanced_split", _BAL)
 def balanced_split(spark, root):
-    rows = baseline_turns(spark, root).withColumnRenamed("turn_id", "id")
-    return N.balanced_split(rows, {"train": 101, "dev": 30, "test": 30}, 17)
+    """Split sizes follow the smaller subject."""
+    rows = cut_lineage(baseline_turns(spark, root).withColumnRenamed("turn_id", "id"))
+    low = rows.groupBy("subject").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0] or 0
+    return N.balanced_split(rows, {"train": low, "dev": low // 4, "test": low // 4}, 17)
 
 
 # --- redaction ----------------------------------------------------------------------------------

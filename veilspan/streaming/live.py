@@ -9,20 +9,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def best_per_peer(stream: DataFrame) -> DataFrame:
-    """Best run and run count per peer.
+def best_per_peer(stream: DataFrame, ascending: bool = True) -> DataFrame:
+    """Best run and run count per peer; lower metrics are better unless ``ascending=False``.
 
-    Merging keeps the smaller (metric, run_id), which is commutative and idempotent,
+    Merging keeps the better (metric, run_id), which is commutative and idempotent,
     so replays of the same runs do not change the winner.
     """
-    return stream.groupBy("agent").agg(
-        F.min(F.struct("metric", "run_id", "kind")).alias("best"), F.max("ts").alias("updated"))
+    signed = F.col("metric") if ascending else -F.col("metric")
+    best = F.min(F.struct(signed.alias("signed"), "run_id", "metric", "kind"))
+    return stream.groupBy("agent").agg(best.alias("best"), F.count(F.lit(1)).alias("runs"), F.max("ts").alias("updated"))
 
 
-def hourly_snapshots(stream: DataFrame, lateness: str = "10 minutes") -> DataFrame:
+def hourly(runs: DataFrame, ascending: bool = True) -> DataFrame:
+    """One row per hour and project, of a table or a stream."""
+    best = F.min("metric") if ascending else F.max("metric")
+    return runs.groupBy(F.window("ts", "1 hour"), "project").agg(F.count(F.lit(1)).alias("runs"), best.alias("best"))
+
+
+def hourly_snapshots(stream: DataFrame, lateness: str = "10 minutes", ascending: bool = True) -> DataFrame:
     """One row per closed hour and project; events later than ``lateness`` are dropped."""
-    return stream.withWatermark("ts", lateness).groupBy(F.window("ts", "1 hour"), "project").agg(
-        F.count(F.lit(1)).alias("runs"), F.min("metric").alias("best"))
+    return hourly(stream.withWatermark("ts", lateness), ascending)
+
+
+def with_open_hours(closed: DataFrame, runs: DataFrame, ascending: bool = True) -> DataFrame:
+    """``closed`` and, counted from the table that the stream has read, the hours that the watermark left open."""
+    return closed.unionByName(hourly(runs, ascending).join(closed.select("window", "project"), ["window", "project"], "left_anti"))
 
 
 def drain(result: DataFrame, mode: str, folder: str) -> DataFrame:
