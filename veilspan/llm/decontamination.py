@@ -113,14 +113,16 @@ class ItemBlock:
         out = []
         for item, windows in sorted(hits.items()):
             best = (0, 0, 0)
-            start, end = None, -1
-            for a, b in [*sorted(windows), (len(ids) + 1, len(ids) + 2)]:
-                if start is not None and a > end:
-                    score, x, y = smith_waterman(ids[start:end], self.items[item])
-                    if score > best[0]:
-                        best = (score, start + x, start + y)
-                    start = None
-                start, end = (a, b) if start is None else (start, max(end, b))
+            joined: list[list[int]] = []
+            for a, b in sorted(windows):
+                if joined and a <= joined[-1][1]:
+                    joined[-1][1] = max(joined[-1][1], b)
+                else:
+                    joined.append([a, b])
+            for start, end in joined:
+                score, x, y = smith_waterman(ids[start:end], self.items[item])
+                if score > best[0]:
+                    best = (score, start + x, start + y)
             share = best[0] / (MATCH * len(self.items[item]))
             if share >= threshold:
                 out.append((item, share, best[1], best[2]))

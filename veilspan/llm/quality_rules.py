@@ -3,7 +3,7 @@
 Only DataFrame functions are used.  A text's statistics are arrays on its own row; nothing of the
 text is shuffled.  The narrow results are written once, summed by host, and each host's failure
 rate is drawn towards the rate of all hosts by a beta prior whose strength comes from how much the
-hosts differ beyond chance (method of moments).  Host verdicts are joined back to the documents;
+hosts differ beyond chance (moments weighted by size, so that many tiny hosts do not blur it).  Host verdicts are joined back to the documents;
 adaptive execution broadcasts the hosts while they are few and splits a hot host otherwise.
 """
 
@@ -57,13 +57,15 @@ def text_rules(docs: DataFrame, text: str = "text", size: int = 3) -> DataFrame:
 def host_verdicts(failures: DataFrame, host: str, failed: str, max_rate: float = 0.5) -> DataFrame:
     """``(host, n, failures, rate, host_kept)``: shrunken rate of failure of each host, null host included."""
     by_host = written(failures.groupBy(host).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(failed).cast("long")).alias("failures")))
-    raw = F.col("failures") / F.col("n")
-    moments = by_host.agg(F.sum("failures").alias("f"), F.sum("n").alias("n"), F.avg(1 / F.col("n")).alias("inverse"), F.var_pop(raw).alias("spread")).first()
-    mean = (moments.f or 0) / moments.n if moments.n else 0.0
-    chance = mean * (1 - mean) * (moments.inverse or 0.0)
-    beyond = (moments.spread or 0.0) - chance
-    if beyond > 0:
-        strength = max(mean * (1 - mean) / beyond - 1, 0.0)
+    m = by_host.agg(F.sum("failures").alias("f"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("hosts"),
+                    F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"),
+                    F.sum(F.col("failures").cast("double") * F.col("failures") / F.col("n")).alias("spread")).first()
+    mean = (m.f or 0) / m.n if m.n else 0.0
+    chance = mean * (1 - mean)
+    beyond = (m.spread or 0.0) - m.n * mean * mean - (m.hosts - 1) * chance if m.n else 0.0
+    most = chance * (m.n - m.squares / m.n - (m.hosts - 1)) if m.n else 0.0
+    if beyond > 0 and most > 0:
+        strength = max(most / beyond - 1, 0.0)
         rate = (F.col("failures") + F.lit(strength * mean)) / (F.col("n") + F.lit(strength))
     else:
         rate = F.lit(float(mean))  # the hosts differ no more than chance has it

@@ -111,9 +111,9 @@ m AS (SELECT d.doc_id, d.source, len(w.w)::BIGINT AS n_words, length(regexp_repl
       FROM d JOIN w USING (r) LEFT JOIN u USING (r) LEFT JOIN v USING (r)),
 f AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM m),
 h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS x FROM f GROUP BY source),
-s AS (SELECT sum(x) / sum(n) AS mean, avg(1.0 / n) AS inverse, var_pop(x / n) AS spread FROM h),
-q AS (SELECT mean, spread - mean * (1 - mean) * inverse AS beyond FROM s),
-y AS (SELECT source, CASE WHEN beyond > 0 THEN (x + greatest(mean * (1 - mean) / beyond - 1, 0) * mean) / (n + greatest(mean * (1 - mean) / beyond - 1, 0))
+s AS (SELECT sum(x) / sum(n) AS mean, sum(n) AS n, count(*) AS hosts, sum(CAST(n AS DOUBLE) * n) AS squares, sum(CAST(x AS DOUBLE) * x / n) AS spread FROM h),
+q AS (SELECT mean, spread - n * mean * mean - (hosts - 1) * mean * (1 - mean) AS beyond, mean * (1 - mean) * (n - squares / n - (hosts - 1)) AS most FROM s),
+y AS (SELECT source, CASE WHEN beyond > 0 AND most > 0 THEN (x + greatest(most / beyond - 1, 0) * mean) / (n + greatest(most / beyond - 1, 0))
         ELSE mean END AS rate FROM h, q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND rate <= 0.5) AS kept
 FROM f JOIN y ON f.source IS NOT DISTINCT FROM y.source

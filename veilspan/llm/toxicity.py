@@ -117,7 +117,7 @@ def train(texts: list[bytes], labels: list[int], width: int = 8, dim: int = 8, s
     or one class only: a constant model whose score is the smoothed share of label 1.
     """
     y = np.array(labels, float)
-    prior = (y.sum() + 1) / (len(y) + 2)
+    prior = (y.sum() + 0.02) / (len(y) + 0.2)
     blank = ToxicityModel(np.zeros(BUCKETS), 0.0, width, 0.0, float(np.log(prior / (1 - prior))))
     if not 0 < y.sum() < len(y):
         return blank
