@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import explode_rows, tokenize
 from ..plans.scaled import first_k
+from ..session import cut_lineage
 from .metrics import ratio
 
 K1, B = 1.2, 0.75
@@ -19,18 +20,20 @@ def bm25(docs: DataFrame, queries: DataFrame, boosts: Mapping[str, float]) -> Da
     """``query_id, doc_id, score`` of every document sharing a term with a query.
 
     ``docs``: doc_id and one text column per boosted field; ``queries``: query_id, text.
-    Terms that no query uses are dropped before anything is counted, and frequencies
-    combine before the shuffle.  Which join strategy serves the query terms is left to
-    the size statistics.
+    The corpus is tokenised once: a field's query terms with their counts, and one marked row for its
+    length, are written and serve lengths, document frequencies and scores.  Which join strategy
+    serves the query terms is left to the size statistics.
     """
     fields = F.array(*[F.struct(F.lit(f).alias("field"), tokenize(F.lower(F.coalesce(f, F.lit("")))).alias("ts")) for f in boosts])
     per_field = explode_rows(docs.select("doc_id", fields.alias("fs")), F.col("fs"), "f").select("doc_id", "f.field", "f.ts")
-    sizes = per_field.select("doc_id", "field", F.size("ts").alias("len"))
-    stats = sizes.groupBy("field").agg(F.avg("len").alias("avg_len"), F.count(F.lit(1)).alias("n_docs"))
     terms = explode_rows(queries.select("query_id", F.array_distinct(tokenize(F.lower("text"))).alias("qs")), F.col("qs"), "term").select("query_id", "term")
-    wanted = terms.select("term").distinct()
-    words = explode_rows(per_field.select("doc_id", "field", F.size("ts").alias("len"), "ts"), F.col("ts"), "term").select("doc_id", "field", "len", "term")
-    tf = words.join(wanted, "term", "left_semi").groupBy("doc_id", "field", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    wanted = terms.select("term").distinct().withColumn("used", F.lit(True))
+    words = per_field.select("doc_id", "field", F.size("ts").alias("len"), F.posexplode_outer("ts").alias("at", "term"))
+    first = F.coalesce(F.col("at") == 0, F.lit(True))
+    seen = words.join(wanted, "term", "left").filter(first | F.col("used"))
+    seen = cut_lineage(seen.groupBy("doc_id", "field", "len", "term").agg(F.count("used").alias("tf"), F.max(first).alias("first")))
+    stats = seen.filter("first").groupBy("field").agg(F.avg("len").alias("avg_len"), F.count(F.lit(1)).alias("n_docs"))
+    tf = seen.filter("tf > 0").drop("first")
     df = tf.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     weight = F.element_at(F.create_map(*[x for f, w in boosts.items() for x in (F.lit(f), F.lit(float(w)))]), F.col("field"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

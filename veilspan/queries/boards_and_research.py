@@ -429,13 +429,45 @@ def jsonl_round_trip(spark, root):
     return readers.read_jsonl(spark, path, "conv_id long, turn long, role string, text string").select("conv_id", "turn", "role", F.md5("text").alias("digest"))
 
 
-@query("s2_validated_candidates", f"SELECT CAST(doc_id AS VARCHAR) AS id, len(regexp_extract_all(text, '{I.TOKEN_PATTERN}')) AS n_tokens FROM documents WHERE lang <> 'es'")
+@query("s2_validated_candidates", f"SELECT CAST(doc_id AS VARCHAR) AS id, len(regexp_extract_all(text, '{I.TOKEN_PATTERN}')) AS n_tokens FROM documents")
 def validated_candidates(spark, root):
-    """Rows without a subject are dropped by the lenient scan."""
+    """The strict scan: a single faulty row would fail it."""
     path = f"{work_folder(spark, 'candidate')}/rows"
-    df = I.tokenized(spark, root).select("id", F.when(F.col("subject") != "es", F.col("subject")).alias("subject"), "tokens", F.transform("tokens", lambda t: F.lit("O")).alias("labels"))
+    df = I.tokenized(spark, root).select("id", "subject", "tokens", F.transform("tokens", lambda t: F.lit("O")).alias("labels"))
     sinks.write_jsonl(df, path)
-    return readers.read_candidate(spark, path, strict=False).select("id", F.size("tokens").cast("long").alias("n_tokens"))
+    return readers.read_candidate(spark, path).select("id", F.size("tokens").cast("long").alias("n_tokens"))
+
+
+@query("s9_jsonl_lines", "SELECT count(*) AS lines, 0 AS not_ascii, count(DISTINCT conv_id) AS conversations FROM conversations")
+def jsonl_lines(spark, root):
+    """Every row is one line of ASCII text."""
+    path = f"{work_folder(spark, 'lines')}/rows"
+    sinks.write_jsonl(I.load(spark, root, "conversations"), path)
+    lines = spark.read.text(path)
+    return lines.agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("value").rlike(r"[^\x00-\x7F]")).alias("not_ascii"),
+                     F.count_distinct(F.get_json_object("value", "$.conv_id")).alias("conversations"))
+
+
+@query("s12_run_folders", "SELECT '20260102_030405_' || lang || suffix AS folder FROM (SELECT DISTINCT lang FROM documents), (VALUES (''), ('_2'), ('_3')) v(suffix)")
+def run_folders(spark, root):
+    """Three runs of one second and name for each language: the later ones get a number."""
+    import datetime as dt
+
+    base, now = work_folder(spark, "runs"), dt.datetime(2026, 1, 2, 3, 4, 5)
+    names = [r.lang for r in I.load(spark, root, "documents").select("lang").distinct().collect()]
+    made = [(sinks.run_folder(spark, base, name, now).rsplit("/", 1)[1],) for name in names for _ in range(3)]
+    return spark.createDataFrame(made, "folder string")
+
+
+@query("j7_full_outer_counts", "WITH o AS (SELECT lang || ':' || source AS label, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1), w AS (SELECT lang || ':' || source AS label, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY 1) SELECT label, coalesce(o.n, 0) AS old, coalesce(w.n, 0) AS new, coalesce(w.n, 0) - coalesce(o.n, 0) AS delta, CASE WHEN w.n IS NULL THEN 'removed' WHEN o.n IS NULL THEN 'added' ELSE 'both' END AS status FROM o FULL JOIN w USING (label)")
+def full_outer_counts(spark, root):
+    """Groups of unlabelled documents against groups of toxic ones; each side has groups that the other lacks."""
+    from ..operators import quality as Q
+
+    docs = I.load(spark, root, "documents").select("doc_id", F.concat("lang", F.lit(":"), "source").alias("label"))
+    labels = I.load(spark, root, "labels").select("doc_id", "toxic")
+    count = lambda df: df.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return Q.count_drift(count(docs.join(labels, "doc_id", "left_anti")), count(docs.join(labels.filter("toxic = 1"), "doc_id", "left_semi")))
 
 
 def _sessions(spark, root, turn):
