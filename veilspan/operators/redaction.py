@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import lru_cache
 
 import pandas as pd
@@ -109,8 +109,8 @@ def _surrogate_udf(pools: Mapping[str, Sequence[str]], seed: int):
     pools = {k: list(v) for k, v in pools.items()}
 
     @F.pandas_udf("string")
-    def pick(session: pd.Series, kind: pd.Series, n: pd.Series) -> pd.Series:
-        @lru_cache(maxsize=4096)
+    def pick(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        @lru_cache(maxsize=4096)  # lives as long as the task, so a session is shuffled once in it
         def order(sid: str) -> dict:
             rng = random.Random(hashlib.sha256(f"{seed}:{sid}".encode()).hexdigest())
             out = {}
@@ -119,8 +119,9 @@ def _surrogate_udf(pools: Mapping[str, Sequence[str]], seed: int):
                 rng.shuffle(out[name])
             return out
 
-        return pd.Series([
-            order(s)[k][(int(i) - 1) % len(pools[k])] if k in pools else None for s, k, i in zip(session, kind, n)])
+        for session, kind, n in parts:
+            yield pd.Series([
+                order(s)[k][(int(i) - 1) % len(pools[k])] if k in pools else None for s, k, i in zip(session, kind, n)], dtype=object)
 
     return pick
 
