@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..constants import SURROGATE_FORMATS
 from ..functions import rules as R
 from ..functions import tokens as T
 from ..operators import quality as Q
@@ -305,6 +306,27 @@ def surrogate_view(spark, root):
     return X.surrogate_view(_tagged_sessions(spark, root)).select("session_id", "turn_index", "surrogate_text")
 
 
+def _hashed_value_sql():
+    """The value of the n-th tag of a type: pools are walked from a hash offset, other known types have a format."""
+    parts = []
+    for kind, pool in X.default_pools().items():
+        listed = "[" + ", ".join(f"'{w}'" for w in pool) + "]"
+        parts.append(f"WHEN '{kind}' THEN ({listed})[(n - 1 + CAST('0x' || substring(sha1('17:' || sid), 1, 6) AS BIGINT)) % {len(pool)} + 1]")
+    parts += [f"WHEN '{kind}' THEN printf('{form}', n)" for kind, form in SURROGATE_FORMATS.items()]
+    return f"CASE ty {' '.join(parts)} ELSE txt END"
+
+
+_X5 = f"""WITH {I.TAGGED_SQL}, keyed AS (SELECT dialogue_id || '#' || turn_index AS k, * FROM tagged), {I._matches('tg', '<[A-Z_]+>', 'keyed', 'k')},
+sp AS MATERIALIZED (SELECT k, dialogue_id AS sid, s, e, txt, substring(txt, 2, length(txt) - 2) AS ty, row_number() OVER (PARTITION BY dialogue_id, txt ORDER BY turn_index, s) AS n FROM tg_chars JOIN keyed ON k = tg_chars.id)"""
+
+
+@query("x5_surrogate_view_hashed", _X5 + _spliced(_hashed_value_sql(), "sp"))
+def surrogate_view_hashed(spark, root):
+    """Pools walked from a hash offset, without Python."""
+    view = X.surrogate_view(_tagged_sessions(spark, root), exact_shuffle=False)
+    return view.select("session_id", "turn_index", F.md5("surrogate_text").alias("redacted"))
+
+
 @query("x5_surrogate_occurrences", f"""WITH {I.TAGGED_SQL}, keyed AS (SELECT dialogue_id || '#' || turn_index AS k, * FROM tagged), {I._matches('tg', '<[A-Z_]+>', 'keyed', 'k')}
 SELECT dialogue_id AS session_id, turn_index, substring(txt, 2, length(txt) - 2) AS entity_type, min(n) AS first_n, max(n) AS last_n FROM (
   SELECT dialogue_id, turn_index, txt, row_number() OVER (PARTITION BY dialogue_id, txt ORDER BY turn_index, s) AS n FROM tg_chars JOIN keyed ON k = tg_chars.id) GROUP BY ALL""")
