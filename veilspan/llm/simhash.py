@@ -7,7 +7,7 @@ a pair span less than the whole space, so some ``v`` is orthogonal to all of the
 pair agrees on all that mask keeps and meets in that table.  No pair is lost, by
 construction.  A bucket of more than ``BUCKET`` different fingerprints is never held: it is
 streamed out again under masks of the same structure over its free bits, until no
-bucket is too large (ten free bits hold at most 1,024 fingerprints).
+bucket is too large (fifteen free bits hold at most that many fingerprints).
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from veilspan.llm.components import connected_components
 from veilspan.llm.text import raw, words
 from veilspan.llm.storage import written
 
-BUCKET = 1024
+BUCKET = 1 << 15
 BLOCK = 1 << 16
 ALL = (1 << 64) - 1
 
@@ -69,17 +69,24 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
 
 
 def _links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of one bucket: each fingerprint with the first of its component."""
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
-    label = np.arange(len(fps))
-    while True:
-        low = np.where(near, label[None, :], len(fps)).min(1)
-        low = low[low]
-        if (low == label).all():
-            break
-        label = low
-    moved = np.flatnonzero(label != np.arange(len(fps)))
-    return fps[moved], fps[label[moved]]
+    """Links of a spanning forest of one bucket: each fingerprint with one that stands for its component.
+
+    Breadth first: what is reached leaves the rest at once, so a bucket that is one dense group of near
+    copies costs a few passes over it and not all of its pairs.
+    """
+    rest, found = fps, []
+    while len(rest) > 1:
+        seed, rest = rest[:1], rest[1:]
+        edge = seed
+        while len(edge) and len(rest):
+            block, edge = edge[:64], edge[64:]
+            near = (np.bitwise_count(block[:, None] ^ rest[None, :]) <= radius).any(0)
+            if near.any():
+                found.append((rest[near], seed[0]))
+                edge, rest = np.concatenate((edge, rest[near])), rest[~near]
+    if not found:
+        return fps[:0], fps[:0]
+    return np.concatenate([a for a, _ in found]), np.concatenate([np.full(len(a), b) for a, b in found])
 
 
 def _bucket_links(radius: int):
