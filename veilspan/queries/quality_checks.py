@@ -12,9 +12,9 @@ from .registry import query
 
 
 def _damaged(spark, root):
-    """Candidate rows with faults that come from the data: null languages and cut labels."""
+    """Candidate rows with faults that come from the data: null languages, and a label lost by the hash of the id."""
     df = I.tokenized(spark, root)
-    labels = F.expr("transform(slice(tokens, 1, 300), t -> 'O')")
+    labels = F.expr("transform(slice(tokens, 1, size(tokens) - if(substring(sha1(id), 1, 1) in ('0', '1', '2', '3') and size(tokens) > 0, 1, 0)), t -> 'O')")
     return df.select("id", F.when(F.col("subject") != "es", F.col("subject")).alias("subject"),
                      F.when(F.col("speaker_role") != "src3", F.col("tokens")).alias("tokens"), labels.alias("labels"), "speaker_role")
 
@@ -23,7 +23,7 @@ _N = f"n AS (SELECT CAST(doc_id AS VARCHAR) AS id, lang, source, len(regexp_extr
 
 
 @query("q1_record_violations", f"""WITH {_N} SELECT id, 'missing subject' AS problem FROM n WHERE lang = 'es' UNION ALL SELECT id, 'missing tokens' FROM n WHERE source = 'src3'
-UNION ALL SELECT id, 'tokens/labels length mismatch' FROM n WHERE source <> 'src3' AND n > 300""")
+UNION ALL SELECT id, 'tokens/labels length mismatch' FROM n WHERE source <> 'src3' AND n > 0 AND substring(sha1(id), 1, 1) IN ('0', '1', '2', '3')""")
 def record_violations(spark, root):
     return Q.candidate_violations(_damaged(spark, root))
 
@@ -44,12 +44,14 @@ def duplicate_ids(spark, root):
     return Q.duplicate_ids(a, b)
 
 
-@query("q3_prediction_alignment", f"""WITH {_N}, g AS (SELECT id, n FROM n WHERE lang <> 'de'), p AS (SELECT id, least(n, 400) AS n FROM n WHERE lang <> 'fr')
+@query("q3_prediction_alignment", f"""WITH {_N}, h AS (SELECT *, substring(sha1(id), 1, 1) AS h FROM n), g AS (SELECT id, n FROM h WHERE h NOT IN ('0', '1')), p AS (SELECT id, n + CASE WHEN h IN ('4', '5') THEN 1 ELSE 0 END AS n FROM h WHERE h NOT IN ('2', '3'))
 SELECT coalesce(g.id, p.id) AS id, CASE WHEN p.id IS NULL THEN 'missing' WHEN g.id IS NULL THEN 'extra' ELSE 'length' END AS status FROM g FULL JOIN p ON g.id = p.id WHERE p.id IS NULL OR g.id IS NULL OR g.n <> p.n""")
 def prediction_alignment(spark, root):
-    df = I.documents(spark, root).withColumn("labels", T.tokenize(F.col("text")))
-    gold = df.filter("subject <> 'de'").select("id", "labels")
-    pred = df.filter("subject <> 'fr'").select("id", F.slice("labels", 1, 400).alias("predicted_labels"))
+    """Missing, extra and longer predictions are those of certain hashes of the id."""
+    df = I.documents(spark, root).withColumn("labels", T.tokenize(F.col("text"))).withColumn("h", F.substring(F.sha1("id"), 1, 1))
+    gold = df.filter("h not in ('0', '1')").select("id", "labels")
+    longer = F.when(F.col("h").isin("4", "5"), F.array(F.lit("O"))).otherwise(F.array().cast("array<string>"))
+    pred = df.filter("h not in ('2', '3')").select("id", F.concat("labels", longer).alias("predicted_labels"))
     return Q.alignment(gold, pred)
 
 
@@ -59,10 +61,11 @@ def prediction_coverage(spark, root):
     return Q.coverage(ids("documents"), ids("labels"))
 
 
-@query("q5_id_set_difference", "SELECT CAST(c_custkey AS VARCHAR) AS id, 'left' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT CAST(o_custkey AS VARCHAR), 'right' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+@query("q5_id_set_difference", "WITH c AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0), o AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P') SELECT CAST(k AS VARCHAR) AS id, 'left' AS side FROM c WHERE k NOT IN (SELECT k FROM o) UNION ALL SELECT CAST(k AS VARCHAR), 'right' FROM o WHERE k NOT IN (SELECT k FROM c)")
 def id_set_difference(spark, root):
-    return Q.id_difference(I.load(spark, root, "customer").select(F.col("c_custkey").cast("string").alias("id")),
-                           I.load(spark, root, "orders").select(F.col("o_custkey").cast("string").alias("id")))
+    """Customers in credit against customers with a pending order; each side has ids that the other lacks."""
+    return Q.id_difference(I.load(spark, root, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("id")),
+                           I.load(spark, root, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").cast("string").alias("id")))
 
 
 @query("q6_split_leakage", "SELECT CAST(o_custkey AS VARCHAR) AS dialogue_id, count(DISTINCT o_orderstatus) AS splits FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) > 1")
