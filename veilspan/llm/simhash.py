@@ -12,7 +12,9 @@ bucket is too large (fifteen free bits hold at most that many fingerprints).
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,11 +49,21 @@ def fingerprint(text: bytes, size: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+@lru_cache(maxsize=4096)
 def covering_masks(free: int = ALL, radius: int = 4) -> list[int]:
-    """Masks over the set bits of ``free``: any ``radius`` of those bits are all cleared by one of them."""
-    bits = [i for i in range(64) if free >> i & 1]
-    vector = {bit: k % (2 ** (radius + 1) - 1) + 1 for k, bit in enumerate(bits)}
-    return [sum(1 << bit for bit in bits if (vector[bit] & v).bit_count() & 1) for v in range(1, 2 ** (radius + 1))]
+    """Masks over the set bits of ``free``: any ``radius`` of those bits are all cleared by one of them.
+
+    That holds whatever vectors the bits get; of three choices the one whose weakest mask keeps most bits
+    is taken, since weak masks make large buckets: counting, a first-order code with a bent function as one
+    more row, and a seeded draw.
+    """
+    bits, top = [i for i in range(64) if free >> i & 1], 2 ** (radius + 1)
+    draw = random.Random(len(bits))
+    bent = lambda k: (k & k >> 1 & 1) ^ (k >> 2 & k >> 3 & 1) ^ (k >> 4 & k >> 5 & 1)
+    choices = ([k % (top - 1) + 1 for k in range(len(bits))], [(k | 64 | bent(k) << 7) % top or 1 for k in range(len(bits))],
+               [draw.randrange(1, top) for _ in bits])
+    made = [[sum(1 << bit for bit, m in zip(bits, vectors) if (m & v).bit_count() & 1) for v in range(1, top)] for vectors in choices]
+    return max(made, key=lambda masks: min(m.bit_count() for m in masks))
 
 
 def signed(x: int) -> int:
