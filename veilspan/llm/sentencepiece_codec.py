@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from veilspan.llm.pieces import BPE, BYTE, NORMAL, SPACE, UNIGRAM, USER_DEFINED, PieceModel, parse_model, read_model
 from veilspan.llm.text import raw
 
-CACHE = 120_000  # words kept of the youngest batches, and as many of those before
+CACHE = 80_000  # words kept of the youngest batches, and as many of those before
 RUN = 256
 WORD = re.compile(f"{SPACE}+[^{SPACE}]+(?:{SPACE}+$)?|^[^{SPACE}]+|{SPACE}+$")  # markers that end a text stay with the last word
 

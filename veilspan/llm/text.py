@@ -23,12 +23,17 @@ def fold(doc_id: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % F.lit(parts)
 
 
-def hash_sample(rows: DataFrame, group: str, key: str, size: int) -> DataFrame:
+def hash_sample(rows: DataFrame, group: str, key: str, size: int, most: int = 1024) -> DataFrame:
     """About ``2 * size`` rows of each ``group`` (all, if it has fewer), those of the least hash of ``key``.
 
-    A threshold from the group's count, so that no group meets in one task; ``rows`` need not be sorted.
+    A threshold from the group's count, so that no group meets in one task.  Groups are labels or languages:
+    more than ``most`` of them are an error.
     """
-    counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    share = F.least(F.lit(1.0), F.lit(2.0 * size) / F.col("__n"))
+    counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()
+    if len(counts) > most:
+        raise ValueError(f"more than {most} groups of {group}")
+    if not counts:
+        return rows
+    share = F.create_map(*[F.lit(x) for g, n in counts for x in (g, min(1.0, 2.0 * size / n))])
     place = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.join(counts, group).filter(place < share).drop("__n")
+    return rows.filter(place < F.element_at(share, F.col(group)))
