@@ -13,7 +13,7 @@ bucket is too large (fifteen free bits hold at most that many fingerprints).
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -183,16 +183,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return of.join(at.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, radius: int = 4) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates, columns unchanged.
-
-    The smallest id stays; among rows of that id, the least XXH64 of the text; of rows equal in both, one.
-    Rows with a null id come after all others of their group.  An empty table stays empty.
-    """
+def first_of_each(docs: DataFrame, doc_id: str, text: str, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``docs`` with one row of each component that ``find`` gives to the rows ``(id, text)``, columns unchanged."""
     row = F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("i"), F.xxhash64(F.col(text)).alias("h"))
     keyed = docs.withColumn("__row", row)
-    found = near_duplicates(keyed.select(F.col("__row").alias("id"), F.col(text).alias("text")), "id", "text", size, radius)
+    found = find(keyed.select(F.col("__row").alias("id"), F.col(text).alias("text")))
     kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__row"))
     again = Window.partitionBy("__row").orderBy("__row")
     return (keyed.join(kept, "__row", "left_semi").withColumn("__k", F.row_number().over(again))
             .filter("__k = 1").drop("__row", "__k"))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, radius: int = 4) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, columns unchanged.
+
+    The smallest id stays; among rows of that id, the least XXH64 of the text; of rows equal in both, one.
+    Rows with a null id come after all others of their group.  An empty table stays empty.
+    """
+    return first_of_each(docs, doc_id, text, lambda keyed: near_duplicates(keyed, "id", "text", size, radius))
