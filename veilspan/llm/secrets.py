@@ -24,6 +24,7 @@ from veilspan.llm.text import hash_sample
 
 # What names a credential, formats of issuers, and formats that are no credentials.
 NAMES = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api_?-?key|access_?-?key|private_?-?key|credential|auth|bearer)"
+ASSIGNED = f"{NAMES}[^=:]*[=:]"
 ISSUED = r"^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|xox[abprs]-[0-9A-Za-z-]{10,}|[sr]k_live_[0-9A-Za-z]{16,}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_.-]+)$"
 HARMLESS = (
     r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$",  # e-mail address
@@ -38,13 +39,27 @@ FEATURES = ("size", "changes", "digits", "uppers", "hexes", "others", "coverage"
 
 
 def candidates(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """``keys`` with ``token, name, value, before, before2, after``: each word that could be a credential."""
+    """``keys`` with ``token, name, value, before, before2, after``: each word that could be a credential.
+
+    These are words of eight characters or more with a digit, and whatever its length and characters the value of an
+    assignment to one of ``NAMES``, in the word itself or with the name in the one or two words before it.
+    """
     at = lambda i: F.coalesce(F.get(F.col("__w"), i), F.lit(""))
-    fits = lambda w: (F.length(w) >= 8) & w.rlike(f"[0-9]|{NAMES}[^=:]*[=:]")
-    pick = F.transform("__w", lambda w, i: F.when(fits(w), F.struct(w.alias("token"), at(i - 1).alias("before"), at(i - 2).alias("before2"), at(i + 1).alias("after"))))
+    marked = lambda w: w.contains("=") | w.contains(":")
+    given = lambda a, b: (marked(a) | marked(b)) & F.concat_ws(" ", a, b).rlike(ASSIGNED)
+    fits = lambda w, i: (F.length(w) >= 8) & w.rlike("[0-9]") | marked(w) & w.rlike(ASSIGNED) | given(at(i - 2), at(i - 1))
+    pick = F.transform("__w", lambda w, i: F.when(fits(w, i), F.struct(w.alias("token"), at(i - 1).alias("before"), at(i - 2).alias("before2"), at(i + 1).alias("after"))))
     rows = docs.select(*keys, word_array(F.col(text)).alias("__w")).select(*keys, F.inline(F.filter(pick, lambda x: x.isNotNull())))
+    return with_value(rows).filter("value <> ''")
+
+
+def with_value(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``name`` and ``value`` of ``token``, without quotes and brackets; a quoted name counts if it is one of ``NAMES``."""
     shape = r"""^[("'`\[{<]*(?:([A-Za-z_][A-Za-z0-9_.-]*)[=:]+)?["'`({\[]*([^"'`]*?)[)\]},;.!?>]*(?:["'`].*)?$"""
-    return rows.withColumns({"name": F.regexp_extract("token", shape, 1), "value": F.regexp_extract("token", shape, 2)}).filter("value <> ''")
+    quoted = r"""^[("'`\[{<]*([A-Za-z_][A-Za-z0-9_.-]*)["'`][=:]+["'`({\[]*([^"'`]+?)[)\]},;.!?>]*(?:["'`].*)?$"""
+    named = F.regexp_extract("token", quoted, 1).rlike(NAMES)
+    part = lambda k: F.when(named, F.regexp_extract("token", quoted, k)).otherwise(F.regexp_extract("token", shape, k))
+    return rows.withColumns({"name": part(1), "value": part(2)})
 
 
 def dictionary(docs: DataFrame, text: str = "text", common: int = 5) -> DataFrame:
@@ -128,6 +143,7 @@ def secret_findings(docs: DataFrame, keys: list[str], text: str = "text", labell
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
     """``docs`` with every found value in ``text`` replaced by ``mark``; other columns and rows without findings are unchanged.
 
+    A value of under eight characters or without a digit is replaced where it is not part of a longer word.
     Findings depend on the text only, so equal texts share them: they are gathered by the text's hash (a
     text's own findings, no group of rows) and meet the documents in one join.
     """
@@ -135,6 +151,9 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", **option
     found = secret_findings(docs.select(key.alias("__h"), F.col(text)), ["__h"], text, **options)
     values = found.groupBy("__h").agg(F.sort_array(F.collect_set("value"), asc=False).alias("__v"))
     by_length = F.array_sort("__v", lambda a, b: F.length(b) - F.length(a))
-    clean: Column = F.aggregate(by_length, F.col(text), lambda t, v: F.replace(t, v, F.lit(mark)))
+    literal = lambda v: F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.replace(v, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![\p{L}\p{N}])"))
+    plain = lambda v: (F.length(v) >= 8) & v.rlike("[0-9]")
+    swap = lambda t, v: F.when(plain(v), F.replace(t, v, F.lit(mark))).otherwise(F.regexp_replace(t, literal(v), F.lit(mark)))
+    clean: Column = F.aggregate(by_length, F.col(text), swap)
     joined = docs.withColumn("__h", key).join(values, "__h", "left")
     return joined.withColumn(text, F.when(F.col("__v").isNull(), F.col(text)).otherwise(clean)).select(*docs.columns)
