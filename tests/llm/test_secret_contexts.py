@@ -33,3 +33,13 @@ def test_values_after_a_name_are_found_and_redacted_as_words(spark):
         assert value not in texts[d].replace("abc123", "").split() and "[SECRET]" in texts[d], texts[d]
     assert texts[1002] == "abc123 river pwd: [SECRET] stone [SECRET]"
     assert all(texts[d] == t for d, t in rows[:300] if d % 8 >= 3)
+
+
+def test_clean_tables_stay_and_a_lone_credential_goes(spark):
+    clean = [(k, f"river stone {t} window garden people") for k, t in enumerate([
+        "anna.berg7@mail.example.org", "2024-11-05", "+44-20-7946-0958", "123e4567-e89b-12d3-a456-426614174000", "windows95 machine", "10.12.0.7:8080",
+        "https://example.org/a/b2c", "/usr/lib/python3.11/site", "Boeing747-400", "COVID-19 vaccines", "model-T1000 robot", "author: Smith2001", "section12.4b"])]
+    docs = spark.createDataFrame(clean, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in secrets.redact(docs).collect()} == dict(clean)
+    lone = spark.createDataFrame([(100, "river password=0a1b2c3d4e5f607182 stone")], "doc_id long, text string")
+    assert secrets.redact(lone).first().text == "river password=[SECRET] stone"

@@ -6,24 +6,27 @@ the changes between character classes, the share of its letters that are diction
 ``common`` or more uses in the whole corpus, met in a join), marks of paths, hosts and addresses, and
 marks of the words around it.  The forest learns from labelled findings: those the caller gives, or
 else the candidates that a fixed list of formats settles (issuer formats and assigned credentials
-against addresses, numbers, dates and plain words), of which a bounded sample is used.  The
-forest itself sees only the features, and decides about all candidates.
+against addresses, numbers, dates and plain words), of which a bounded sample is used; where these have
+one label only, fixed findings (``TAUGHT``) are added.  The forest itself sees only the features, and decides about all candidates.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilspan.llm.quality_rules import word_array
 from veilspan.llm.storage import written
 from veilspan.llm.text import hash_sample
 
-# What names a credential, formats of issuers, and formats that are no credentials.
-NAMES = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api_?-?key|access_?-?key|private_?-?key|credential|auth|bearer)"
+# What names a credential (an author or a secretary does not), formats of issuers, and formats that are no credentials.
+NAMES = r"(?i)(pass(word|wd|phrase)?|pwd|secret(?!ar)|token|api_?-?key|access_?-?key|private_?-?key|credential|auth(?!ors?(?![a-z]))|bearer)"
 ASSIGNED = f"{NAMES}[^=:]*[=:]"
 ISSUED = r"^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|xox[abprs]-[0-9A-Za-z-]{10,}|[sr]k_live_[0-9A-Za-z]{16,}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_.-]+)$"
 HARMLESS = (
@@ -34,6 +37,21 @@ HARMLESS = (
     r"^(?:[\w.-]*/)+[\w.-]*$",  # path
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",  # UUID
 )
+TAUGHT_WORDS = ("river", "stone", "window", "garden", "people", "morning", "report", "station", "music", "winter", "account", "required")
+UNLISTED = ("harbour", "Walter", "lantern", "Boston", "Keller", "chapter")
+FORMS_EACH = 16
+#: ``(before2, before, token)`` of the fixed findings of each label.
+TAUGHT = {
+    0: (("{a}", "{b}", "{c}{k}@{d}.com"), ("{a}", "{b}", "10.{day}.7.{byte}"), ("{a}", "on", "2021-03-{day}"), ("call", "tel:", "+49-555-{k}-{byte}"),
+        ("{a}", "see", "https://www.{b}.com/{c}/{k}"), ("{a}", "{b}", "/{c}/{d}/{k}.txt"), ("{a}", "id:", "{hex:.8}-{hex:.4}-{hex:.4}-{hex:.4}-{hex:.12}"),
+        ("{a}", "{b}", "{c}-{d}-{k}"), ("{a}", "{b}", "{c}{day}{d}"), ("{a}", "{b}", "{c}_{d}.{k}"), ("{a}", "author:", "{b}"), ("password:", "is", "{b}"),
+        ("the", "password:", "{b}"), ("{a}", "date:", "2021-03-{day}T10:{day}:00"), ("{a}", "{b}", "{c}={k}"), ("the", "token", "{c}{k}"),
+        ("{a}", "{b}", "{letters:.3}{k}-{c}"), ("{a}", "number:", "{letters:.2}-{k}{byte}"),
+        ("{a}", "{b}", "{e}{day}"), ("{a}", "author:", "{e}{k}"), ("{a}", "{b}", "{e}{k}-{day}"), ("{a}", "{b}", "{e}-{day}"), ("{a}", "{b}", "{e}{day}.{k}")),
+    1: (("{a}", "{b}", "password={hex:.18}"), ("{a}", "{b}", "AKIA{upper:.16}"), ("token", "=", '"{hex:.32}"'), ("{a}", "secret:", "{mixed:.24}"),
+        ("{a}", "{b}", "ghp_{mixed:.36}"), ("api_key", "=", "'{hex:.40}'"), ("{a}", "pwd:", "{letters:.3}{byte}"), ("{a}", "password:", "{letters:.16}"),
+        ("{a}", "passwd:", "{mixed:.10}"), ("{a}", "{b}", "pwd={mixed:.7}"), ("client_secret", "=", '"{letters:.20}"'), ("{a}", "{b}", "api-key={mixed:.30}")),
+}
 FEATURES = ("size", "changes", "digits", "uppers", "hexes", "others", "coverage", "slashes", "dots", "at", "colons", "named", "assigned",
             "named_before", "assigned_before", "quoted")
 
@@ -100,8 +118,26 @@ def settled(found: DataFrame) -> DataFrame:
     return found.withColumn("label", F.when(credential, 1).when(harmless | (F.col("coverage") >= 0.5), 0))
 
 
-def train_forest(labelled: DataFrame, per_label: int = 2000, trees: int = 24, depth: int = 6, seed: int = 11) -> RandomForestClassificationModel | None:
-    """A forest on at most about ``2 * per_label`` findings of each label; None unless both labels occur.
+def taught(spark: SparkSession, label: int) -> DataFrame:
+    """Fixed labelled findings with ``FEATURES`` for a table that does not settle both labels: ``TAUGHT`` forms, each ``FORMS_EACH`` times.
+
+    Their words but ``UNLISTED`` are their dictionary, so that they do not depend on the table.
+    """
+    rows = []
+    for k in range(FORMS_EACH):
+        hexes = hashlib.sha256(str(k).encode()).hexdigest()
+        mixed = base64.b64encode(bytes.fromhex(hexes)).decode().translate(str.maketrans("+/=", "xyz"))
+        words = [TAUGHT_WORDS[int(hexes[2 * i:2 * i + 2], 16) % len(TAUGHT_WORDS)] for i in range(4)]
+        facts = {"hex": hexes, "mixed": mixed, "upper": mixed.upper(), "letters": "".join(c for c in mixed if c.isalpha()), "k": 1000 + int(hexes[:3], 16),
+                 "day": 10 + k % 18, "byte": int(hexes[:2], 16), "a": words[0], "b": words[1], "c": words[2], "d": words[3],
+                 "e": UNLISTED[k % len(UNLISTED)]}
+        rows += [tuple(part.format(**facts) for part in form) for form in TAUGHT[label]]
+    found = with_value(spark.createDataFrame(rows, "before2 string, before string, token string").withColumn("after", F.lit(TAUGHT_WORDS[0])))
+    return with_features(found, spark.createDataFrame([(w,) for w in TAUGHT_WORDS], "word string")).withColumn("label", F.lit(label))
+
+
+def train_forest(labelled: DataFrame, per_label: int = 2000, trees: int = 24, depth: int = 6, seed: int = 11) -> RandomForestClassificationModel:
+    """A forest on at most about ``2 * per_label`` findings of each label; unless both labels have some, those of ``taught`` are added.
 
     The sample is one sorted partition, so that the same findings give the same forest.
     """
@@ -110,17 +146,16 @@ def train_forest(labelled: DataFrame, per_label: int = 2000, trees: int = 24, de
     few = hash_sample(marked, "label", "value", per_label).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= 2 * per_label)
     few = written(few.drop("k"))
     if few.select("label").distinct().count() < 2:
-        return None
+        for label in TAUGHT:
+            few = few.union(taught(few.sparkSession, label).select(few.columns))
     sample = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(few.orderBy("label", "value", *FEATURES).coalesce(1))
     weights = few.groupBy("label").agg((1 / F.count(F.lit(1))).alias("w"))
     return RandomForestClassifier(labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", weightCol="w",
                                   cacheNodeIds=False).fit(sample.join(F.broadcast(weights), "label").select("label", "w", "features").coalesce(1))
 
 
-def scored(found: DataFrame, forest: RandomForestClassificationModel | None) -> DataFrame:
-    """``found`` with ``score``, the forest's share for label 1; without a forest no finding is removed (score 1)."""
-    if forest is None:
-        return found.withColumn("score", F.lit(1.0))
+def scored(found: DataFrame, forest: RandomForestClassificationModel) -> DataFrame:
+    """``found`` with ``score``, the forest's share for label 1."""
     judged = forest.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found))
     return judged.withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
@@ -130,7 +165,7 @@ def secret_findings(docs: DataFrame, keys: list[str], text: str = "text", labell
     """``keys, token, name, value, before, after, label, score`` of the candidates scored at ``threshold`` or more.
 
     ``labelled`` has ``name, value, token, before, before2, after, label``; without it the settled
-    candidates teach.  A null or empty text has no candidates; repeated rows and words repeat their findings;
+    candidates teach; unless both labels occur, fixed ones are added.  A null or empty text has no candidates; repeated rows and words repeat their findings;
     null keys stay; an empty table gives an empty one; other columns are not read.
     """
     known = written(dictionary(docs, text, common))
