@@ -201,7 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         per_class: int = 3000, sample_chars: int = 30_000_000) -> ToxicityModel:
     """Trains on a bounded sample: of each label, the ``per_class`` different texts of least hashed id, whole texts only.
 
-    Gathering of a class stops before ``sample_chars / 2`` characters.  Null labels are not read; an id
+    A text that does not fit into what is left of ``sample_chars / 2`` characters of its class is passed over; if
+    none fits, the shortest is taken.  Null labels are not read; an id
     with several labels takes the largest; a null text is empty.
     """
     spark = docs.sparkSession
@@ -213,12 +214,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     picked = few.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_class).collect()
     chosen = []
     for y in (0, 1):
-        left = sample_chars // 2
-        for row in sorted((r for r in picked if r.y == y), key=lambda r: r.k):
-            left -= row.n
-            if left < 0:
-                break
-            chosen.append((row.i, row.c, y))
+        left, own = sample_chars // 2, []
+        rows = sorted((r for r in picked if r.y == y), key=lambda r: r.k)
+        for row in rows:
+            if row.n <= left:
+                left -= row.n
+                own.append((row.i, row.c, y))
+        if rows and not own:
+            row = min(rows, key=lambda r: (r.n, r.k))
+            own.append((row.i, row.c, y))
+        chosen += own
     if not chosen:
         return train([], [])
     keys = spark.createDataFrame(chosen, f"i {docs.schema[doc_id].dataType.simpleString()}, c long, y int")
