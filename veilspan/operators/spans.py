@@ -14,6 +14,7 @@ from ..functions import labels as L
 from ..functions import rules as R
 from ..functions.text import SPACE_CLASS
 from ..functions.tokens import bind, explode_rows, prefix_ends_sql, regex_spans_sql, sql_text, token_span_sql, with_tokens
+from .quality import require_none
 
 # Line breaks as Python splits them, CRLF counting once.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
@@ -187,7 +188,8 @@ def resolve_spans(df: DataFrame) -> DataFrame:
 
 def resolved_arrays(df: DataFrame) -> DataFrame:
     """Resolved spans gathered back per dialogue (bounded by one transcript's annotations)."""
-    rows = resolve_spans(df).filter("resolution is not null")
+    rows = resolve_spans(df)
+    require_none(rows.filter("resolution is null").select("dialogue_id", "start", "end", "text"), "annotations without their text nearby")
     packed = F.struct(
         F.col("resolved_start").alias("start"), F.col("resolved_end").alias("end"), "type", "raw_type", "resolution")
     return rows.groupBy("dialogue_id").agg(F.array_sort(F.collect_list(packed)).alias("resolved"))
@@ -208,11 +210,18 @@ def _projected(df: DataFrame, unit: str) -> DataFrame:
         "types", names("type")).withColumn("raw_types", names("raw_type"))
 
 
+def _require_placed(resolved: DataFrame, units: str, what: str) -> None:
+    """Fail with the first spans of ``resolved`` that lie in no single one of ``units``."""
+    lost = F.filter("resolved", lambda s: ~F.exists(units, lambda u: (s["start"] >= u["start"]) & (s["end"] <= u["end"])))
+    require_none(resolved.select("dialogue_id", lost.alias("spans")).filter("size(spans) > 0"), what)
+
+
 def project_turns(df: DataFrame) -> DataFrame:
-    """Candidate rows per turn; a span belongs to the first turn that contains it."""
+    """Candidate rows per turn; a span belongs to the first turn that contains it, and one that no turn contains is an error."""
     turns = df.withColumn("turns", transcript_turns("transcript")).join(
         resolved_arrays(df), "dialogue_id", "left").withColumn(
         "resolved", F.coalesce("resolved", F.expr("cast(array() as array<struct<start:int,end:int,type:string,raw_type:string,resolution:string>>)")))
+    _require_placed(turns, "turns", "spans in no single turn")
     # Turns are disjoint, so containment in a turn is unique.
     rows = explode_rows(turns.drop("spans"), F.col("turns"), "t").select(
         "dialogue_id", F.col("t.turn_index").alias("unit_index"), F.col("t.speaker_role").alias("speaker_role"),
@@ -221,10 +230,11 @@ def project_turns(df: DataFrame) -> DataFrame:
 
 
 def project_segments(df: DataFrame) -> DataFrame:
-    """Candidate rows per segment; every span lands in exactly one."""
+    """Candidate rows per segment; every span lands in exactly one, or it is an error."""
     base = df.join(resolved_arrays(df), "dialogue_id", "left").withColumn(
         "resolved", F.coalesce("resolved", F.expr("cast(array() as array<struct<start:int,end:int,type:string,raw_type:string,resolution:string>>)")))
     base = base.withColumn("segments", transcript_segments("transcript", "resolved"))
+    _require_placed(base, "segments", "spans in no single segment")
     rows = explode_rows(base.drop("spans"), F.col("segments"), "g").select(
         "dialogue_id", F.col("g.segment").alias("unit_index"), F.col("g.start").alias("unit_start"),
         F.col("g.end").alias("unit_end"), F.expr("substring(transcript, g.start + 1, g.`end` - g.start)").alias("text"), "resolved")
