@@ -135,3 +135,53 @@ def op3_secret_scan(spark: SparkSession, root: str) -> DataFrame:
     from veilspan.llm.secrets import secret_findings
 
     return secret_findings(load(spark, root, "documents").select("doc_id", "text"), ["doc_id"])
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether the proof still holds for a text put into lower case."""
+    from string import ascii_lowercase, ascii_uppercase
+
+    from veilspan.llm.merkle import as_hex, folded, leaf_digest, manifest, proof_digest
+    from veilspan.llm.text import fold
+
+    whole = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    lowered = leaf_digest([*whole[:-1], F.translate("text", ascii_uppercase, ascii_lowercase)])
+    tampered = F.when(fold("doc_id", 3) == 0, lowered)
+    found = manifest(load(spark, root, "documents"), whole, group=F.col("lang"), order=F.col("doc_id"), carry=tampered)
+    again = folded(F.coalesce("kept", "leaf"), F.col("path")).alias("again")
+    return found.select("*", again).select(
+        F.col("id").alias("doc_id"), as_hex(F.col("leaf")).alias("leaf"), as_hex(F.col("subroot")).alias("subroot"), as_hex(F.col("root")).alias("root"),
+        as_hex(proof_digest(F.col("path"))).alias("proof_sha256"), as_hex(F.col("again")).alias("folded_root"), (F.col("again") == F.col("root")).alias("verified"))
+
+
+#: crc32 of a decimal number, bit by bit: each digit enters with the first of its eight steps.
+SQL_CRC32 = """xor(4294967295::UBIGINT, list_reduce([4294967295::UBIGINT] || flatten(list_transform(string_split({0}::VARCHAR, ''),
+  lambda c: [ascii(c)::UBIGINT, 0, 0, 0, 0, 0, 0, 0])), lambda x, y: xor(xor(x, y) >> 1, 3988292384::UBIGINT * (xor(x, y) & 1))))"""
+_FRAME = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+_FRAMES = " || ".join(_FRAME.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_BEFORE = "coalesce(string_agg(h, '') OVER (PARTITION BY g, lv, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b"
+_AFTER = "coalesce(string_agg(h, '') OVER (PARTITION BY g, lv, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a"
+_LEVELS = """SELECT g, lv + 1, i // 8, (max(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM {0} WHERE n > 1 GROUP BY g, lv, i // 8"""
+_FOLD = """SELECT f.doc_id, f.g, f.lv + 1, f.i // 8, (f.n + 7) // 8, sha256(s.b || f.h || s.a), f.p || s.b || s.a, f.leaf
+  FROM {0} f JOIN {1} s ON f.g = s.g AND f.lv = s.lv AND f.i = s.i WHERE f.n > 1"""
+ORACLES["op12_merkle_manifest"] = f"""
+WITH RECURSIVE
+d AS (SELECT doc_id, coalesce('+' || lang, '') AS g, sha256({_FRAMES} || {_FRAME.format("text")}) AS leaf,
+        sha256({_FRAMES} || {_FRAME.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) AS low,
+        {SQL_CRC32.format("doc_id")} % 3 = 0 AS tampered FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
+t(g, lv, i, n, h) AS (SELECT g, 0, i, n, leaf FROM p UNION ALL {_LEVELS.format("t")}),
+s AS (SELECT g, lv, i, {_BEFORE}, {_AFTER} FROM t),
+r AS (SELECT g AS name, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u(g, lv, i, n, h) AS (SELECT '', 0, i, n, h FROM r UNION ALL {_LEVELS.format("u")}),
+v AS (SELECT g, lv, i, {_BEFORE}, {_AFTER} FROM u),
+f(doc_id, g, lv, i, n, h, p, leaf) AS (
+  SELECT doc_id, g, 0, i, n, CASE WHEN tampered THEN low ELSE leaf END, '', leaf FROM p UNION ALL {_FOLD.format("f", "s")}),
+e(doc_id, g, lv, i, n, h, p, leaf, subroot) AS (
+  SELECT f.doc_id, '', 0, r.i, r.n, f.h, f.p, f.leaf, r.h FROM f JOIN r ON f.g = r.name WHERE f.n = 1
+  UNION ALL SELECT f.doc_id, f.g, f.lv + 1, f.i // 8, (f.n + 7) // 8, sha256(s.b || f.h || s.a), f.p || s.b || s.a, f.leaf, f.subroot
+  FROM e f JOIN v s ON f.g = s.g AND f.lv = s.lv AND f.i = s.i WHERE f.n > 1)
+SELECT e.doc_id, e.leaf, e.subroot, u.h AS root, sha256(e.p) AS proof_sha256, e.h AS folded_root, e.h = u.h AS verified
+FROM e, u WHERE e.n = 1 AND u.n = 1
+"""
