@@ -185,3 +185,73 @@ e(doc_id, g, lv, i, n, h, p, leaf, subroot) AS (
 SELECT e.doc_id, e.leaf, e.subroot, u.h AS root, sha256(e.p) AS proof_sha256, e.h AS folded_root, e.h = u.h AS verified
 FROM e, u WHERE e.n = 1 AND u.n = 1
 """
+
+
+@query
+def op11_warc(spark: SparkSession, root: str) -> DataFrame:
+    """Every page written as a WARC record, repeated payloads as revisits, and read back from the archives."""
+    from veilspan.llm.warc import warc_round_trip
+
+    return warc_round_trip(load(spark, root, "pages")).select(
+        F.col("id").cast("long").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.lower(F.hex("digest")).alias("payload_digest"),
+        F.col("type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"))
+
+
+ORACLES["op11_warc"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS b, sha256(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY page_id NULLS LAST) AS k, first_value(page_id) OVER (PARTITION BY h ORDER BY page_id NULLS LAST) AS o FROM p)
+SELECT page_id, b::BIGINT AS payload_bytes, h AS payload_digest, CASE WHEN b >= 100 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN b >= 100 AND k > 1 THEN o END AS refers_to
+FROM f
+"""
+
+
+BLANK = r"[\x20\x09-\x0D]+"
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``docs`` ``(doc_id, text)`` where texts whose id has a crc32 that 10 divides go on periodically from some word on."""
+    number = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    g = F.floor(number / 10)
+    parts = F.when(number % 10 == 0, F.array_remove(F.split("text", BLANK), ""))
+    cut = docs.select("*", parts.alias("w"), g.alias("g")).withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+    left = F.col("n") - F.col("a")
+    period = (1 + F.floor(left / (3 + F.col("g") % 8))).cast("int")
+    cycle = F.slice("w", F.col("a") + 1, period)
+    going_on = F.slice(F.flatten(F.array_repeat(cycle, F.ceil(left / F.greatest(period, F.lit(1))).cast("int"))), F.lit(1), left)
+    planted = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), going_on), " ")
+    return cut.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, root: str) -> DataFrame:
+    """Runs of repeated words in every document, planted periods included."""
+    from veilspan.llm.periodic_runs import periodic_runs
+
+    found = periodic_runs(with_planted_periods(load(spark, root, "documents").select("doc_id", "text")))
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256",
+                        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+# Another way than the operator's: a run of period q shows as two neighbouring occurrences, q words apart, of the words of the next power
+# of two; every such distance of a text is then tried on all of its words.
+ORACLES["op13_periodic_runs"] = r"""
+WITH RECURSIVE
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, (@CRC@)::BIGINT AS h FROM documents),
+l AS (SELECT *, len(w) AS n, h // 10 AS g FROM d),
+p AS (SELECT *, g % greatest(n, 1) AS a, 1 + (n - g % greatest(n, 1)) // (3 + g % 8) AS p FROM l),
+t AS (SELECT r, i, n, w[1 + CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END] AS w FROM (SELECT *, unnest(range(n)) AS i FROM p)),
+k(r, i, n, k, h) AS (SELECT r, i, n, 1, hash(w) FROM t
+  UNION ALL SELECT r, i, n, 2 * k, hash(h, lead(h, k) OVER (PARTITION BY r ORDER BY i)) FROM k WHERE 4 * k <= n AND i + k <= n),
+s AS (SELECT DISTINCT r, q FROM (SELECT r, k, lead(i) OVER (PARTITION BY r, k, h ORDER BY i) - i AS q FROM k) WHERE q <= k AND 2 * q > k),
+e AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS b FROM (
+  SELECT s.r, s.q, x.i FROM s JOIN t x ON x.r = s.r JOIN t y ON y.r = s.r AND y.i = x.i + s.q WHERE x.w = y.w)),
+f AS (SELECT r, q, min(i) AS s, count(*) + q AS l FROM e GROUP BY r, q, b HAVING count(*) + q >= greatest(6, 4 * q)),
+u AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM f z WHERE z.r = f.r AND z.q < f.q AND z.s <= f.s AND z.s + z.l >= f.s + f.l)),
+o AS (SELECT r, count(*) AS c, arg_min({'s': s, 'l': l, 'q': q}, [-l, s, q]) AS o, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS x FROM u GROUP BY r),
+z AS (SELECT DISTINCT r, unnest(range(s + q, s + l)) AS i FROM u),
+y AS (SELECT t.r, string_agg(t.w, ' ' ORDER BY t.i) AS x FROM t LEFT JOIN z ON z.r = t.r AND z.i = t.i WHERE z.i IS NULL GROUP BY t.r)
+SELECT doc_id, coalesce(o.c, 0) AS n_runs, o.o.s AS start, o.o.l AS length, o.o.q AS period, 1000 * o.o.l // o.o.q AS exponent_milli,
+  sha256(coalesce(o.x, '')) AS runs_sha256, sha256(coalesce(y.x, '')) AS collapsed_sha256
+FROM d LEFT JOIN o ON o.r = d.r LEFT JOIN y ON y.r = d.r
+""".replace("@CRC@", SQL_CRC32.format("doc_id"))
