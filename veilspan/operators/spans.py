@@ -6,7 +6,9 @@ turns, segments, offset repair, containment) is done on arrays of that row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..constants import SUPPORTED_ANNOTATION_TYPES, SUPPORTED_TAGS, TAG_PATTERN
@@ -14,7 +16,7 @@ from ..functions import labels as L
 from ..functions import rules as R
 from ..functions.text import SPACE_CLASS
 from ..functions.tokens import bind, explode_rows, prefix_ends_sql, regex_spans_sql, sql_text, token_span_sql, with_tokens
-from .quality import require_none
+from ..session import cut_lineage
 
 # Line breaks as Python splits them, CRLF counting once.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
@@ -106,6 +108,10 @@ def transcript_lines(text: str) -> Column:
 
 
 def transcript_turns(text: str) -> Column:
+    return F.expr(transcript_turns_sql(text))
+
+
+def transcript_turns_sql(text: str) -> str:
     """``array<struct<turn_index,speaker_role,start,end,text>>``.
 
     A speaker prefix opens a turn; other lines continue it; leading text is ``unknown``.
@@ -128,14 +134,17 @@ def transcript_turns(text: str) -> Column:
         body = f"case when l.text rlike {speaker} then concat(a, array({opened})) when size(a) = 0 then array({fresh}) else {grown} end"
         return f"aggregate({ls}, cast(array() as {kind}), (a, l) -> cast({body} as {kind}))"
 
-    numbered = bind(bind(lines_sql(text), step), lambda ts: (
+    return bind(bind(lines_sql(text), step), lambda ts: (
         f"transform({ts}, (t, i) -> named_struct('turn_index', i, 'speaker_role', t.speaker_role, 'start', t.start, "
         f"'end', t.`end`, 'text', t.text))"
     ))
-    return F.expr(numbered)
 
 
 def transcript_segments(text: str, spans: str) -> Column:
+    return F.expr(transcript_segments_sql(text, spans))
+
+
+def transcript_segments_sql(text: str, spans: str) -> str:
     """Lines merged where spans touch them: ``array<struct<segment,start_line,end_line,start,end>>``.
 
     ``spans`` is ``array<struct<start,end>>``.  Line ranges join when the next starts
@@ -165,7 +174,7 @@ def transcript_segments(text: str, spans: str) -> Column:
 
         return bind(merged, assemble)
 
-    return F.expr(bind(lines_sql(text), with_lines))
+    return bind(lines_sql(text), with_lines)
 
 
 # --- projection -------------------------------------------------------------------------------
@@ -187,65 +196,119 @@ def resolve_spans(df: DataFrame) -> DataFrame:
 
 
 def resolved_arrays(df: DataFrame) -> DataFrame:
-    """Resolved spans gathered back per dialogue (bounded by one transcript's annotations)."""
-    rows = resolve_spans(df)
-    require_none(rows.filter("resolution is null").select("dialogue_id", "start", "end", "text"), "annotations without their text nearby")
+    """``annotated``: all spans of a dialogue (bounded by one transcript), repaired where that is possible."""
     packed = F.struct(
-        F.col("resolved_start").alias("start"), F.col("resolved_end").alias("end"), "type", "raw_type", "resolution")
-    return rows.groupBy("dialogue_id").agg(F.array_sort(F.collect_list(packed)).alias("resolved"))
+        F.col("resolved_start").alias("start"), F.col("resolved_end").alias("end"), "type", "raw_type", "resolution",
+        F.col("start").alias("source_start"), F.col("end").alias("source_end"), "text")
+    return resolve_spans(df).groupBy("dialogue_id").agg(F.array_sort(F.collect_list(packed)).alias("annotated"))
+
+
+ANNOTATED = ("array<struct<start:int,end:int,type:string,raw_type:string,resolution:string,source_start:int,source_end:int,"
+             "text:string>>")
+
 
+def place_spans(df: DataFrame, unit: str) -> DataFrame:
+    """``dialogue_id, units, resolved, lost``: units of text with the spans that lie in one, and the spans that lie in none.
 
-def _projected(df: DataFrame, unit: str) -> DataFrame:
-    """Tokens, labels and local spans of text units (``unit_start, unit_end, text, resolved``)."""
+    ``unit`` is ``turn`` or ``segment``.  ``lost`` says why: the text is not near the offsets, no single unit holds the
+    span, or it covers no token.  A span is in ``resolved`` or in ``lost``, never in both and never in neither.
+    """
+    held = df.join(resolved_arrays(df), "dialogue_id", "left").withColumn(
+        "annotated", F.coalesce("annotated", F.expr(f"cast(array() as {ANNOTATED})")))
+    if unit == "turn":
+        units = bind("transcript", lambda t: transcript_turns_sql(t))
+        units = (f"transform({units}, u -> named_struct('unit_index', u.turn_index, 'speaker_role', u.speaker_role, "
+                 f"'start', u.start, 'end', u.`end`, 'text', u.text))")
+    elif unit == "segment":
+        found = "filter(annotated, s -> s.resolution is not null)"
+        units = bind("transcript", lambda t: (
+            f"transform({transcript_segments_sql(t, found)}, g -> named_struct('unit_index', g.segment, "
+            f"'speaker_role', cast(null as string), 'start', g.start, 'end', g.`end`, "
+            f"'text', substring({t}, g.start + 1, g.`end` - g.start)))"))
+    else:
+        raise ValueError(unit)
+
+    def judged(us):
+        inside = f"exists({us}, u -> s.start >= u.start and s.`end` <= u.`end`)"
+        reason = (f"case when s.resolution is null then 'text not nearby' when not {inside} then 'in no single {unit}' "
+                  f"when not s.text rlike {sql_text(f'[^{SPACE_CLASS}]')} then 'no token' end")
+        marked = f"transform(annotated, s -> named_struct('s', s, 'reason', {reason}))"
+        return bind(marked, lambda ms: (
+            f"named_struct('units', {us}, "
+            f"'resolved', transform(filter({ms}, m -> m.reason is null), m -> m.s), "
+            f"'lost', transform(filter({ms}, m -> m.reason is not null), m -> named_struct('start', m.s.source_start, "
+            f"'end', m.s.source_end, 'text', m.s.text, 'raw_type', m.s.raw_type, 'reason', m.reason)))"))
+
+    # Generated, not projected: the optimiser would copy the units into every use of them.
+    return held.select("dialogue_id", F.inline_outer(F.array(F.expr(bind(units, judged)))))
+
+
+def unit_rows(placed: DataFrame, unit: str) -> DataFrame:
+    """Tokens, labels and local spans of each unit that is not blank."""
+    rows = explode_rows(placed.select("dialogue_id", "units", "resolved"), F.col("units"), "u").select(
+        "dialogue_id", "u.unit_index", "u.speaker_role", F.col("u.start").alias("unit_start"), F.col("u.end").alias("unit_end"),
+        "u.text", "resolved")
     local = (
         "transform(filter(resolved, s -> s.start >= unit_start and s.`end` <= unit_end), s -> named_struct("
         "'start', int(s.start - unit_start), 'end', int(s.`end` - unit_start), 'type', s.type, 'raw_type', s.raw_type))"
     )
-    held = with_tokens(df.filter(F.col("text").rlike(f"[^{SPACE_CLASS}]"))).withColumn("local", F.expr(local))
+    held = with_tokens(rows.filter(F.col("text").rlike(f"[^{SPACE_CLASS}]"))).withColumn("local", F.expr(local))
     spans = L.project_spans_sql("starts", "ends", "local")
     out = held.withColumn("token_spans", F.expr(spans)).withColumn(
         "labels", L.labels_from_token_spans("size(tokens)", "token_spans"))
     names = lambda f: F.expr(f"array_join(array_sort(array_distinct(transform(local, s -> s.{f}))), ',')")
-    return out.withColumn("id", F.concat_ws("-", "dialogue_id", F.lit(unit), F.col("unit_index").cast("string"))).withColumn(
+    out = out.withColumn("id", F.concat_ws("-", "dialogue_id", F.lit(unit), F.col("unit_index").cast("string"))).withColumn(
         "types", names("type")).withColumn("raw_types", names("raw_type"))
+    return out if unit == "turn" else out.drop("speaker_role")
+
 
+def lost_spans(placed: DataFrame) -> DataFrame:
+    """``dialogue_id, start, end, text, raw_type, reason`` of the spans that lie in no unit; offsets are those of the annotation."""
+    return explode_rows(placed.select("dialogue_id", "lost"), F.col("lost"), "s").select("dialogue_id", "s.*")
 
-def _require_placed(resolved: DataFrame, units: str, what: str) -> None:
-    """Fail with the first spans of ``resolved`` that lie in no single one of ``units``."""
-    lost = F.filter("resolved", lambda s: ~F.exists(units, lambda u: (s["start"] >= u["start"]) & (s["end"] <= u["end"])))
-    require_none(resolved.select("dialogue_id", lost.alias("spans")).filter("size(spans) > 0"), what)
+
+def _project(df: DataFrame, unit: str) -> DataFrame:
+    """``unit_rows`` whose job fails at the first dialogue with a lost span; nothing runs before that job."""
+    placed = place_spans(df, unit)
+    told = F.concat(F.lit("spans that lie in no "), F.lit(unit), F.lit(" of dialogue "), F.col("dialogue_id"), F.lit(": "),
+                    F.to_json(F.slice("lost", 1, 5)))
+    sound = F.when(F.size("lost") == 0, F.col("units")).otherwise(F.raise_error(told))
+    return unit_rows(placed.withColumn("units", sound), unit)
 
 
 def project_turns(df: DataFrame) -> DataFrame:
-    """Candidate rows per turn; a span belongs to the first turn that contains it, and one that no turn contains is an error."""
-    turns = df.withColumn("turns", transcript_turns("transcript")).join(
-        resolved_arrays(df), "dialogue_id", "left").withColumn(
-        "resolved", F.coalesce("resolved", F.expr("cast(array() as array<struct<start:int,end:int,type:string,raw_type:string,resolution:string>>)")))
-    _require_placed(turns, "turns", "spans in no single turn")
-    # Turns are disjoint, so containment in a turn is unique.
-    rows = explode_rows(turns.drop("spans"), F.col("turns"), "t").select(
-        "dialogue_id", F.col("t.turn_index").alias("unit_index"), F.col("t.speaker_role").alias("speaker_role"),
-        F.col("t.start").alias("unit_start"), F.col("t.end").alias("unit_end"), F.col("t.text").alias("text"), "resolved")
-    return _projected(rows, "turn")
+    """Candidate rows per turn; a span belongs to the turn that contains it, and one that no turn contains fails the job."""
+    return _project(df, "turn")
 
 
 def project_segments(df: DataFrame) -> DataFrame:
-    """Candidate rows per segment; every span lands in exactly one, or it is an error."""
-    base = df.join(resolved_arrays(df), "dialogue_id", "left").withColumn(
-        "resolved", F.coalesce("resolved", F.expr("cast(array() as array<struct<start:int,end:int,type:string,raw_type:string,resolution:string>>)")))
-    base = base.withColumn("segments", transcript_segments("transcript", "resolved"))
-    _require_placed(base, "segments", "spans in no single segment")
-    rows = explode_rows(base.drop("spans"), F.col("segments"), "g").select(
-        "dialogue_id", F.col("g.segment").alias("unit_index"), F.col("g.start").alias("unit_start"),
-        F.col("g.end").alias("unit_end"), F.expr("substring(transcript, g.start + 1, g.`end` - g.start)").alias("text"), "resolved")
-    return _projected(rows, "segment")
+    """Candidate rows per segment; every span lands in exactly one, or the job fails."""
+    return _project(df, "segment")
+
+
+class Quarantined(NamedTuple):
+    rows: DataFrame  # unit rows, without the lost spans
+    lost: DataFrame
+    counts: dict[str, int]  # dialogues, placed and lost spans
+
+
+def project_with_quarantine(df: DataFrame, unit: str) -> Quarantined:
+    """One job that writes what ``place_spans`` gives; rows and lost spans are both read from it, counts come from the job."""
+    seen = Observation()
+    placed = place_spans(df, unit)
+    count = lambda c: F.coalesce(F.sum(F.size(c)), F.lit(0)).alias(c)
+    table = cut_lineage(placed.observe(seen, F.count(F.lit(1)).alias("dialogues"), count("resolved"), count("lost")))
+    found = seen.get
+    return Quarantined(unit_rows(table, unit), lost_spans(table),
+                       {"dialogues": found["dialogues"], "placed": found["resolved"], "lost": found["lost"]})
 
 
 def unprojected(df: DataFrame, rows: DataFrame) -> DataFrame:
     """Dialogues whose spans were not all projected exactly once."""
     want = resolve_spans(df).groupBy("dialogue_id").agg(F.count(F.lit(1)).alias("want"))
     got = rows.groupBy("dialogue_id").agg(F.sum(F.size("token_spans")).alias("got"))
-    return want.join(got, "dialogue_id", "left").filter("want <> coalesce(got, 0)")
+    both = want.join(got, "dialogue_id", "left").select("dialogue_id", "want", F.coalesce("got", F.lit(0)).alias("got"))
+    return both.filter("want <> got")
 
 
 def turns_of_spans(spans: DataFrame, turns: DataFrame) -> DataFrame:

@@ -13,8 +13,12 @@ WORD = r"\p{Lu}\p{L}{5,}"
 CROSSING = r"[.]\n\p{Lu}\p{L}+"
 
 
-def transcripts(spark, root, pattern=None, moved=False):
-    """One transcript per conversation; annotations are pattern matches, optionally misplaced."""
+def transcripts(spark, root, pattern=None, moved=False, faulty=False):
+    """One transcript per conversation; annotations are pattern matches, optionally misplaced.
+
+    Speaker labels are no annotations, unless the input is to be ``faulty``: then they lie in no turn, and
+    one match in eleven each has a text that is not there and is moved to the blank before it.
+    """
     line = F.when(F.col("role") == "user", F.concat(F.lit("Student: "), "text")).when(
         F.col("role") == "assistant", F.concat(F.lit("VOLUNTEER: "), "text")).otherwise(F.col("text"))
     rows = I.load_text(spark, root, "conversations").select("conv_id", "turn", line.alias("line"))
@@ -24,8 +28,15 @@ def transcripts(spark, root, pattern=None, moved=False):
     if pattern is None:
         return df
     m = "(h.start % 5)" if moved else "0"
+    hits = T.regex_spans_sql("transcript", pattern)
+    if faulty:
+        fault = lambda a, b, c: f"case h.start % 11 when 0 then {a} when 1 then {b} else {c} end"
+        return df.withColumn("spans", F.expr(
+            f"transform({hits}, h -> named_struct('start', {fault('h.start', 'h.start - 1', 'h.start')}, 'end', {fault('h.`end`', 'h.start', 'h.`end`')}, "
+            f"""'text', {fault("concat('zz', h.text)", "' '", 'h.text')}, 'pii_type', 'person-name'))"""))
+    hits = T.bind("transcript", lambda t: f"filter({T.regex_spans_sql(t, pattern)}, h -> substring({t}, h.`end` + 1, 2) <> ': ')")
     spans = (
-        f"transform({T.regex_spans_sql('transcript', pattern)}, h -> named_struct("
+        f"transform({hits}, h -> named_struct("
         f"'start', case {m} when 2 then h.start - 1 when 3 then h.start - 1 when 4 then h.start + 7 else h.start end, "
         f"'end', case {m} when 1 then h.`end` - 1 when 2 then h.`end` + 1 when 3 then h.`end` - 1 when 4 then h.`end` + 7 else h.`end` end, "
         f"'text', h.text, 'pii_type', if(length(h.text) > 8, 'person-name', 'social handle')))")
@@ -38,7 +49,7 @@ TR = """tr AS MATERIALIZED (SELECT CAST(conv_id AS VARCHAR) AS id, string_agg(CA
 
 def _ann(pattern, moved):
     m = "CASE s % 5 WHEN {} THEN {} ELSE {} END"
-    sql = f"{TR}, {I._matches('ann', pattern, 'tr', 'id', 't')}"
+    sql = f"{TR}, {I._matches('hit', pattern, 'tr', 'id', 't')}, ann_chars AS (SELECT c.* FROM hit_chars c JOIN tr USING (id) WHERE substring(t, e + 1, 2) <> ': ')"
     if not moved:
         return sql + ", mv AS (SELECT id, pos, s, e, txt FROM ann_chars)"
     return sql + """, mv AS (SELECT id, pos, CASE s % 5 WHEN 2 THEN s - 1 WHEN 3 THEN s - 1 WHEN 4 THEN s + 7 ELSE s END AS s,
@@ -171,10 +182,41 @@ def segment_rows(spark, root):
     return _row_digest(S.project_segments(transcripts(spark, root, CROSSING)))
 
 
-@query("t22_unprojected_spans", f"WITH {TR} SELECT id AS dialogue_id, 0 AS want, 0 AS got FROM tr WHERE false")
+_FAULTY = f"""WITH {TR}, {I._matches('hit', WORD, 'tr', 'id', 't')}, mv AS (SELECT id, pos, CASE s % 11 WHEN 1 THEN s - 1 ELSE s END AS s,
+  CASE s % 11 WHEN 1 THEN s ELSE e END AS e, CASE s % 11 WHEN 0 THEN 'zz' || txt WHEN 1 THEN ' ' ELSE txt END AS txt FROM hit_chars){RESOLVED}{LINES},
+lo AS MATERIALIZED (SELECT r.id, mv.s, mv.e, mv.txt, r.rs, CASE WHEN resolution IS NULL THEN 'text not nearby' WHEN NOT EXISTS (
+    SELECT 1 FROM trn WHERE trn.id = r.id AND trn.s <= r.rs AND r.rs + length(r.txt) <= trn.e) THEN 'in no single turn' WHEN r.txt = ' ' THEN 'no token' END AS reason
+  FROM res r JOIN mv ON mv.id = r.id AND mv.pos = r.pos)"""
+
+
+@query("t21_lost_spans", f"{_FAULTY} SELECT id AS dialogue_id, s AS start, e AS \"end\", txt AS text, reason FROM lo WHERE reason IS NOT NULL")
+def lost_spans(spark, root):
+    """What the quarantine holds of an input with planted faults."""
+    found = S.project_with_quarantine(transcripts(spark, root, WORD, faulty=True), "turn").lost
+    return found.select("dialogue_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "text", "reason")
+
+
+@query("t21_quarantine_counts", f"""{_FAULTY} SELECT (SELECT count(*) FROM tr) AS dialogues, count(*) FILTER (reason IS NULL) AS placed, count(*) FILTER (reason IS NOT NULL) AS lost,
+  (SELECT count(DISTINCT (l.id, turn)) FROM lo l JOIN trn ON trn.id = l.id AND trn.s <= l.rs AND l.rs + length(l.txt) <= trn.e WHERE reason IS NULL) AS positive_rows FROM lo""")
+def quarantine_counts(spark, root):
+    """Counts that the one job took, beside the rows that still have a span."""
+    done = S.project_with_quarantine(transcripts(spark, root, WORD, faulty=True), "turn")
+    positive = done.rows.agg(F.count_if(F.size("token_spans") > 0).alias("positive_rows"))
+    return positive.select(*[F.lit(done.counts[c]).cast("long").alias(c) for c in ("dialogues", "placed", "lost")], "positive_rows")
+
+
+def broken_crossings(spark, root):
+    """Crossing spans, of which one in three is cut down to its line break."""
+    cut = "s.start % 3 = 0"
+    return transcripts(spark, root, CROSSING).withColumn("spans", F.expr(
+        f"transform(spans, s -> named_struct('start', if({cut}, s.start + 1, s.start), 'end', if({cut}, s.start + 2, s.`end`), "
+        f"'text', if({cut}, '\\n', s.text), 'pii_type', s.pii_type))"))
+
+
+@query("t22_unprojected_spans", f"""WITH {_ann(CROSSING, False)} SELECT id AS dialogue_id, count(*) AS want, count(*) FILTER (s % 3 <> 0) AS got FROM mv GROUP BY id HAVING count(*) FILTER (s % 3 = 0) > 0""")
 def unprojected_spans(spark, root):
-    base = transcripts(spark, root, CROSSING)
-    return S.unprojected(base, S.project_segments(base))
+    base = broken_crossings(spark, root)
+    return S.unprojected(base, S.project_with_quarantine(base, "segment").rows)
 
 
 @query("t23_supported_annotations", f"""WITH {_ann(WORD, False)} SELECT id AS dialogue_id, count(*) AS n, sum(length(txt)) AS chars FROM mv WHERE length(txt) > 8 GROUP BY id""")
