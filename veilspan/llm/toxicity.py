@@ -239,7 +239,8 @@ def score_column(spark: SparkSession, model: ToxicityModel, text: Column) -> Col
 
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
-        return pa.array([held.value.score(x) for x in raw(column)], pa.float64())
+        parts = (raw(column.slice(at, 128)) for at in range(0, len(column), 128))
+        return pa.array([held.value.score(x) for part in parts for x in part], pa.float64())
 
     return score(text)
 
