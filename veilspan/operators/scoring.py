@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ..functions import labels as L
 from ..functions import rules as R
+from ..functions.probability import CLASSES, argmax
 from ..functions.text import any_word
 from ..functions.tokens import regex_spans_sql, tokenize_sql
 
@@ -20,28 +23,57 @@ IDENTIFIER_PATTERN = (
 )
 
 
-def score_candidates(df: DataFrame, factory: Callable[[], Callable[[pd.DataFrame], list]] | None = None,
-                     pattern: str = IDENTIFIER_PATTERN) -> DataFrame:
-    """``id, predicted_labels`` for ``id, text``.
+CandidateScorer = Callable[[pa.RecordBatch], Sequence[Sequence[tuple[int, int]]]]
+ActionScorer = Callable[[pa.RecordBatch], Sequence[tuple[float, float, float]]]
 
-    ``factory`` builds a scorer once per task; the scorer maps a batch to one list of
-    ``(start, end)`` character spans per row.  Without one, built-in patterns are used
-    and nothing leaves the JVM.
+
+def _scored(df: DataFrame, factory: Callable[[], Callable], needs: Sequence[str], added: StructType, cells, batch_rows: int,
+            profile: ResourceProfile | None) -> DataFrame:
+    """``df`` with the columns ``added``, which ``cells`` makes of a scorer's answers; other columns pass through as they are.
+
+    The scorer is made once per task, so a model is loaded once and not for each batch; it sees the columns ``needs`` of at
+    most ``batch_rows`` rows, null texts as empty ones.  ``profile`` asks the cluster for executors that suit it (memory, accelerators).
     """
-    base = df.select("id", "text", F.expr(tokenize_sql("text")).alias("tokens"))
+    names, places = df.columns, [df.columns.index(c) for c in needs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = factory()
+        for batch in batches:
+            for start in range(0, batch.num_rows, batch_rows):
+                part = batch.slice(start, batch_rows)
+                seen = [c.fill_null("") if pa.types.is_string(c.type) else c for c in (part.column(i) for i in places)]
+                answers = score(pa.RecordBatch.from_arrays(seen, list(needs)))
+                if len(answers) != part.num_rows:
+                    raise ValueError(f"{len(answers)} answers to {part.num_rows} rows")
+                yield pa.RecordBatch.from_arrays([*part.columns, *cells(answers)], [*names, *added.names])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, *added.fields]), profile=profile)
+
+
+def with_candidate_labels(df: DataFrame, factory: Callable[[], CandidateScorer] | None = None, pattern: str = IDENTIFIER_PATTERN,
+                          batch_rows: int = 256, profile: ResourceProfile | None = None) -> DataFrame:
+    """``df`` (``id, text, ...``) with ``tokens`` and ``predicted_labels``.
+
+    A scorer maps a batch ``id, text, tokens`` to one list of ``(start, end)`` character spans per row; a row without an
+    answer or a span outside its text fails the job.  Without a factory, built-in patterns are used and nothing leaves the JVM.
+    """
+    base = df.withColumn("tokens", F.expr(tokenize_sql("text")))
     if factory is None:
         held = base.withColumn("__s", F.expr(regex_spans_sql("text", pattern)))
     else:
-        schema = base.schema.add("__s", L.SPANS)
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        spans = StructType().add("__s", ArrayType(StructType().add("start", "integer").add("end", "integer")))
+        cells = lambda answers: [pa.array([[{"start": int(a), "end": int(b)} for a, b in row] for row in answers], kind)]
+        told = F.concat(F.lit("a span outside the text of "), F.col("id").cast("string"))
+        wrong = F.expr("exists(__s, s -> s.start < 0 or s.`end` < s.start or s.`end` > length(text))")
+        held = _scored(base, factory, ("id", "text", "tokens"), spans, cells, batch_rows, profile).withColumn(
+            "__s", F.when(~wrong, F.col("__s")).otherwise(F.raise_error(told)))
+    return held.withColumn("predicted_labels", L.labels_of_text("text", "tokens", "__s")).drop("__s")
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            score = factory()
-            for batch in batches:
-                spans = score(batch)
-                yield batch.assign(__s=[[{"start": int(a), "end": int(b)} for a, b in row] for row in spans])
 
-        held = base.mapInPandas(run, schema)
-    return held.select("id", L.labels_of_text("text", "tokens", "__s").alias("predicted_labels"))
+def score_candidates(df: DataFrame, factory: Callable[[], CandidateScorer] | None = None, pattern: str = IDENTIFIER_PATTERN, **how) -> DataFrame:
+    """``id, predicted_labels`` for ``id, text``; see :func:`with_candidate_labels`."""
+    return with_candidate_labels(df.select("id", "text"), factory, pattern, **how).select("id", "predicted_labels")
 
 
 def rule_action(span: Column, context: Column, entity_type: Column) -> Column:
@@ -52,31 +84,30 @@ def rule_action(span: Column, context: Column, entity_type: Column) -> Column:
     return F.when(direct | private, "REDACT").when(context.rlike(lesson), "KEEP").otherwise("REVIEW")
 
 
-def score_actions(df: DataFrame, factory: Callable[[], Callable[[pd.DataFrame], list]] | None = None) -> DataFrame:
-    """``id, predicted_action, confidence, p_redact, p_keep, p_review`` for ``id, span_text, context_text, entity_type``.
+def with_action_scores(df: DataFrame, factory: Callable[[], ActionScorer] | None = None, batch_rows: int = 256,
+                       profile: ResourceProfile | None = None) -> DataFrame:
+    """``df`` (``id, span_text, context_text, entity_type, ...``) with ``predicted_action, confidence, p_redact, p_keep, p_review``.
 
-    A plugged scorer maps a batch to one ``(redact, keep, review)`` triple per row.
+    A scorer maps a batch of those four columns to one ``(redact, keep, review)`` triple per row.
     """
+    names = [f"p_{n}" for n in CLASSES]
     if factory is None:
         action = rule_action(F.col("span_text"), F.col("context_text"), F.col("entity_type"))
-        scored = df.select("id", F.inline_outer(F.array(F.struct(action.alias("predicted_action")))))
-        p = lambda a: F.when(F.col("predicted_action") == a, 0.9).otherwise(0.05)
-        return scored.select("id", "predicted_action", F.lit(0.9).alias("confidence"), p("REDACT").alias("p_redact"),
-                             p("KEEP").alias("p_keep"), p("REVIEW").alias("p_review"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = factory()
-        for batch in batches:
-            rows = score(batch)
-            yield pd.DataFrame({"id": batch["id"], **{
-                f"p_{n}": [float(r[i]) for r in rows] for i, n in enumerate(("redact", "keep", "review"))}})
-
-    from ..functions.probability import argmax
-
-    out = df.select("id", "span_text", "context_text", "entity_type").mapInPandas(
-        run, "id string, p_redact double, p_keep double, p_review double")
-    return out.select("id", argmax().alias("predicted_action"), F.greatest("p_redact", "p_keep", "p_review").alias("confidence"),
-                      "p_redact", "p_keep", "p_review")
+        scored = df.select("*", F.inline_outer(F.array(F.struct(action.alias("predicted_action")))))
+        return scored.withColumns({"confidence": F.lit(0.9), **{
+            f"p_{n}": F.when(F.col("predicted_action") == n.upper(), 0.9).otherwise(0.05) for n in CLASSES}})
+    added = StructType()
+    for name in names:
+        added = added.add(name, "double")
+    cells = lambda answers: [pa.array([float(row[i]) for row in answers], pa.float64()) for i in range(3)]
+    scored = _scored(df, factory, ("id", "span_text", "context_text", "entity_type"), added, cells, batch_rows, profile)
+    return scored.withColumns({"predicted_action": argmax(), "confidence": F.greatest(*names)})
+
+
+def score_actions(df: DataFrame, factory: Callable[[], ActionScorer] | None = None, **how) -> DataFrame:
+    """``id, predicted_action, confidence, p_redact, p_keep, p_review``; see :func:`with_action_scores`."""
+    scored = with_action_scores(df.select("id", "span_text", "context_text", "entity_type"), factory, **how)
+    return scored.select("id", "predicted_action", "confidence", *[f"p_{n}" for n in CLASSES])
 
 
 def label_responses(responses: DataFrame, tolerant: bool = True, attempts: int = 2) -> DataFrame:

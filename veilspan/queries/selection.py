@@ -1,16 +1,19 @@
 """Splits, quotas, selections and redaction (N1-N18, R9-R17, X1-X8, U1-U3) over whole tables."""
 
+import regex
 from pyspark.sql import functions as F
 
 from ..constants import SURROGATE_FORMATS
 from ..functions import rules as R
 from ..functions import tokens as T
+from ..operators import cascade as K
 from ..operators import quality as Q
 from ..operators import redaction as X
 from ..operators import sampling as N
 from ..operators import scoring as U
 from ..operators import spans as S
 from ..session import cut_lineage
+from . import decisions as D
 from . import inputs as I
 from .decisions import _with_span
 from .quality_checks import responses
@@ -355,13 +358,71 @@ def labelled_export(spark, root):
     return X.export_labelled(pool).select("id", "action_label", "semantic_role", "annotator", "label_origin", "agrees_with_suggestion")
 
 
-@query("x8_cascade_job")
+CANDIDATE = r"\p{Lu}\p{L}{9,}"
+
+
+def length_scorer():
+    """A stand-in for a model: integer arithmetic on lengths and digits, so that SQL can say the same."""
+
+    def score(batch):
+        out = []
+        for span, context in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            n, digits, around = len(span), sum("0" <= c <= "9" for c in span), len(context)
+            three = 1 + (7 * n + 3 * digits) % 11, 1 + 5 * around % 13, 1 + (n + around) % 7
+            out.append(tuple(x / sum(three) for x in three))
+        return out
+
+    return score
+
+
+def _cascade(spark, root):
+    docs = I.documents(spark, root).select(F.col("subject").alias("session_id"), F.col("id").cast("long").alias("turn_index"), "text")
+    return K.run(docs, K.fit_policy(I.decisions(spark, root), 0.15), scorer=length_scorer, candidate_pattern=CANDIDATE)
+
+
+_KIND = r"""CASE WHEN contains(txt, '@') THEN 'EMAIL_ADDRESS' WHEN regexp_matches(txt, '^(https?://|www[.])') THEN 'URL'
+  WHEN regexp_matches(txt, '^[0-9]{1,3}([.][0-9]{1,3}){3}$') THEN 'IP_ADDRESS' WHEN regexp_matches(txt, '^[0-9]{3}-[0-9]{2}-[0-9]{4}$') THEN 'US_SSN' ELSE 'PHONE_NUMBER' END"""
+_CASCADE = f"""{D.FULL}, {I.tokens_sql()}, {I._matches('di', U.IDENTIFIER_PATTERN)}, {I._matches('ca', CANDIDATE)}, {I._painted('ca')},
+dsp AS MATERIALIZED (SELECT id, s, e, txt, {_KIND} AS kind FROM di_chars),
+csp AS (SELECT c.id, a.s, b.e FROM ca_spans c JOIN tok a ON a.id = c.id AND a.i = c.s JOIN tok b ON b.id = c.id AND b.i = c.e - 1),
+sp AS MATERIALIZED (SELECT * FROM dsp UNION ALL SELECT c.id, c.s, c.e, substring(d.text, c.s + 1, c.e - c.s), 'SUSPECT' FROM csp c JOIN documents d ON CAST(d.doc_id AS VARCHAR) = c.id
+  WHERE NOT EXISTS (SELECT 1 FROM dsp x WHERE x.id = c.id AND x.s < c.e AND c.s < x.e)),
+sc AS (SELECT *, 1 + (7 * n + 3 * g) % 11 AS r, 1 + 5 * c % 13 AS k, 1 + (n + c) % 7 AS v FROM (SELECT sp.*, d.lang, length(txt) AS n, length(regexp_replace(txt, '[^0-9]', '', 'g')) AS g,
+  least(e + 64, length(d.text)) - greatest(0, s - 64) AS c FROM sp JOIN documents d ON CAST(d.doc_id AS VARCHAR) = sp.id)),
+oc AS (SELECT *, kind IN ('EMAIL_ADDRESS', 'URL', 'IP_ADDRESS', 'US_SSN') OR regexp_matches(txt, '(?i)^DLN?[A-Z0-9-]{{6,}}$') AS sure FROM sc),
+pc AS (SELECT id, lang, s, e, txt, kind, sure, CASE WHEN sure THEN 1e0 ELSE r / CAST(r + k + v AS DOUBLE) END AS pr, CASE WHEN sure THEN 0e0 ELSE k / CAST(r + k + v AS DOUBLE) END AS pk,
+  CASE WHEN sure THEN 0e0 ELSE v / CAST(r + k + v AS DOUBLE) END AS pv FROM oc),
+bc AS (SELECT *, CASE WHEN pr >= pk AND pr >= pv THEN 'REDACT' WHEN pk >= pv THEN 'KEEP' ELSE 'REVIEW' END AS predicted_action FROM pc),
+cf AS (SELECT *, greatest(qr, qk, qv) AS confidence, abs(qr - qk) AS margin, qv AS review_probability,
+  -(qr * ln(greatest(qr, 1e-12)) + qk * ln(greatest(qk, 1e-12)) + qv * ln(greatest(qv, 1e-12))) AS entropy FROM ({D._SCALED.format(src='(SELECT * FROM bc, temp)')})),
+ch AS ({D._CHOSEN.format(t='15e-2')}),
+cd AS MATERIALIZED (SELECT id, lang, s, e, txt, kind, sure, base_action, strategy, deferred, CASE WHEN deferred THEN 'REVIEW' ELSE base_action END AS action FROM (
+  SELECT f.*, f.predicted_action AS base_action, g.strategy, NOT sure AND {D.DEFER} AS deferred FROM cf f, (SELECT * FROM grid WHERE ord IN (SELECT ord FROM ch)) g))"""
+
+
+@query("x8_cascade_job", f"""{_CASCADE}, rd AS MATERIALIZED (SELECT id, lang, CAST(id AS BIGINT) AS t, s, e, CASE kind WHEN 'IP_ADDRESS' THEN 'IP' WHEN 'PHONE_NUMBER' THEN 'PHONE' ELSE kind END AS ty,
+  replace(lower(txt), 'ß', 'ss') AS key FROM cd WHERE action = 'REDACT'),
+num AS (SELECT lang, ty, key, row_number() OVER (PARTITION BY lang, ty ORDER BY m) AS n FROM (SELECT lang, ty, key, min((t, -s)) AS m FROM rd GROUP BY ALL)),
+va AS (SELECT rd.id, s, e, '[' || ty || '_' || n || ']' AS v FROM rd JOIN num USING (lang, ty, key)),
+ga AS (SELECT va.id, s, e, v, substring(text, coalesce(lag(e) OVER (PARTITION BY va.id ORDER BY s), 0) + 1, s - coalesce(lag(e) OVER (PARTITION BY va.id ORDER BY s), 0)) AS gap FROM va JOIN documents ON CAST(doc_id AS VARCHAR) = va.id)
+SELECT doc_id AS turn_index, coalesce(n, 0) AS n_redacted, md5(coalesce(x || substring(text, last + 1), text)) AS redacted
+FROM documents LEFT JOIN (SELECT id, count(*) AS n, string_agg(gap || v, '' ORDER BY s) AS x, max(e) AS last FROM ga GROUP BY id) y ON y.id = CAST(doc_id AS VARCHAR)""")
 def cascade_job(spark, root):
-    """Find identifiers, decide them by rule, defer nothing, render: one pass plus numbering."""
-    kinds = "case when h.text like '%@%' then 'EMAIL_ADDRESS' when h.text like '%.%' then 'IP_ADDRESS' else 'PHONE_NUMBER' end"
-    spans = f"transform({T.regex_spans_sql('text', U.IDENTIFIER_PATTERN)}, h -> named_struct('start', h.start, 'end', h.`end`, 'text', h.text, 'entity_type', {kinds}))"
-    docs = I.documents(spark, root).select(F.col("subject").alias("session_id"), F.col("id").cast("long").alias("turn_index"), "text", F.expr(spans).alias("spans"))
-    return X.render_stable(docs).select("turn_index", F.size("spans").alias("n_spans"), F.md5("redacted").alias("redacted"))
+    """A policy fitted on one table, carried through detection, scoring, deferral and rendering of another."""
+    return _cascade(spark, root).rendered.select("turn_index", F.size("spans").cast("long").alias("n_redacted"), F.md5("redacted").alias("redacted"))
+
+
+@query("x8_review_queue", f"{_CASCADE} SELECT CAST(id AS BIGINT) AS turn_index, s AS start, kind AS entity_type, base_action, strategy, deferred FROM cd WHERE action = 'REVIEW'")
+def review_queue(spark, root):
+    """What the cascade leaves to review: deferred spans, and those the model itself sends there."""
+    return _cascade(spark, root).queue.select("turn_index", F.col("start").cast("long").alias("start"), "entity_type",
+                                              F.col("base_predicted_action").alias("base_action"), "strategy", "deferred")
+
+
+@query("x8_action_counts", f"{_CASCADE} SELECT kind AS entity_type, action, count(*) AS n, count(*) FILTER (deferred) AS deferred, count(*) FILTER (sure) AS direct FROM cd GROUP BY ALL")
+def action_counts(spark, root):
+    return _cascade(spark, root).decided.groupBy("entity_type", F.col("predicted_action").alias("action")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("deferred").alias("deferred"), F.count_if(F.col("override").isNotNull()).alias("direct"))
 
 
 # --- seams -----------------------------------------------------------------------------------------
@@ -378,6 +439,45 @@ def action_scoring(spark, root):
     return U.score_actions(rows).select("id", "predicted_action")
 
 
+def regex_detector():
+    """The built-in candidate search as a plugged scorer: compiled once per task, spans by code points."""
+    pattern = regex.compile(I.GOLD_PATTERN)  # nothing in it that engines read differently
+
+    def score(batch):
+        return [[m.span() for m in pattern.finditer(text)] for text in batch.column("text").to_pylist()]
+
+    return score
+
+
+@query("u1_plugged_scorer", f"WITH {I.tokens_sql()}, {I._matches('gold', I.GOLD_PATTERN)}, {I._painted('gold')} SELECT d.id, coalesce(n, 0) AS n_positive FROM (SELECT CAST(doc_id AS VARCHAR) AS id FROM documents) d LEFT JOIN (SELECT id, count(*) AS n FROM gold_lab GROUP BY id) USING (id)")
+def plugged_candidates(spark, root):
+    """The same rows as u1_candidate_scoring by way of a scorer in the tasks."""
+    out = U.score_candidates(I.documents(spark, root), regex_detector)
+    return out.select("id", F.expr("size(filter(predicted_labels, x -> x <> 'O'))").cast("long").alias("n_positive"))
+
+
+@query("u2_plugged_scorer", f"WITH {I.decisions_sql('dec')} SELECT id, CASE WHEN entity_type = 'EMAIL_ADDRESS' OR latency_ms > 300 THEN 'REDACT' WHEN eval_slice = 'natural' THEN 'KEEP' ELSE 'REVIEW' END AS predicted_action, 9e-1 AS confidence FROM dec")
+def plugged_actions(spark, root):
+    """The rows of u2_action_scoring by way of a scorer in the tasks."""
+    context = F.when(F.col("eval_slice") == "natural", F.concat(F.lit("the lesson on "), "span_text")).otherwise(F.concat(F.lit("about "), "span_text"))
+    rows = _with_span(I.decisions(spark, root)).withColumn("context_text", context)
+    return U.score_actions(rows, rule_scorer).select("id", "predicted_action", "confidence")
+
+
+def rule_scorer():
+    """Direct identifiers and lesson words in plain Python, with the scores of the built-in rules."""
+    direct = regex.compile(r"(?i)[\w.%+-]+@[\w.-]+\.[a-z]{2,}|www\.\S+")
+
+    def score(batch):
+        out = []
+        for span, context, kind in zip(*(batch.column(c).to_pylist() for c in ("span_text", "context_text", "entity_type"))):
+            place = 0 if kind == "EMAIL_ADDRESS" or direct.search(span) else 1 if "lesson" in context else 2
+            out.append(tuple(0.9 if i == place else 0.05 for i in range(3)))
+        return out
+
+    return score
+
+
 @query("u3_response_labelling", f"""WITH {I.decisions_sql('dec')} SELECT CASE WHEN latency_ms < 240 OR latency_ms >= 360 THEN predicted_action WHEN latency_ms >= 300 THEN 'REVIEW' END AS action_label, CASE WHEN latency_ms >= 240 AND latency_ms < 360 THEN 2 ELSE 1 END AS attempt_count, count(*) AS n FROM dec GROUP BY ALL""")
 def response_labelling(spark, root):
     """Rows that fail are asked again; the second answer repairs one kind of failure."""
