@@ -43,3 +43,15 @@ def test_clean_tables_stay_and_a_lone_credential_goes(spark):
     assert {r.doc_id: r.text for r in secrets.redact(docs).collect()} == dict(clean)
     lone = spark.createDataFrame([(100, "river password=0a1b2c3d4e5f607182 stone")], "doc_id long, text string")
     assert secrets.redact(lone).first().text == "river password=[SECRET] stone"
+
+
+def test_words_after_an_assigned_value_are_no_candidates(spark):
+    docs = spark.createDataFrame([(1, "password=x9f3a7c1 Boston Keller"), (2, "token = 'abcd' Boston Keller"), (3, "Authorization: Bearer qwertyuiop Boston"),
+                                  (4, "password: opensesame Boston Keller"), (5, "the password : opensesame Boston")], "doc_id long, text string")
+    found = {(r.doc_id, r.value) for r in secrets.candidates(docs, ["doc_id"]).collect()}
+    assert found == {(1, "x9f3a7c1"), (2, "abcd"), (3, "qwertyuiop"), (4, "opensesame"), (5, "opensesame")}
+
+
+def test_one_word_is_redacted_behind_its_name(spark):
+    docs = spark.createDataFrame([*told_apart(), (1000, "password=x9f3a7c15d Boston Keller")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in secrets.redact(docs, common=2).collect()}[1000] == "password=[SECRET] Boston Keller"

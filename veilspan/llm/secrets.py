@@ -28,6 +28,8 @@ from veilspan.llm.text import hash_sample
 # What names a credential (an author or a secretary does not), formats of issuers, and formats that are no credentials.
 NAMES = r"(?i)(pass(word|wd|phrase)?|pwd|secret(?!ar)|token|api_?-?key|access_?-?key|private_?-?key|credential|auth(?!ors?(?![a-z]))|bearer)"
 ASSIGNED = f"{NAMES}[^=:]*[=:]"
+OPEN = r"[=:]+[\"'`({\[]*$"  # an assignment that has no value yet
+SCHEMES = r"(?i)^(bearer|basic)$"
 ISSUED = r"^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|xox[abprs]-[0-9A-Za-z-]{10,}|[sr]k_live_[0-9A-Za-z]{16,}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_.-]+)$"
 HARMLESS = (
     r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$",  # e-mail address
@@ -60,11 +62,13 @@ def candidates(docs: DataFrame, keys: list[str], text: str = "text") -> DataFram
     """``keys`` with ``token, name, value, before, before2, after``: each word that could be a credential.
 
     These are words of eight characters or more with a digit, and whatever its length and characters the value of an
-    assignment to one of ``NAMES``, in the word itself or with the name in the one or two words before it.
+    assignment to one of ``NAMES``, in the word itself or, where the name's own word has no value yet, in the next one.
     """
     at = lambda i: F.coalesce(F.get(F.col("__w"), i), F.lit(""))
     marked = lambda w: w.contains("=") | w.contains(":")
-    given = lambda a, b: (marked(a) | marked(b)) & F.concat_ws(" ", a, b).rlike(ASSIGNED)
+    # The word before is a name and a sign without a value, a sign alone behind a name, or a scheme behind such a name.
+    given = lambda a, b: (marked(b) & (b.rlike(f"{NAMES}[^=:]*{OPEN}") | b.rlike(f"^{OPEN}") & a.rlike(NAMES))
+                          | marked(a) & a.rlike(f"{NAMES}[^=:]*{OPEN}") & b.rlike(SCHEMES))
     fits = lambda w, i: (F.length(w) >= 8) & w.rlike("[0-9]") | marked(w) & w.rlike(ASSIGNED) | given(at(i - 2), at(i - 1))
     pick = F.transform("__w", lambda w, i: F.when(fits(w, i), F.struct(w.alias("token"), at(i - 1).alias("before"), at(i - 2).alias("before2"), at(i + 1).alias("after"))))
     rows = docs.select(*keys, word_array(F.col(text)).alias("__w")).select(*keys, F.inline(F.filter(pick, lambda x: x.isNotNull())))
