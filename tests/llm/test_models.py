@@ -1,4 +1,5 @@
 import math
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -151,3 +152,49 @@ def test_attention_gradient_against_differences():
     before = attention.train(sequences, 4, half=8, dim=4, steps=1, rate=0.0)
     after = attention.train(sequences, 4, half=8, dim=4, steps=150, rate=0.02)
     assert after.log10_scores(sequences).sum() > before.log10_scores(sequences).sum() + 1
+
+
+def word_first(counts, text):
+    """Plain word-first backoff over ``counts[lang]``, a list of training words: mean log10 frequency, ties to the first language."""
+    names, longest = sorted(counts), 5
+    grams = {(l, n): [] for l in names for n in range(longest + 1)}
+    for l in names:
+        for w in counts[l]:
+            grams[l, 0].append(w)
+            for n in range(1, longest + 1):
+                grams[l, n] += [f" {w} "[i:i + n] for i in range(len(w) + 3 - n)]
+    floor = -np.log10(max(len(g) for g in grams.values())) - 1
+    value = lambda l, n, g: np.log10(grams[l, n].count(g) / len(grams[l, n])) if g in grams[l, n] else floor
+    known = lambda n, g: any(g in grams[l, n] for l in names)
+
+    def scores(w):
+        if known(0, w):
+            return [value(l, 0, w) for l in names]
+        for n in range(longest, 0, -1):
+            found = [g for g in (f" {w} "[i:i + n] for i in range(len(w) + 3 - n)) if known(n, g)]
+            if found:
+                return [np.mean([value(l, n, g) for g in found]) for l in names]
+        return [floor] * len(names)
+
+    words = ["".join(c) for is_letter, c in itertools.groupby(text.lower(), str.isalpha) if is_letter]
+    if not words:
+        return "und", 0.0
+    means = np.mean([scores(w) for w in words], axis=0)
+    odds = 10.0 ** np.clip((means - means.max()) * min(len(words), 20), -30, 0)
+    return names[int(means.argmax())], 1 / odds.sum()
+
+
+def test_languages_equal_plain_word_first_backoff(spark):
+    rng = random.Random(8)
+    alphabet = {"aa": "abcde ", "bb": "bcdef ", "cc": "defgé "}
+    made = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(5, 60)))
+    taught = [(k, made(alphabet[l]), l) for k in range(60) for l in alphabet]
+    asked = [made("abcdefgéx ½²Ⅷ7_") for _ in range(80)] + ["½", "²", "Ⅷ", "7 _ -", "", "½a²b", "一", "A½B"]
+    rows = [(i, t, l) for i, (_, t, l) in enumerate(taught)] + [(1000 + i, t, None) for i, t in enumerate(asked)] + [(2000, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs).collect()}
+    words = {l: [w for _, t, name in taught if name == l for w in t.split()] for l in alphabet}
+    for i, t in enumerate(asked):
+        lang, score = word_first(words, t)
+        assert found[1000 + i][0] == lang and abs(found[1000 + i][1] - score) < 1e-9, t
+    assert [found[1000 + len(asked) - 8 + k][0] for k in range(5)] == ["und"] * 5 and found[2000] == ("und", 0.0)

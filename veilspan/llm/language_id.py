@@ -11,6 +11,7 @@ size is bounded by parameters and not by the input.
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 from veilspan.llm.storage import written
 from veilspan.llm.text import hash_sample, raw
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Characters that ``\\w`` takes though they are no letters, such as fractions and Roman numerals.
+NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
+LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]+")
 CACHE = 200_000
 UNKNOWN = "und"
 
@@ -144,7 +147,7 @@ def identify(docs: DataFrame, learn_from: Column | None = None, doc_id: str = "d
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1: the share of the best language among the odds).
 
     Learns from rows with a language (and ``learn_from``).  ``und`` with score 0 where the text is null or has
-    no letter, or nothing was learned.  Every row is kept, whatever its id; ties go to the first language
+    no letter (numbers that are no letters do not count), or nothing was learned.  Every row is kept, whatever its id; ties go to the first language
     in order; an empty table stays empty.  Columns named ``lang_pred`` or ``score`` are replaced.
     """
     model = fit(docs if learn_from is None else docs.filter(learn_from), doc_id, text, lang, **bounds)
