@@ -145,33 +145,50 @@ def test_bounded_greedy_equals_the_full_walk(spark):
                 assert [r.id for r in sorted((r for r in got if r.subject == sub), key=lambda r: r.pick)] == want, (version, cap)
 
 
+def plain_allocate(total, weights):
+    out = {s: total * w // sum(weights.values()) for s, w in weights.items()}
+    for s in sorted(weights, key=lambda s: (-weights[s], s))[:total - sum(out.values())]:
+        out[s] += 1
+    return out
+
+
 def plain_stratified(rows, targets, seed, rare):
-    bits = lambda r: sum(1 << i for i, k in enumerate(rare) if k in r["types"])
-    order = sorted(rows, key=lambda r: (-bits(r).bit_count(), bits(r), -r["has_positive"], key(r["dialogue_id"], seed)))
-    places = sorted(((2 * k + 1) / (2 * n), s) for s, n in targets.items() for k in range(n))
-    return {r["dialogue_id"]: s for r, (_, s) in zip(order, places)}
+    """One dialogue after the other, every choice by what the splits hold then."""
+    kinds = lambda r: [k for k in rare if k in (r["types"] or [])]
+    order = sorted(rows, key=lambda r: (-len(kinds(r)), -bool(r["has_positive"]), key(r["dialogue_id"], seed)))
+    goals = {k: plain_allocate(sum(k in kinds(r) for r in rows), targets) for k in rare}
+    wanted = plain_allocate(sum(bool(r["has_positive"]) for r in rows), targets)
+    held, positive, types, out = Counter(), Counter(), Counter(), {}
+    for r in order:
+        def score(s):
+            lacks = sum(max(goals[k][s] - types[s, k], 0) for k in kinds(r))
+            return held[s] / targets[s], -lacks, -max(wanted[s] - positive[s], 0) if r["has_positive"] else 0, held[s], s
+
+        best = min((s for s in targets if held[s] < targets[s]), key=score)
+        out[r["dialogue_id"]] = best
+        held[best] += 1
+        positive[best] += bool(r["has_positive"])
+        types.update((best, k) for k in kinds(r))
+    return out
 
 
-def test_stratified_split(spark):
-    rng = random.Random(9)
-    rare = ("A", "B", "C")
-    for n, targets in ((60, {"train": 40, "dev": 10, "test": 10}), (147, {"train": 89, "dev": 29, "test": 29})):
+@pytest.mark.parametrize("chunk", [4, 1 << 16])
+def test_stratified_split_equals_a_sequential_walk(spark, monkeypatch, chunk):
+    """Chunks of four dialogues make blocks reach over their ends."""
+    monkeypatch.setattr(N, "FOLD_CHUNK", chunk)
+    rng, rare = random.Random(chunk), ("A", "B", "C")
+    sizes = [(60, {"train": 40, "dev": 10, "test": 10}, 0.5), (147, {"train": 89, "dev": 29, "test": 29}, 0.9), (400, {"train": 200, "dev": 100, "test": 100}, 0.6),
+             (33, {"a": 11, "b": 11, "c": 11}, 0.7), (10, {"train": 10, "dev": 0}, 1.0), (20, {"train": 15, "dev": 5}, 0.0), (1, {"train": 1, "dev": 0, "test": 0}, 1.0)]
+    for n, targets, share in sizes:
         rows = []
         for i in range(n):
-            types = rng.sample(["A", "B", "C", "NAME"], rng.randint(0, 2)) if rng.random() < 0.5 else []
-            rows.append(dict(dialogue_id=f"d{i}", types=types, has_positive=bool(types)))
+            types = rng.sample(["A", "B", "C", "NAME"], rng.randint(0, 3)) if rng.random() < share else rng.choice([[], None])
+            rows.append(dict(dialogue_id=f"d{i}", types=types, has_positive=rng.choice([True, bool(types)]) if share else rng.choice([False, None])))
         df = spark.createDataFrame(rows, "dialogue_id string, types array<string>, has_positive boolean")
         got = {r[0]: r[1] for r in N.stratified_split(df, targets, 17, rare).collect()}
-        assert got == plain_stratified(rows, targets, 17, rare)
-        assert Counter(got.values()) == Counter(targets)
-        cells = {}
-        for r in rows:
-            cells.setdefault((tuple(k in r["types"] for k in rare), r["has_positive"]), Counter())[got[r["dialogue_id"]]] += 1
-        for cell in cells.values():
-            for s, size in targets.items():
-                assert abs(cell[s] - sum(cell.values()) * size / n) < 2
+        assert got == plain_stratified(rows, targets, 17, rare), (n, targets)
         with pytest.raises(ValueError):
-            N.stratified_split(df, {"train": n - 1}, 17, rare)
+            N.stratified_split(df, {"train": n + 1}, 17, rare)
 
 
 def test_balanced_split_refuses_a_shortfall(spark):

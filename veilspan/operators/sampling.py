@@ -8,9 +8,11 @@ shuffle; only bounded candidate lists reach the one step that is truly sequentia
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -349,29 +351,130 @@ def span_pool(candidates: DataFrame, legacy: DataFrame | None = None, pred_per_r
 
 
 # --- stratified and balanced splits ------------------------------------------------------------------
+def allocate(total: int, weights: Mapping[str, int]) -> dict[str, int]:
+    """``total`` shared out by weight: floors, then one each to the largest weights (ties by name)."""
+    whole = sum(weights.values())
+    if whole <= 0:
+        raise ValueError("weights must add up to more than nothing")
+    out = {s: total * w // whole for s, w in weights.items()}
+    order = sorted(weights, key=lambda s: (-weights[s], s))
+    for i in range(total - sum(out.values())):
+        out[order[i % len(order)]] += 1
+    return out
+
+
+FOLD_CHUNK = 1 << 16  # dialogues whose codes travel in one row
+
+
+def _deal(state: list[np.ndarray], goals: list[np.ndarray], codes: list[int], splits: list[int], counts: list[int]) -> list[int]:
+    """Splits of the dialogues of one block, in order, by the largest deficits of the splits still open in it.
+
+    ``codes`` are rare types as bits above the bit for positive; ``state`` and ``goals`` hold, for positives and then for each
+    rare type, a number per split.  ``state`` is brought forward.
+    """
+    left, out = list(range(len(splits))), []
+    for code in codes:
+        kinds = [i + 1 for i in range(len(goals) - 1) if code >> (i + 1) & 1]
+        gap = lambda kind, s: max(int(goals[kind][s] - state[kind][s]), 0)
+        best = min(left, key=lambda j: (-sum(gap(kind, splits[j]) for kind in kinds), -gap(0, splits[j]) if code & 1 else 0, counts[j], splits[j]))
+        left.remove(best)
+        out.append(splits[best])
+        for kind in ([0] if code & 1 else []) + kinds:
+            state[kind][splits[best]] += 1
+    return out
+
+
+def _fold(goals: list[np.ndarray]):
+    """Walks the chunks ``(chunk, items)`` in order; an item packs a dialogue's code, its place's split and count, and whether a block opens.
+
+    What passes from block to block is a count per split and type.  Chunks are read one after the other, so this is the one
+    sequential part; a block is at most one dialogue per split and may reach over the end of a chunk.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = [np.zeros(len(g), np.int64) for g in goals]
+        block: list[tuple[int, int, int]] = []
+        done: list[int] = []
+        due: list[tuple[int, int]] = []  # chunks not yet given out, with their sizes
+
+        def close():
+            if block:
+                codes, splits, counts = (list(x) for x in zip(*block))
+                done.extend(_deal(state, goals, codes, splits, counts))
+                block.clear()
+
+        def ready():
+            while due and len(done) >= due[0][1]:
+                chunk, size = due.pop(0)
+                out = pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([done[:size]], pa.list_(pa.int32()))], ["chunk", "splits"])
+                del done[:size]
+                yield out
+
+        for batch in batches:
+            for chunk, items in zip(batch.column(0).to_pylist(), batch.column(1)):
+                due.append((chunk, len(items.values)))
+                for item in items.values.to_pylist():
+                    if item["opens"]:
+                        close()
+                    block.append((item["code"], item["split"], item["count"]))
+                yield from ready()
+        close()
+        yield from ready()
+
+    return run
+
+
 def stratified_split(dialogues: DataFrame, targets: Mapping[str, int], seed: int, rare: Sequence[str] = RARE_TYPES) -> DataFrame:
     """``dialogue_id, split``; ``dialogues``: dialogue_id, types array<string>, has_positive.
 
-    Dialogues are ranked by cell (number and set of rare types, positive or not) and then by hash.  Each
-    split's places are spread evenly over the ranks, so every split has exactly its target and every
-    cell, a run of ranks, is dealt in proportion; what a cell leaves over is carried into the next.
-    Targets that do not add up to the number of dialogues are an error.
+    Dialogues come in the order of their number of rare types, positive first, then by hash.  Each goes to the split with
+    the least fill that is still open; of equally full ones to the one that lacks most of the dialogue's rare types, then to the one
+    that lacks most positives, then to the one of fewer dialogues, then by name.
+
+    How full the splits are does not depend on what they hold, so the places can be laid out beforehand: places of equal fill form
+    a block of one dialogue for each of its splits, and deficits only decide who goes where inside it.  Dialogues without rare types and
+    positives take the places as they lie.  The others are a prefix of the order; a fold with a
+    count per split and type walks their blocks, a chunk of packed codes at a time.  Targets that do not add up to the number of
+    dialogues are an error.
     """
-    bits = sum(F.when(F.array_contains("types", t), F.lit(1 << i)).otherwise(0) for i, t in enumerate(rare))
-    held = dialogues.select("dialogue_id", bits.cast("long").alias("rare"), F.col("has_positive").cast("int").alias("pos"),
-                            stable_hash(F.col("dialogue_id"), seed).alias("h"))
-    held = cut_lineage(held.withColumn("width", F.bit_count("rare")))  # narrow rows, read several times below
-    n, whole = held.count(), sum(targets.values())
-    if n != whole:
-        raise ValueError(f"targets add up to {whole}, dialogues are {n}")
-    lead = F.concat(F.lpad((99 - F.col("width")).cast("string"), 2, "0"), F.lpad("rare", 20, "0"), (1 - F.col("pos")).cast("string"), hash_block(F.col("h")))
-    order = ranked(held, [], [F.desc("width"), F.col("rare"), F.desc("pos"), F.col("h"), F.col("dialogue_id")], lead, "slot")
+    names = sorted(targets)
+    code = F.coalesce(F.col("has_positive"), F.lit(False)).cast("long")
+    for i, kind in enumerate(rare):
+        code = code + F.when(F.array_contains("types", kind), F.lit(2 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+    held = dialogues.select("dialogue_id", code.alias("code"), stable_hash(F.col("dialogue_id"), seed).alias("h"))
+    held = held.withColumn("pos", F.col("code").bitwiseAND(1)).withColumn("width", F.bit_count("code") - F.col("pos"))
+    held = cut_lineage(held)  # narrow rows, read several times below
+    with_type = [F.count_if(F.col("code").bitwiseAND(1 << i) > 0).alias(f"t{i}") for i in range(len(rare) + 1)]
+    totals = held.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("code") > 0).alias("open"), *with_type).first()
+    if totals.n != sum(targets.values()):
+        raise ValueError(f"targets add up to {sum(targets.values())}, dialogues are {totals.n}")
+    lead = F.concat(F.lpad((99 - F.col("width")).cast("string"), 2, "0"), (1 - F.col("pos")).cast("string"), hash_block(F.col("h")))
+    order = ranked(held, [], [F.desc("width"), F.desc("pos"), F.col("h"), F.col("dialogue_id")], lead, "slot").select("slot", "dialogue_id", "code")
     places = None
-    for name, size in targets.items():
-        part = dialogues.sparkSession.range(size).select(((2 * F.col("id") + 1) / (2 * size)).alias("fill"), F.lit(name).alias("split"))
+    for at, name in enumerate(names):
+        part = dialogues.sparkSession.range(targets[name]).select(
+            (F.col("id") / targets[name]).alias("fill"), F.col("id").alias("count"), F.lit(at).alias("split"))
         places = part if places is None else places.unionByName(part)
-    slots = ranked(places, [], [F.col("fill"), F.col("split")], F.floor(F.col("fill") * 4096), "slot")
-    return order.join(slots, "slot").select("dialogue_id", "split")
+    slots = ranked(places, [], [F.col("fill"), F.col("count"), F.col("split")], F.floor(F.col("fill") * 4096), "slot")
+    named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("split") + 1).alias("split")
+    met = order.join(slots, "slot")
+    if not totals.open:
+        return met.select("dialogue_id", named)
+    met = cut_lineage(met)
+    # Blocks up to the last one that holds a dialogue with a code; the rest stays as it lies.
+    last = met.filter(F.col("slot") <= totals.open).agg(F.max("fill")).first()[0]
+    goals = [allocate(totals[f"t{i}"], targets) for i in range(len(rare) + 1)]
+    ordered = [np.array([g[n] for n in names], np.int64) for g in goals]
+    ahead = met.filter(F.col("fill") <= last)
+    chunk = F.floor((F.col("slot") - 1) / FOLD_CHUNK)
+    first = F.min("slot").over(Window.partitionBy("fill"))
+    item = F.struct("slot", "code", "split", "count", (F.col("slot") == F.col("first")).alias("opens"))
+    chunks = ahead.withColumn("first", first).groupBy(chunk.alias("chunk")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    dealt = cut_lineage(chunks.repartition(1).sortWithinPartitions("chunk").mapInArrow(_fold(ordered), "chunk long, splits array<int>"))
+    found = dealt.select("chunk", F.posexplode("splits").alias("at", "split")).select(
+        (F.col("chunk") * FOLD_CHUNK + F.col("at") + 1).alias("slot"), "split")
+    head = ahead.select("slot", "dialogue_id").join(found, "slot").select("dialogue_id", "split")
+    return head.unionByName(met.filter(F.col("fill") > last).select("dialogue_id", "split")).select("dialogue_id", named)
 
 
 def balanced_split(rows: DataFrame, counts_by_split: Mapping[str, int], seed: int, key: str = "id") -> DataFrame:

@@ -206,16 +206,30 @@ def span_pool(spark, root):
     return N.span_pool(cand, legacy).groupBy("pool_source", "suggested_action").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("sum_start"))
 
 
-_N15 = f"""{_ITEMS}, d AS (SELECT dialogue_id, coalesce(w, 0) AS w, coalesce(b, 0) AS b, p IS NOT NULL AS p FROM (SELECT DISTINCT dialogue_id FROM tagged) LEFT JOIN
+def _n15_sql():
+    """The walk as a recursive query, one dialogue a step; lists hold a number for dev, test and train."""
+    def place(i):
+        gap = lambda k: f"greatest(goal.g[{k + 1}][{i}] - st.s[{k + 1}][{i}], 0)"
+        rare = " + ".join(f"CASE WHEN rk.b & {1 << k} > 0 THEN {gap(k + 1)} ELSE 0 END" for k in range(3))
+        return f"{{'f': st.c[{i}] / CAST(tg.t[{i}] AS DOUBLE), 'r': -({rare}), 'p': CASE WHEN rk.p THEN -{gap(0)} ELSE 0 END, 'c': st.c[{i}], 'i': {i}, 'o': st.c[{i}] < tg.t[{i}]}}"
+
+    add = lambda old, cond: f"[{', '.join(f'{old}[{i}] + CAST(x = {i} AND {cond} AS INT)' for i in (1, 2, 3))}]"
+    states = ", ".join([add("s[1]", "p"), *[add(f"s[{k + 2}]", f"b & {1 << k} > 0") for k in range(3)]])
+    return f"""{_ITEMS.replace('WITH', 'WITH RECURSIVE', 1)}, d AS (SELECT dialogue_id, coalesce(w, 0) AS w, coalesce(b, 0) AS b, p IS NOT NULL AS p FROM (SELECT DISTINCT dialogue_id FROM tagged) LEFT JOIN
   (SELECT session_id AS dialogue_id, count(DISTINCT r) AS w, CAST(sum(DISTINCT r) AS BIGINT) AS b, 1 AS p FROM (SELECT session_id, CASE entity_type WHEN 'PHONE_NUMBER' THEN 1 WHEN 'PERSON' THEN 2 WHEN 'NRP' THEN 4 END AS r FROM it) GROUP BY ALL) USING (dialogue_id)),
-rk AS (SELECT dialogue_id, row_number() OVER (ORDER BY w DESC, b, p DESC, sha1('17:' || dialogue_id), dialogue_id) AS slot FROM d),
+rk AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY w DESC, p DESC, sha1('17:' || dialogue_id), dialogue_id) AS slot FROM d),
 tot AS (SELECT count(*) AS n, CAST(floor(count(*) * 7e-1) AS BIGINT) AS a, CAST(floor(count(*) * 15e-2) AS BIGINT) AS b FROM d),
-t AS (SELECT 'train' AS split, a AS size FROM tot UNION ALL SELECT 'dev', b FROM tot UNION ALL SELECT 'test', n - a - b FROM tot),
-so AS (SELECT split, row_number() OVER (ORDER BY (2 * k + 1) / CAST(2 * size AS DOUBLE), split) AS slot FROM (SELECT split, size, unnest(range(size)) AS k FROM t))
-SELECT dialogue_id, split FROM rk JOIN so USING (slot)"""
+tg AS MATERIALIZED (SELECT [b, n - a - b, a] AS t, n FROM tot),
+kt AS (SELECT 0 AS k, count(*) FILTER (p) AS m FROM d UNION ALL SELECT 1, count(*) FILTER (b & 1 > 0) FROM d UNION ALL SELECT 2, count(*) FILTER (b & 2 > 0) FROM d UNION ALL SELECT 3, count(*) FILTER (b & 4 > 0) FROM d),
+al AS (SELECT k, i, m * t[i] // n AS g, row_number() OVER (PARTITION BY k ORDER BY t[i] DESC, i) AS o, m - sum(m * t[i] // n) OVER (PARTITION BY k) AS rest FROM kt, tg, (VALUES (1), (2), (3)) v(i)),
+goal AS MATERIALIZED (SELECT list(g ORDER BY k) AS g FROM (SELECT k, list(g + CASE WHEN o <= rest THEN 1 ELSE 0 END ORDER BY i) AS g FROM al GROUP BY k)),
+st(slot, c, s, x, dialogue_id) AS (SELECT CAST(0 AS BIGINT), [0, 0, 0], [[0, 0, 0], [0, 0, 0], [0, 0, 0], [0, 0, 0]], 0, ''
+  UNION ALL SELECT slot, {add("c", "true")}, [{states}], x, dialogue_id FROM (SELECT rk.slot, rk.dialogue_id, rk.p, rk.b, st.c, st.s,
+    list_sort(list_filter([{place(1)}, {place(2)}, {place(3)}], lambda z: z.o))[1].i AS x FROM st JOIN rk ON rk.slot = st.slot + 1, goal, tg))
+SELECT dialogue_id, ['dev', 'test', 'train'][x] AS split FROM st WHERE slot > 0"""
 
 
-@query("n15_stratified_split", _N15)
+@query("n15_stratified_split", _n15_sql())
 def stratified_split(spark, root):
     """Dialogues are conversations; tag kinds play types."""
     spans = F.explode_outer(S.tag_spans("text"))
