@@ -308,9 +308,16 @@ def redaction_types(spark, root):
     return I.load(spark, root, "orders").select(kind.alias("kind")).groupBy("kind", X.redaction_type(F.col("kind")).alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("x1_overlapping_spans", f"WITH {I.TURNS_SQL} SELECT dialogue_id AS session_id, turn_index FROM turns WHERE false")
+PAIRS = r"\p{L}+ \p{L}+"
+
+
+@query("x1_overlapping_spans", f"""{_RED}, {I._matches('rx', PAIRS, 'keyed', 'k')} SELECT dialogue_id AS session_id, turn_index FROM keyed WHERE k IN (
+  SELECT a.id FROM rd_chars a JOIN rx_chars b ON a.id = b.id AND a.s < b.e AND b.s < a.e)""")
 def overlapping_spans(spark, root):
-    return X.overlapping_spans(redactable(spark, root)).select("session_id", "turn_index")
+    """Names beside pairs of words: the turns where a name is part of a pair."""
+    pairs = f"transform({T.regex_spans_sql('text', PAIRS)}, h -> named_struct('start', h.start, 'end', h.`end`, 'text', h.text, 'entity_type', 'PAIR'))"
+    both = redactable(spark, root).withColumn("spans", F.expr(f"concat(spans, {pairs})"))
+    return X.overlapping_spans(both).select("session_id", "turn_index")
 
 
 def _tagged_sessions(spark, root):

@@ -55,8 +55,12 @@ def worst_context_recall(spark, root):
 
 
 # Seeds are the gold spans; the action comes from the span's own look.
-def _hits(spark, root):
+def _hits(spark, root, blind=False):
+    """``blind``: the detector proposes nothing in documents of even number."""
     df = I.candidates(spark, root).select("id", "subject", "speaker_role", "tokens", "gold_labels", "pred_labels")
+    if blind:
+        none = F.transform("pred_labels", lambda x: F.lit("O"))
+        df = df.withColumn("pred_labels", F.when(F.col("id").cast("long") % 2 == 0, none).otherwise(F.col("pred_labels")))
     texts = (f"transform({L.spans_lenient_sql('gold_labels')}, s -> named_struct('start', s.start, 'end', s.`end`, "
              f"'span_text', {L.span_text_sql('tokens', 's')}))")
     seeds = ("transform(plain, s -> named_struct('start', s.start, 'end', s.`end`, 'span_text', s.span_text, "
@@ -112,14 +116,14 @@ def rare_type_mean_recall(spark, root):
 
 
 @query("a11_miss_buckets", I.candidates_sql("").rstrip() + _SEEDS + """,
-m AS (SELECT * FROM seed WHERE is_redact AND NOT hit AND NOT direct)
+m AS (SELECT * FROM seed WHERE is_redact AND NOT (hit AND CAST(id AS BIGINT) % 2 = 1) AND NOT direct)
 SELECT slice, value, count(*) AS n FROM (
   SELECT 'entity_type' AS slice, entity_type AS value FROM m UNION ALL SELECT 'speaker_role', speaker_role FROM m
   UNION ALL SELECT 'subject', subject FROM m UNION ALL
   SELECT 'span_length', CASE WHEN e - s <= 1 THEN '1' WHEN e - s = 2 THEN '2' WHEN e - s <= 4 THEN '3-4' ELSE '5+' END FROM m)
 GROUP BY slice, value""")
 def miss_buckets(spark, root):
-    return A.miss_buckets(_hits(spark, root), F.col("subject"), F.col("speaker_role"))
+    return A.miss_buckets(_hits(spark, root, blind=True), F.col("subject"), F.col("speaker_role"))
 
 
 _ERR = """,
