@@ -3,7 +3,7 @@
 import regex
 from pyspark.sql import functions as F
 
-from ..constants import SURROGATE_FORMATS
+from ..constants import CHALLENGE_MINIMUMS, SURROGATE_FORMATS
 from ..functions import rules as R
 from ..functions import tokens as T
 from ..operators import cascade as K
@@ -124,10 +124,21 @@ def private_prior_v1(spark, root):
     return N.score_items(items(spark, root), 1).select("id", F.col("private_prior").cast("long").alias("private_prior"))
 
 
-@query("r11_private_prior_v2")
+# A tag is its own span text, so what stands around a quoted span can be said without looking around.
+_W = r"[\p{L}\p{N}_]"
+_SCORED = f"""{_ITEMS}, cu AS (SELECT *, concat_ws(' ', turn_text, context_text, turn_text) AS txt, subject = 'english' AND entity_type = 'PERSON' AS pe FROM it),
+cv AS (SELECT *, regexp_matches(txt, '(?i)\\b(hi|hello|hey)\\s+<PERSON>{_W}') AS g, regexp_matches(txt, '(?i)\\b(my name is|i am|i''m|im)\\s+<PERSON>{_W}') AS sf,
+  regexp_matches(turn_text, ',\\s*<PERSON>{_W}') OR regexp_matches(turn_text, '{_W}<PERSON>\\s*[,!?:]') AS ad,
+  CASE WHEN entity_type IN ('SCHOOL', 'LOCATION') AND regexp_matches(txt, '(?i)\\b(my school|i go to|i live in|i''m from|im from|i am from)\\b') THEN 2 ELSE 0 END
+  + CASE WHEN regexp_matches(txt, '(?i)\\b(text|email|call)\\b') THEN 1 ELSE 0 END + CASE WHEN entity_type = 'PHONE_NUMBER' THEN 1 ELSE 0 END AS cue FROM cu),
+cw AS (SELECT *, CASE WHEN pe AND (g OR sf OR ad) THEN CASE WHEN g THEN 5 ELSE 0 END + CASE WHEN sf THEN 5 ELSE 0 END + CASE WHEN ad THEN 2 ELSE 0 END + CASE WHEN turn_index < 5 THEN 1 ELSE 0 END ELSE 0 END AS person_private FROM cv),
+sc AS MATERIALIZED (SELECT *, CAST(person_private + cue AS BIGINT) AS private_prior, {_CHAL} AS challenge, sha1('17:' || id) AS h FROM cw)"""
+
+
+@query("r11_private_prior_v2", f"{_SCORED} SELECT id, private_prior, CAST(person_private AS BIGINT) AS person_private FROM sc")
 def private_prior_v2(spark, root):
-    """Word boundaries around a quoted span need look-around, which the SQL engine lacks; tests check it."""
-    return N.score_items(items(spark, root)).select("id", "private_prior", "person_private")
+    return N.score_items(items(spark, root)).select("id", F.col("private_prior").cast("long").alias("private_prior"),
+                                                    F.col("person_private").cast("long").alias("person_private"))
 
 
 @query("r12_curricular_bonus", f"{_ITEMS} SELECT id, 0 AS bonus FROM it")
@@ -169,27 +180,85 @@ def _selected(spark, root, kind, version):
     return N.select_challenge(scored, 60, 2, 17, version=version)
 
 
-@query("n9_natural_selection_pilot")
+_FREE = "NOT list_contains(st.used, q.id) AND len(list_filter(st.sess, lambda x: x = q.session_id)) < 2"
+
+
+def _challenge_sql(minimums):
+    """One pick a step: the first free row of the first phase whose quota is open (1-3 minimums, 8 hardest first, 9 by hash)."""
+    quota = {s: [*q.values(), 0, 0, 0][:3] for s, q in minimums.items()}
+    phases = [f"SELECT *, {i + 1} AS ph FROM ho WHERE subject = '{s}' AND entity_type = '{k}'" for s, q in minimums.items() for i, k in enumerate(q)]
+    grow = ", ".join(f"got[{i}] + CAST(ph = {i} AS INT)" for i in (1, 2, 3))
+    quotas = "CASE subject " + " ".join(f"WHEN '{s}' THEN {q}" for s, q in quota.items()) + " ELSE [0, 0, 0] END" if quota else "[0, 0, 0]"
+    return f"""{_SCORED.replace('WITH', 'WITH RECURSIVE', 1)},
+ho AS MATERIALIZED (SELECT subject, id, session_id, entity_type, row_number() OVER (PARTITION BY subject ORDER BY challenge DESC, CASE WHEN entity_type IN ('PERSON', 'LOCATION', 'NRP') THEN 0 ELSE 1 END, h, id) AS rk,
+  row_number() OVER (PARTITION BY subject ORDER BY h, id) AS hk FROM sc WHERE entity_type IN ('PERSON', 'LOCATION', 'NRP', 'SCHOOL', 'COURSE')),
+q AS MATERIALIZED (SELECT subject, id, session_id, ph, rk FROM ({' UNION ALL '.join([*phases, 'SELECT *, 8 AS ph FROM ho'])}) UNION ALL SELECT subject, id, session_id, 9, hk FROM ho),
+st(subject, n, got, used, sess, id, qu) AS (SELECT DISTINCT subject, 0, [0, 0, 0], CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), '', {quotas} FROM ho
+  UNION ALL SELECT subject, n + 1, [{grow}], list_append(used, pid), list_append(sess, ps), pid, qu FROM (
+    SELECT st.subject, st.n, st.got, st.used, st.sess, st.qu, q.id AS pid, q.session_id AS ps, q.ph, row_number() OVER (PARTITION BY st.subject ORDER BY q.ph, q.rk) AS r
+    FROM st JOIN q ON q.subject = st.subject WHERE st.n < 60 AND {_FREE} AND (q.ph > 3 OR st.got[q.ph] < st.qu[q.ph])
+      AND (q.ph <> 8 OR (st.got[1] >= st.qu[1] AND st.got[2] >= st.qu[2] AND st.got[3] >= st.qu[3]))) WHERE r = 1)
+SELECT subject, id, CAST(n AS BIGINT) AS pick FROM st WHERE n > 0"""
+
+
+def _natural_sql(version):
+    """First the reserves, then rounds by type with the fill behind them, each a pick a step."""
+    above = {"pilot": None, "v1": 1, "v2": 0}[version]
+    prior = "CAST(CASE WHEN txt_cue THEN 1 ELSE 0 END + CASE WHEN entity_type = 'PHONE_NUMBER' THEN 1 ELSE 0 END AS BIGINT)" if version == "v1" else "private_prior"
+    phases = []
+    if version == "v2":
+        phases.append("SELECT subject, id, session_id, 1 AS ph, row_number() OVER (PARTITION BY subject ORDER BY person_private DESC, h, id) AS rk FROM ba WHERE subject = 'english' AND person_private > 0")
+    if above is not None:
+        phases.append(f"SELECT subject, id, session_id, 2 AS ph, row_number() OVER (PARTITION BY subject ORDER BY prior DESC, h, id) AS rk FROM ba WHERE prior > {above}")
+        phases.append("SELECT subject, id, session_id, 3 AS ph, row_number() OVER (PARTITION BY subject ORDER BY h, id) AS rk FROM ba WHERE entity_type = 'PHONE_NUMBER'")
+    reserve = " UNION ALL ".join(phases) or "SELECT subject, id, session_id, 1 AS ph, 0 AS rk FROM ba WHERE false"
+    control = "kind = 'PHONE_NUMBER'" if version == "pilot" else "false"
+    step = lambda old, v: f"list_transform({old}, lambda x, i: CASE WHEN i = j THEN {v} ELSE x END)"
+    return f"""{_SCORED.replace('WITH', 'WITH RECURSIVE', 1)}, ba AS MATERIALIZED (SELECT *, {prior} AS prior FROM (SELECT *, {_CUE} AS txt_cue FROM sc)),
+q AS MATERIALIZED ({reserve}),
+st(subject, n, g, used, sess, id) AS (SELECT DISTINCT subject, 0, 0, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), '' FROM ba
+  UNION ALL SELECT subject, n + 1, g + CAST(ph = 1 AS INT), list_append(used, pid), list_append(sess, ps), pid FROM (
+    SELECT st.subject, st.n, st.g, st.used, st.sess, q.id AS pid, q.session_id AS ps, q.ph, row_number() OVER (PARTITION BY st.subject ORDER BY q.ph, q.rk) AS r
+    FROM st JOIN q ON q.subject = st.subject WHERE {_FREE} AND CASE WHEN q.ph = 1 THEN st.g < 4 ELSE st.n < 10 END) WHERE r = 1),
+fin AS MATERIALIZED (SELECT subject, n, used, sess FROM st QUALIFY row_number() OVER (PARTITION BY subject ORDER BY n DESC) = 1),
+sup AS (SELECT ba.subject, entity_type AS kind, count(*) FILTER (NOT list_contains(used, ba.id)) AS s, any_value(60 - n) AS free FROM ba JOIN fin ON fin.subject = ba.subject GROUP BY ba.subject, entity_type),
+sup2 AS (SELECT *, {control} AS one FROM sup WHERE s > 0),
+shr AS (SELECT subject, kind, s, (CAST(s AS DOUBLE) / sum(s) OVER w) * left_ AS raw, left_ FROM (SELECT *, free - count(*) FILTER (one) OVER (PARTITION BY subject) AS left_ FROM sup2) WHERE NOT one WINDOW w AS (PARTITION BY subject)),
+tgt AS (SELECT subject, kind, s, CAST(floor(raw) AS BIGINT) + CASE WHEN row_number() OVER (PARTITION BY subject ORDER BY floor(raw) - raw, kind) <= left_ - sum(CAST(floor(raw) AS BIGINT)) OVER (PARTITION BY subject) THEN 1 ELSE 0 END AS t FROM shr
+  UNION ALL SELECT subject, kind, s, 1 FROM sup2 WHERE one),
+tl AS MATERIALIZED (SELECT subject, list(kind ORDER BY kind) AS kl, list(t ORDER BY kind) AS tt, list(s ORDER BY kind) AS ss, list(CAST(0 AS BIGINT) ORDER BY kind) AS zero FROM tgt GROUP BY subject),
+q2 AS MATERIALIZED (SELECT ba.subject, ba.id, ba.session_id, list_position(kl, entity_type) AS j, row_number() OVER (PARTITION BY ba.subject ORDER BY h, ba.id) AS hk FROM ba JOIN tl ON tl.subject = ba.subject),
+s2(subject, n, used, sess, have, started, vis, id) AS (SELECT fin.subject, n, used, sess, zero, zero, zero, '' FROM fin JOIN tl ON tl.subject = fin.subject
+  UNION ALL SELECT subject, n + 1, list_append(used, pid), list_append(sess, ps), CASE WHEN grp < 2 THEN {step('have', 'x + 1')} ELSE have END, CASE WHEN grp = 1 THEN have ELSE started END,
+    CASE WHEN grp = 1 THEN {step('zero', '1')} WHEN grp = 0 THEN {step('vis', '1')} ELSE vis END, pid FROM (
+    SELECT *, row_number() OVER (PARTITION BY subject ORDER BY grp, CASE grp WHEN 0 THEN started[j] - tt[j] WHEN 1 THEN have[j] - tt[j] ELSE 0 END, CASE WHEN grp < 2 THEN -ss[j] ELSE 0 END, CASE WHEN grp < 2 THEN j ELSE 0 END, hk) AS r FROM (
+      SELECT st.subject, st.n, st.used, st.sess, st.have, st.started, st.vis, tl.tt, tl.ss, tl.zero, q.id AS pid, q.session_id AS ps, q.j, q.hk,
+        CASE WHEN q.j IS NULL OR st.have[q.j] >= tl.tt[q.j] THEN 2 ELSE st.vis[q.j] END AS grp
+      FROM s2 st JOIN tl ON tl.subject = st.subject JOIN q2 q ON q.subject = st.subject WHERE st.n < 60 AND {_FREE})) WHERE r = 1)
+SELECT subject, id, CAST(n AS BIGINT) AS pick FROM st WHERE id <> '' UNION ALL SELECT subject, id, CAST(n AS BIGINT) FROM s2 WHERE id <> ''"""
+
+
+@query("n9_natural_selection_pilot", _natural_sql("pilot"))
 def natural_selection_pilot(spark, root):
     return _selected(spark, root, "natural", "pilot")
 
 
-@query("n10_natural_selection_v1")
+@query("n10_natural_selection_v1", _natural_sql("v1"))
 def natural_selection_v1(spark, root):
     return _selected(spark, root, "natural", "v1")
 
 
-@query("n11_natural_selection_v2")
+@query("n11_natural_selection_v2", _natural_sql("v2"))
 def natural_selection_v2(spark, root):
     return _selected(spark, root, "natural", "v2")
 
 
-@query("n8_challenge_selection_v1")
+@query("n8_challenge_selection_v1", _challenge_sql({}))
 def challenge_selection_v1(spark, root):
     return _selected(spark, root, "challenge", "v1")
 
 
-@query("n8_challenge_selection_v2")
+@query("n8_challenge_selection_v2", _challenge_sql(CHALLENGE_MINIMUMS))
 def challenge_selection_v2(spark, root):
     return _selected(spark, root, "challenge", "v2")
 
