@@ -6,6 +6,7 @@ from ..operators import audit as A
 from ..operators import boards as B
 from ..operators import policy as Y
 from ..operators import research as Z
+from ..operators import search as W
 from ..sources import readers, sinks
 from ..session import cut_lineage, work_folder
 from ..streaming import live
@@ -188,6 +189,14 @@ def bm25_search(spark, root):
     return hits.select("query_id", "rank", "doc_id", F.round("score", 5).alias("score"))
 
 
+@query("l12_index_search", f"WITH {_bm25_sql()} SELECT query_id, rank, doc_id, round(score, 5) AS score FROM hits WHERE rank <= 10")
+def index_search(spark, root):
+    """The same hits from the block-max index; languages share blocks."""
+    docs = _corpus(spark, root).join(I.load(spark, root, "documents").select("doc_id", "lang"), "doc_id")
+    hits = W.search(W.build_index(docs, BOOSTS, cluster=F.col("lang")), _queries(spark, root)).hits
+    return hits.select("query_id", "rank", "doc_id", F.round("score", 5).alias("score"))
+
+
 def _judged(spark, root, scored):
     """Every labelled document that shares a term with the query, wherever it ranks."""
     lab = I.load(spark, root, "labels").select("doc_id", (1 + F.col("quality") - F.col("toxic")).alias("rel"))
