@@ -115,13 +115,14 @@ def test_pareto_front_keeps_equal_runs_however_they_are_dealt(spark):
         assert {r.label for r in Y.pareto_front(df.repartition(parts), "project", ["a", "b"], ["c"]).collect()} == set("0123")
 
 
-def test_stream_replays_do_not_change_the_winner(spark, tmp_path):
+def test_stream_replays_change_neither_winner_nor_count(spark, tmp_path):
     rows = [("events", a, r, f"2024-01-01 0{h}:10:00", float(m), "k") for a, r, h, m in ((1, 1, 0, 5), (1, 2, 1, 3), (2, 3, 1, 4), (1, 2, 1, 3), (2, 4, 5, 9))]
     df = spark.createDataFrame(rows, "project string, agent long, run_id long, ts string, metric double, kind string").withColumn("ts", F.to_timestamp("ts"))
     df.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    best = live.drain(live.best_per_peer(stream()), "complete", str(tmp_path / "a")).select("agent", "best.metric", "best.run_id").collect()
-    assert {tuple(r) for r in best} == {(1, 3.0, 2), (2, 4.0, 3)}
+    for name, within in (("a", None), ("b", "30 days")):
+        best = live.drain(live.best_per_peer(stream(), replayed_within=within), "complete", str(tmp_path / name))
+        assert {tuple(r) for r in best.select("agent", "best.metric", "best.run_id", "runs").collect()} == {(1, 3.0, 2, 2), (2, 4.0, 3, 2)}
 
 
 # --- registered queries against their SQL, small scale ------------------------------------------------

@@ -7,10 +7,11 @@ from ..operators import boards as B
 from ..operators import policy as Y
 from ..operators import research as Z
 from ..operators import search as W
-from ..sources import readers, sinks
+from ..sources import keyed_files, readers, sinks
 from ..session import cut_lineage, work_folder
 from ..streaming import live
 from . import inputs as I
+from . import transcripts as TX
 from .decisions import rounded
 from .registry import query
 
@@ -457,15 +458,43 @@ def jsonl_lines(spark, root):
                      F.count_distinct(F.get_json_object("value", "$.conv_id")).alias("conversations"))
 
 
-@query("s12_run_folders", "SELECT '20260102_030405_' || lang || suffix AS folder FROM (SELECT DISTINCT lang FROM documents), (VALUES (''), ('_2'), ('_3')) v(suffix)")
+@query("s12_run_folders", """SELECT event_id, b || CASE WHEN n > 1 THEN '_' || n ELSE '' END AS folder FROM (SELECT event_id, b, row_number() OVER (PARTITION BY b ORDER BY event_id) AS n FROM (
+  SELECT event_id, strftime(date_trunc('hour', ts), '%Y%m%d_%H%M%S') || '_' || trim(regexp_replace(lower(event_type), '[^a-z0-9]+', '-', 'g'), '-') AS b FROM events))""")
 def run_folders(spark, root):
-    """Three runs of one second and name for each language: the later ones get a number."""
-    import datetime as dt
-
-    base, now = work_folder(spark, "runs"), dt.datetime(2026, 1, 2, 3, 4, 5)
-    names = [r.lang for r in I.load(spark, root, "documents").select("lang").distinct().collect()]
-    made = [(sinks.run_folder(spark, base, name, now).rsplit("/", 1)[1],) for name in names for _ in range(3)]
-    return spark.createDataFrame(made, "folder string")
+    """A folder name for every run; runs that start together and have one name are numbered."""
+    runs = I.load(spark, root, "events").select("event_id", "event_type", F.date_trunc("hour", "ts").alias("started"))
+    return sinks.run_folder_names(runs, "event_id", "event_type").select("event_id", "folder")
+
+
+@query("s4_ground_truth_scan", f"""WITH {TX.GROUND_TRUTH} SELECT id AS dialogue_id, id || '.ground_truth.json' AS source_file, length(t) AS chars, md5(t) AS digest, coalesce(n, 0) AS spans, coalesce(x, 0) AS span_chars
+FROM tr LEFT JOIN (SELECT id, count(*) AS n, sum(length(txt)) AS x FROM mv GROUP BY id) USING (id)""")
+def ground_truth_scan(spark, root):
+    """One file for each conversation, written by the keyed sink and read as a folder of ground truth."""
+    folder = work_folder(spark, "truth")
+    base = TX.transcripts(spark, root, TX.WORD)
+    body = F.to_json(F.struct(F.col("dialogue_id").alias("id"), "transcript", F.col("spans").alias("pii_occurrences")))
+    keyed_files.write_keyed(base.select(F.concat("dialogue_id", F.lit(".ground_truth.json")).alias("name"), body.alias("content")), folder)
+    return readers.read_ground_truth(spark, folder).select(
+        "dialogue_id", "source_file", F.length("transcript").cast("long").alias("chars"), F.md5("transcript").alias("digest"),
+        F.greatest(F.lit(0), F.coalesce(F.size("spans"), F.lit(0))).cast("long").alias("spans"),
+        F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + F.length(s["text"])), F.lit(0)).alias("span_chars"))
+
+
+@query("s15_run_summaries", """WITH f AS (SELECT event_type, value, event_id, strftime(ts, '%Y%m%d_%H%M%S') || '_' || event_id AS folder, CASE WHEN user_id % 2 = 0 THEN 'sweep' ELSE 'single' END AS kind FROM events WHERE event_id % 20 = 0),
+n AS (SELECT event_type, kind, max((folder, value)) AS m, count(*) AS runs FROM f GROUP BY ALL) SELECT event_type AS run_name, kind AS run_kind, m[1] AS folder, round(m[2] / 100, 6) AS macro_f1, runs FROM n""")
+def run_summaries(spark, root):
+    """Summaries of one event in twenty as run folders: the newest of each name and kind, its entry for one target, and the number of runs."""
+    base = work_folder(spark, "summaries")
+    ev = I.load(spark, root, "events").filter("event_id % 20 = 0")
+    folder = F.concat(F.date_format("ts", "yyyyMMdd_HHmmss"), F.lit("_"), F.col("event_id").cast("string"))
+    entry = lambda rate, share: F.struct(F.lit(rate).alias("target_review_rate"), F.lit("composite").alias("strategy"), (F.col("value") / share).alias("macro_f1"))
+    body = F.to_json(F.struct(F.col("event_type").alias("run_name"), F.when(F.col("user_id") % 2 == 0, "sweep").otherwise("single").alias("run_kind"),
+                              F.array(entry(0.05, 200), entry(0.1, 100)).alias("selected_targets")))
+    keyed_files.write_keyed(ev.select(F.concat(folder, F.lit("/summary.json")).alias("name"), body.alias("content")), base)
+    found = cut_lineage(readers.read_summaries(spark, base))
+    runs_of = found.groupBy("run_name", "run_kind").agg(F.count(F.lit(1)).alias("runs"))
+    return readers.target_entry(readers.latest_summaries(found), 0.1).join(runs_of, ["run_name", "run_kind"]).select(
+        "run_name", "run_kind", F.element_at(F.split("path", "/"), -2).alias("folder"), F.round("macro_f1", 6).alias("macro_f1"), "runs")
 
 
 @query("j7_full_outer_counts", "WITH o AS (SELECT lang || ':' || source AS label, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1), w AS (SELECT lang || ':' || source AS label, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY 1) SELECT label, coalesce(o.n, 0) AS old, coalesce(w.n, 0) AS new, coalesce(w.n, 0) - coalesce(o.n, 0) AS delta, CASE WHEN w.n IS NULL THEN 'removed' WHEN o.n IS NULL THEN 'added' ELSE 'both' END AS status FROM o FULL JOIN w USING (label)")

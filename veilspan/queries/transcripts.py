@@ -56,6 +56,7 @@ def _ann(pattern, moved):
   CASE s % 5 WHEN 1 THEN e - 1 WHEN 2 THEN e + 1 WHEN 3 THEN e - 1 WHEN 4 THEN e + 7 ELSE e END AS e, txt FROM ann_chars)"""
 
 
+GROUND_TRUTH = _ann(WORD, False)
 RESOLVED = """,
 x AS (SELECT mv.*, t, substring(t, s + 1, e - s) AS f1, substring(t, s + 1, least(e + 1, length(t)) - s) AS f2,
   substring(t, s + 2, least(e + 1, length(t)) - s - 1) AS f3 FROM mv JOIN tr USING (id)),

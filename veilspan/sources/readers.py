@@ -168,8 +168,14 @@ def latest_summary(summaries: DataFrame, name: str, kind: str) -> DataFrame:
     return mine.orderBy(F.desc("path")).limit(1)
 
 
+def latest_summaries(summaries: DataFrame) -> DataFrame:
+    """:func:`latest_summary` for every name and kind at once."""
+    newest = summaries.groupBy("run_name", "run_kind").agg(F.max_by(F.struct(*[c for c in summaries.columns if c not in ("run_name", "run_kind")]), "path").alias("s"))
+    return newest.select("run_name", "run_kind", "s.*")
+
+
 def target_entry(summaries: DataFrame, rate: float) -> DataFrame:
     rows = explode_rows(summaries, F.col("selected_targets"), "t")
-    return rows.filter(F.abs(F.col("t.target_review_rate") - rate) <= 1e-9).select("run_name", "path", "t.*")
+    return rows.filter(F.abs(F.col("t.target_review_rate") - rate) <= 1e-9).select("run_name", "run_kind", "path", "t.*")
 
 

@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scaled import block, ranked
+
 LEDGER = ("commit", "stage", "primary_metric", "status", "description")
 
 
@@ -36,6 +38,17 @@ def slug(name: Column) -> Column:
     return F.when(clean == "", "experiment").otherwise(clean)
 
 
+def run_folder_names(runs: DataFrame, run_id: str = "run_id", name: str = "name", started: str = "started") -> DataFrame:
+    """``runs`` with ``folder``, ``<timestamp>_<slug>``; of runs that would share one the later ids get ``_2``, ``_3`` and so on.
+
+    ``run_id`` is a whole number.  What exists on disk already is the business of :func:`run_folder`.
+    """
+    base = F.concat(F.date_format(started, "yyyyMMdd_HHmmss"), F.lit("_"), slug(F.col(name)))
+    numbered = ranked(runs.withColumn("__stem", base), ["__stem"], [F.col(run_id)], block(F.col(run_id)), "__n")
+    more = F.when(F.col("__n") > 1, F.concat(F.lit("_"), F.col("__n").cast("string"))).otherwise("")
+    return numbered.withColumn("folder", F.concat("__stem", more)).drop("__stem", "__n")
+
+
 def run_folder(spark: SparkSession, root: str, name: str, now: dt.datetime | None = None) -> str:
     """Create ``<timestamp>_<slug>`` below ``root``; ``_2``, ``_3`` on collision."""
     stem = re.sub("[^a-z0-9]+", "-", name.lower()).strip("-") or "experiment"

@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def best_per_peer(stream: DataFrame, ascending: bool = True) -> DataFrame:
-    """Best run and run count per peer; lower metrics are better unless ``ascending=False``.
+def best_per_peer(stream: DataFrame, ascending: bool = True, replayed_within: str | None = None) -> DataFrame:
+    """Best run and number of different runs per peer; lower metrics are better unless ``ascending=False``.
 
-    Merging keeps the better (metric, run_id), which is commutative and idempotent,
-    so replays of the same runs do not change the winner.
+    Runs are told by their id before they are counted, so a replayed file or a second delivery changes neither the winner nor
+    ``runs``.  Every id is kept in state, unless ``replayed_within`` says how long after a run its copies may come: then ids
+    older than that are forgotten.
     """
+    if replayed_within is None:
+        stream = stream.dropDuplicates(["agent", "run_id"])
+    else:
+        stream = stream.withWatermark("ts", replayed_within).dropDuplicatesWithinWatermark(["agent", "run_id"])
     signed = F.col("metric") if ascending else -F.col("metric")
     best = F.min(F.struct(signed.alias("signed"), "run_id", "metric", "kind"))
     return stream.groupBy("agent").agg(best.alias("best"), F.count(F.lit(1)).alias("runs"), F.max("ts").alias("updated"))
