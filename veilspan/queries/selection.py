@@ -3,7 +3,7 @@
 import regex
 from pyspark.sql import functions as F
 
-from ..constants import CHALLENGE_MINIMUMS, SURROGATE_FORMATS
+from ..constants import CHALLENGE_MINIMUMS, FAKE_VALUES, SURROGATE_FORMATS
 from ..functions import rules as R
 from ..functions import tokens as T
 from ..operators import cascade as K
@@ -366,7 +366,12 @@ def entity_numbers(spark, root):
     return X.entity_numbers(spans)
 
 
-@query("x3_fake_surrogates", _RED + _spliced("CASE ty WHEN 'NAME' THEN coalesce(['Alex', 'Jordan', 'Casey', 'Taylor', 'Morgan', 'Riley'][n], 'Riley-' || n) ELSE coalesce(['Springfield', 'Riverton', 'Maple Grove', 'Lakeview'][n], 'Lakeview-' || n) END"))
+def _pool_sql(kind):
+    names = ", ".join(f"'{v}'" for v in FAKE_VALUES[kind])
+    return f"coalesce([{names}][n], '{FAKE_VALUES[kind][-1]}-' || n)"
+
+
+@query("x3_fake_surrogates", _RED + _spliced(f"CASE ty WHEN 'NAME' THEN {_pool_sql('NAME')} ELSE {_pool_sql('LOCATION')} END"))
 def fake_surrogates(spark, root):
     return X.render_stable(redactable(spark, root), "fake_surrogate").select("session_id", "turn_index", F.md5("redacted").alias("redacted"))
 
