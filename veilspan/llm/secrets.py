@@ -69,7 +69,7 @@ def candidates(docs: DataFrame, keys: list[str], text: str = "text") -> DataFram
     # The word before is a name and a sign without a value, a sign alone behind a name, or a scheme behind such a name.
     given = lambda a, b: (marked(b) & (b.rlike(f"{NAMES}[^=:]*{OPEN}") | b.rlike(f"^{OPEN}") & a.rlike(NAMES))
                           | marked(a) & a.rlike(f"{NAMES}[^=:]*{OPEN}") & b.rlike(SCHEMES))
-    fits = lambda w, i: (F.length(w) >= 8) & w.rlike("[0-9]") | marked(w) & w.rlike(ASSIGNED) | given(at(i - 2), at(i - 1))
+    fits = lambda w, i: (F.length(w) >= 8) & w.rlike("[0-9]") | marked(w) & w.rlike(ASSIGNED) | (given(at(i - 2), at(i - 1)) & ~w.rlike(SCHEMES))
     pick = F.transform("__w", lambda w, i: F.when(fits(w, i), F.struct(w.alias("token"), at(i - 1).alias("before"), at(i - 2).alias("before2"), at(i + 1).alias("after"))))
     rows = docs.select(*keys, word_array(F.col(text)).alias("__w")).select(*keys, F.inline(F.filter(pick, lambda x: x.isNotNull())))
     return with_value(rows).filter("value <> ''")
