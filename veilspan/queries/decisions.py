@@ -320,7 +320,14 @@ def override_spot_check(spark, root):
     return A.override_spot_check(base, Y.override_direct_ids(base))
 
 
-@query("p13_policy_end_to_end")
+# The same derivations on decisions whose direct identifiers are overridden first.
+_PATCHED = f"""{DEC.replace('dec AS MATERIALIZED', 'dec0 AS MATERIALIZED')},
+dec AS MATERIALIZED (SELECT * EXCLUDE (pr, pk, pv, predicted_action, sure), CASE WHEN sure THEN 1e0 ELSE pr END AS pr, CASE WHEN sure THEN 0e0 ELSE pk END AS pk, CASE WHEN sure THEN 0e0 ELSE pv END AS pv,
+  CASE WHEN sure THEN 'REDACT' ELSE predicted_action END AS predicted_action FROM (SELECT *, coalesce(entity_type = 'EMAIL_ADDRESS', false) OR latency_ms > 300 AS sure FROM dec0))"""
+
+
+@query("p13_policy_end_to_end", f"""WITH {_PATCHED}, {FIT}, {FEAT}, {THR}, {GRID}, {SWEEP} SELECT ord, strategy, count, deferred_count, {_ROUNDED}, round(worst_context_redact_recall, 6) AS worst_context_redact_recall
+FROM swp WHERE ord IN (SELECT ord FROM ({_CHOSEN.format(t='15e-2')}))""")
 def policy_end_to_end(spark, root):
     patched = Y.override_direct_ids(_with_span(I.decisions(spark, root)))
     chosen, _ = Y.evaluate_policy(patched, patched, 0.15)
