@@ -141,7 +141,16 @@ def private_prior_v2(spark, root):
                                                     F.col("person_private").cast("long").alias("person_private"))
 
 
-@query("r12_curricular_bonus", f"{_ITEMS} SELECT id, 0 AS bonus FROM it")
+# Cues as whole words by the Unicode reading of a word; "world war" and "civil war" count once, by their "war".
+_UNICODE_WORD = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}\x{24B6}-\x{24E9}\x{1F130}-\x{1F149}\x{1F150}-\x{1F169}\x{1F170}-\x{1F189}]+"
+_WORDS = f"regexp_extract_all(concat_ws(' ', turn_text, context_text, '', turn_text), '{_UNICODE_WORD}')"
+_ENGLISH_CUES = "essay|author|character|novel|story|poem|book|passage|article|quote|speaker|paragraph|chapter|text"
+_SOCIAL_CUES = "war|treaty|empire|colony|president|king|queen|nation|state|history|revolution|conference|government|foreign"
+
+
+@query("r12_curricular_bonus", f"""{_ITEMS}, wd AS (SELECT id, subject, unnest({_WORDS}) AS w FROM it),
+cn AS (SELECT id, count(*) AS n FROM wd WHERE CASE subject WHEN 'english' THEN regexp_full_match(w, '{_ENGLISH_CUES}', 'i') WHEN 'social_studies' THEN regexp_full_match(w, '{_SOCIAL_CUES}', 'i') ELSE false END GROUP BY id)
+SELECT it.id, CAST(least(2, coalesce(n, 0)) AS INT) AS bonus FROM it LEFT JOIN cn ON cn.id = it.id""")
 def curricular_bonus(spark, root):
     return N.score_items(items(spark, root)).select("id", F.col("bonus").cast("int").alias("bonus"))
 
