@@ -36,3 +36,23 @@ def test_bonus_counts_cues(spark, tmp_path):
     root = _talks(spark, tmp_path / "t", ["Berlin has a book", "Berlin saw a civil war", "Berlin bookish", "Berlin warlike", "Berlin booké", "Berlin 2"])
     got, want = _both(spark, "r12_curricular_bonus", root)
     assert got == want and [r[0] for r in got] == ["0", "0", "0", "0", "2", "2"]
+
+
+def test_spans_repaired_to_one_place_stay_two(spark, tmp_path):
+    root = _talks(spark, tmp_path / "t", ["abcde Berlin Berlin", "abcdef Berlin Berlin", "a Berlin Berlin", "ab Berlin Berlin", "abc Berlin Berlin"])
+    got, want = _both(spark, "t21_turn_rows", root)
+    assert got == want and {r[2] for r in got} == {"2"}
+
+
+def test_language_markers_are_whole_words(spark, tmp_path):
+    root = _talks(spark, tmp_path / "t", ["Berlin undécimo", "x", "Berlin UND", "x", "Berlin etles"])
+    got, want = _both(spark, "r16_session_exclusion", root)
+    assert got == want == [("2", "english")]
+
+
+def test_long_numbers_look_like_phones(spark, tmp_path):
+    orders = spark.read.parquet(f"{ROOT}/orders.parquet").withColumn("o_orderkey", F.col("o_orderkey") + 9_000_000)
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    spark.read.parquet(f"{ROOT}/customer.parquet").write.parquet(f"{tmp_path}/customer.parquet")
+    got, want = _both(spark, "u2_action_scoring", str(tmp_path))
+    assert got == want and {r[1] for r in got} == {"REDACT"}

@@ -170,8 +170,12 @@ FROM (SELECT uid, count(*) AS n FROM tk GROUP BY uid) n LEFT JOIN (SELECT uid, c
 LEFT JOIN (SELECT id, string_agg(DISTINCT type, ',' ORDER BY type) AS ty FROM lsp GROUP BY id) y ON y.id = n.uid"""
 
 
-@query("t21_turn_rows", f"""{_IN_TURN}, u AS (SELECT id || '-turn-' || turn AS k, txt AS text FROM trn), {I.tokens_sql('u', 'k')},
-lsp AS (SELECT it.id || '-turn-' || it.turn AS id, rs AS k, rs - trn.s AS s, re - trn.s AS e, CASE WHEN re - rs > 8 THEN 'NAME' ELSE 'IDENTIFYING_NUMBER' END AS type FROM it JOIN trn ON trn.id = it.id AND trn.turn = it.turn), {_DIGEST}""")
+# Each annotation is a span of its own, also where two are repaired to the same place.
+_EACH_IN_TURN = f"WITH {_ann(WORD, True)}{RESOLVED}{LINES}, it AS (SELECT r.id, r.pos, r.rs, r.rs + length(r.txt) AS re, min(turn) AS turn FROM res r JOIN trn ON r.id = trn.id AND trn.s <= r.rs AND r.rs + length(r.txt) <= trn.e WHERE resolution IS NOT NULL GROUP BY ALL)"
+
+
+@query("t21_turn_rows", f"""{_EACH_IN_TURN}, u AS (SELECT id || '-turn-' || turn AS k, txt AS text FROM trn), {I.tokens_sql('u', 'k')},
+lsp AS (SELECT it.id || '-turn-' || it.turn AS id, it.pos AS k, rs - trn.s AS s, re - trn.s AS e, CASE WHEN re - rs > 8 THEN 'NAME' ELSE 'IDENTIFYING_NUMBER' END AS type FROM it JOIN trn ON trn.id = it.id AND trn.turn = it.turn), {_DIGEST}""")
 def turn_rows(spark, root):
     return _row_digest(S.project_turns(transcripts(spark, root, WORD, moved=True)))
 
