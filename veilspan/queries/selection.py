@@ -167,10 +167,10 @@ def oversize_reasons(spark, root):
     return N.oversize_report(I.tagged_turns(spark, root).withColumn("tag_count", F.size(S.tag_spans("text"))))
 
 
-_MARK = "(?i)\\b(die|und|les)\\b"
+_MARK = "die|und|les"
 
 
-@query("r16_session_exclusion", f"{_ITEMS} SELECT subject, count(*) AS n FROM it WHERE NOT (subject = 'english' AND session_id IN (SELECT session_id FROM it WHERE subject = 'english' AND regexp_matches(turn_text, '{_MARK}'))) GROUP BY subject")
+@query("r16_session_exclusion", f"{_ITEMS} SELECT subject, count(*) AS n FROM it WHERE NOT (subject = 'english' AND session_id IN (SELECT session_id FROM it WHERE subject = 'english' AND len(list_filter(regexp_extract_all(turn_text, '{_UNICODE_WORD}'), lambda w: regexp_full_match(w, '{_MARK}', 'i'))) > 0)) GROUP BY subject")
 def session_exclusion(spark, root):
     out = N.exclude_languages(items(spark, root), R.any_word(("die", "und", "les")), None)
     return out.groupBy("subject").agg(F.count(F.lit(1)).alias("n"))
