@@ -471,7 +471,7 @@ FROM tr LEFT JOIN (SELECT id, count(*) AS n, sum(length(txt)) AS x FROM mv GROUP
 def ground_truth_scan(spark, root):
     """One file for each conversation, written by the keyed sink and read as a folder of ground truth."""
     folder = work_folder(spark, "truth")
-    base = TX.transcripts(spark, root, TX.WORD)
+    base = TX.transcripts(spark, root, TX.WORD, speakers=False)
     body = F.to_json(F.struct(F.col("dialogue_id").alias("id"), "transcript", F.col("spans").alias("pii_occurrences")))
     keyed_files.write_keyed(base.select(F.concat("dialogue_id", F.lit(".ground_truth.json")).alias("name"), body.alias("content")), folder)
     return readers.read_ground_truth(spark, folder).select(

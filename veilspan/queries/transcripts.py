@@ -13,10 +13,10 @@ WORD = r"\p{Lu}\p{L}{5,}"
 CROSSING = r"[.]\n\p{Lu}\p{L}+"
 
 
-def transcripts(spark, root, pattern=None, moved=False, faulty=False):
+def transcripts(spark, root, pattern=None, moved=False, faulty=False, speakers=True):
     """One transcript per conversation; annotations are pattern matches, optionally misplaced.
 
-    Speaker labels are no annotations, unless the input is to be ``faulty``: then they lie in no turn, and
+    Without ``speakers`` what stands before a colon is no annotation: a speaker label lies in no turn.  In a ``faulty`` input
     one match in eleven each has a text that is not there and is moved to the blank before it.
     """
     line = F.when(F.col("role") == "user", F.concat(F.lit("Student: "), "text")).when(
@@ -34,7 +34,8 @@ def transcripts(spark, root, pattern=None, moved=False, faulty=False):
         return df.withColumn("spans", F.expr(
             f"transform({hits}, h -> named_struct('start', {fault('h.start', 'h.start - 1', 'h.start')}, 'end', {fault('h.`end`', 'h.start', 'h.`end`')}, "
             f"""'text', {fault("concat('zz', h.text)", "' '", 'h.text')}, 'pii_type', 'person-name'))"""))
-    hits = T.bind("transcript", lambda t: f"filter({T.regex_spans_sql(t, pattern)}, h -> substring({t}, h.`end` + 1, 2) <> ': ')")
+    if not speakers:
+        hits = T.bind("transcript", lambda t: f"filter({T.regex_spans_sql(t, pattern)}, h -> substring({t}, h.`end` + 1, 2) <> ': ')")
     spans = (
         f"transform({hits}, h -> named_struct("
         f"'start', case {m} when 2 then h.start - 1 when 3 then h.start - 1 when 4 then h.start + 7 else h.start end, "
@@ -47,16 +48,16 @@ TR = """tr AS MATERIALIZED (SELECT CAST(conv_id AS VARCHAR) AS id, string_agg(CA
   FROM conversations GROUP BY conv_id)"""
 
 
-def _ann(pattern, moved):
+def _ann(pattern, moved, speakers=True):
     m = "CASE s % 5 WHEN {} THEN {} ELSE {} END"
-    sql = f"{TR}, {I._matches('hit', pattern, 'tr', 'id', 't')}, ann_chars AS (SELECT c.* FROM hit_chars c JOIN tr USING (id) WHERE substring(t, e + 1, 2) <> ': ')"
+    sql = f"{TR}, {I._matches('ann', pattern, 'tr', 'id', 't')}" if speakers else f"{TR}, {I._matches('hit', pattern, 'tr', 'id', 't')}, ann_chars AS (SELECT c.* FROM hit_chars c JOIN tr USING (id) WHERE substring(t, e + 1, 2) <> ': ')"
     if not moved:
         return sql + ", mv AS (SELECT id, pos, s, e, txt FROM ann_chars)"
     return sql + """, mv AS (SELECT id, pos, CASE s % 5 WHEN 2 THEN s - 1 WHEN 3 THEN s - 1 WHEN 4 THEN s + 7 ELSE s END AS s,
   CASE s % 5 WHEN 1 THEN e - 1 WHEN 2 THEN e + 1 WHEN 3 THEN e - 1 WHEN 4 THEN e + 7 ELSE e END AS e, txt FROM ann_chars)"""
 
 
-GROUND_TRUTH = _ann(WORD, False)
+GROUND_TRUTH = _ann(WORD, False, False)
 RESOLVED = """,
 x AS (SELECT mv.*, t, substring(t, s + 1, e - s) AS f1, substring(t, s + 1, least(e + 1, length(t)) - s) AS f2,
   substring(t, s + 2, least(e + 1, length(t)) - s - 1) AS f3 FROM mv JOIN tr USING (id)),
@@ -128,12 +129,12 @@ def transcript_lines(spark, root):
     return rows.select("dialogue_id", F.col("t.line").cast("long").alias("line"), F.col("t.start").cast("long").alias("line_start"), "t.text")
 
 
-_IN_TURN = f"WITH {_ann(WORD, True)}{RESOLVED}{LINES}, it AS (SELECT r.id, r.rs, r.rs + length(r.txt) AS re, min(turn) AS turn FROM res r JOIN trn ON r.id = trn.id AND trn.s <= r.rs AND r.rs + length(r.txt) <= trn.e WHERE resolution IS NOT NULL GROUP BY ALL)"
+_IN_TURN = f"WITH {_ann(WORD, True, False)}{RESOLVED}{LINES}, it AS (SELECT r.id, r.rs, r.rs + length(r.txt) AS re, min(turn) AS turn FROM res r JOIN trn ON r.id = trn.id AND trn.s <= r.rs AND r.rs + length(r.txt) <= trn.e WHERE resolution IS NOT NULL GROUP BY ALL)"
 
 
 @query("t19_span_to_turn", f"{_IN_TURN} SELECT id AS dialogue_id, turn AS turn_index, count(*) AS n, sum(rs) AS sum_start FROM it GROUP BY ALL")
 def span_to_turn(spark, root):
-    base = transcripts(spark, root, WORD, moved=True)
+    base = transcripts(spark, root, WORD, moved=True, speakers=False)
     spans = S.resolve_spans(base).filter("resolution is not null").select(
         "dialogue_id", F.col("resolved_start").alias("start"), F.col("resolved_end").alias("end"))
     turns = T.explode_rows(base, S.transcript_turns("transcript"), "t").select("dialogue_id", "t.turn_index", "t.start", "t.end")
@@ -171,13 +172,13 @@ LEFT JOIN (SELECT id, string_agg(DISTINCT type, ',' ORDER BY type) AS ty FROM ls
 
 
 # Each annotation is a span of its own, also where two are repaired to the same place.
-_EACH_IN_TURN = f"WITH {_ann(WORD, True)}{RESOLVED}{LINES}, it AS (SELECT r.id, r.pos, r.rs, r.rs + length(r.txt) AS re, min(turn) AS turn FROM res r JOIN trn ON r.id = trn.id AND trn.s <= r.rs AND r.rs + length(r.txt) <= trn.e WHERE resolution IS NOT NULL GROUP BY ALL)"
+_EACH_IN_TURN = f"WITH {_ann(WORD, True, False)}{RESOLVED}{LINES}, it AS (SELECT r.id, r.pos, r.rs, r.rs + length(r.txt) AS re, min(turn) AS turn FROM res r JOIN trn ON r.id = trn.id AND trn.s <= r.rs AND r.rs + length(r.txt) <= trn.e WHERE resolution IS NOT NULL GROUP BY ALL)"
 
 
 @query("t21_turn_rows", f"""{_EACH_IN_TURN}, u AS (SELECT id || '-turn-' || turn AS k, txt AS text FROM trn), {I.tokens_sql('u', 'k')},
 lsp AS (SELECT it.id || '-turn-' || it.turn AS id, it.pos AS k, rs - trn.s AS s, re - trn.s AS e, CASE WHEN re - rs > 8 THEN 'NAME' ELSE 'IDENTIFYING_NUMBER' END AS type FROM it JOIN trn ON trn.id = it.id AND trn.turn = it.turn), {_DIGEST}""")
 def turn_rows(spark, root):
-    return _row_digest(S.project_turns(transcripts(spark, root, WORD, moved=True)))
+    return _row_digest(S.project_turns(transcripts(spark, root, WORD, moved=True, speakers=False)))
 
 
 @query("t22_segment_rows", f"""{_SEG}, u AS (SELECT seg.id || '-segment-' || segment AS k, substring(t, s + 1, e - s) AS text FROM seg JOIN tr USING (id)), {I.tokens_sql('u', 'k')},
@@ -213,12 +214,12 @@ def quarantine_counts(spark, root):
 def broken_crossings(spark, root):
     """Crossing spans, of which one in three is cut down to its line break."""
     cut = "s.start % 3 = 0"
-    return transcripts(spark, root, CROSSING).withColumn("spans", F.expr(
+    return transcripts(spark, root, CROSSING, speakers=False).withColumn("spans", F.expr(
         f"transform(spans, s -> named_struct('start', if({cut}, s.start + 1, s.start), 'end', if({cut}, s.start + 2, s.`end`), "
         f"'text', if({cut}, '\\n', s.text), 'pii_type', s.pii_type))"))
 
 
-@query("t22_unprojected_spans", f"""WITH {_ann(CROSSING, False)} SELECT id AS dialogue_id, count(*) AS want, count(*) FILTER (s % 3 <> 0) AS got FROM mv GROUP BY id HAVING count(*) FILTER (s % 3 = 0) > 0""")
+@query("t22_unprojected_spans", f"""WITH {_ann(CROSSING, False, False)} SELECT id AS dialogue_id, count(*) AS want, count(*) FILTER (s % 3 <> 0) AS got FROM mv GROUP BY id HAVING count(*) FILTER (s % 3 = 0) > 0""")
 def unprojected_spans(spark, root):
     base = broken_crossings(spark, root)
     return S.unprojected(base, S.project_with_quarantine(base, "segment").rows)
@@ -288,7 +289,7 @@ def raw_text_lookup(spark, root):
 
 @query("j5_interval_containment", f"{_IN_TURN} SELECT role AS speaker_role, count(*) AS n FROM it JOIN trn ON trn.id = it.id AND trn.turn = it.turn GROUP BY role")
 def interval_containment(spark, root):
-    base = transcripts(spark, root, WORD, moved=True)
+    base = transcripts(spark, root, WORD, moved=True, speakers=False)
     spans = S.resolve_spans(base).filter("resolution is not null").select("dialogue_id", F.col("resolved_start").alias("start"), F.col("resolved_end").alias("end"))
     turns = T.explode_rows(base, S.transcript_turns("transcript"), "t").select("dialogue_id", "t.turn_index", "t.speaker_role", "t.start", "t.end")
     placed = S.turns_of_spans(spans, turns)
