@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from veilspan.operators import sampling as N
 from veilspan.queries import ORACLES, QUERIES
 
 ROOT = "/root/testdata/sf0.001"
@@ -68,3 +69,14 @@ def test_speaker_labels_are_annotations(spark, tmp_path, name):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got, want = _both(spark, name, str(tmp_path))
     assert got == want and len(got) == LABELLED[name]
+
+
+def test_pool_rows_travel_without_the_tokens_of_their_text(spark):
+    rows = spark.createDataFrame([("a", "x", ["Ann", "has", "12", "+", "3"], ["O"] * 5, ["O"] * 5)],
+                                 "id string, subject string, tokens array<string>, gold_labels array<string>, pred_labels array<string>")
+    pool = N.span_pool(rows)
+    sent = [line for line in pool._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line or "RowNumber" in line or "Filter" in line]
+    assert sent and not any("tokens" in line for line in sent)
+    assert "tokens" not in pool._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert sorted((r.pool_source, r.start, r.end, r.span_text) for r in pool.collect()) == [
+        ("math_probe", 1, 4, "has 12 +"), ("titlecase_probe", 0, 1, "Ann")]

@@ -11,7 +11,7 @@ from ..constants import (
     DIRECT_ID_TYPES, MATH_SYMBOLS, MATH_TERMS, NAME_TITLES, ROLES, TITLE_STOPWORDS,
 )
 from .text import (
-    ANY_CASE, DIGIT_CLASS, SAME_CASE, any_word, collapse_space, contains_any, fold_case, mapped,
+    ANY_CASE, DIGIT_CLASS, SAME_CASE, SPACE_CLASS, any_word, collapse_space, contains_any, fold_case, mapped,
     quote_literal, strip_space,
 )
 from .tokens import let
@@ -112,7 +112,12 @@ def is_math_like(tokens: Column) -> Column:
 
 
 def math_like_spans(tokens: Column, longest: int = 4) -> Column:
-    """For each start, the shortest math-like run of at most ``longest`` tokens."""
+    """For each start, the shortest math-like run of at most ``longest`` tokens.
+
+    A math-like run holds a digit or a math term, so only starts at or shortly before such a token are tried.
+    """
+    spans_type = "array<struct<start:int,end:int>>"
+
     def scan(ts):
         n = F.size(ts)
 
@@ -124,9 +129,11 @@ def math_like_spans(tokens: Column, longest: int = 4) -> Column:
             ]
             return F.coalesce(*tries)
 
-        return F.when(n > 0, F.filter(
-            F.transform(F.sequence(F.lit(0), n - 1), ending), lambda s: s.isNotNull()
-        )).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+        marks = F.transform(ts, lambda t, i: F.when(
+            t.rlike(f"[{DIGIT_CLASS}]") | fold_case(strip_space(t)).isin(*MATH_TERMS), i))
+        near = F.transform(F.array_compact(marks), lambda i: F.sequence(F.greatest(F.lit(0), i - (longest - 1)), i))
+        starts = F.array_distinct(F.flatten(near))  # ascends, as the marks do
+        return F.when(n > 0, F.filter(F.transform(starts, ending), lambda s: s.isNotNull())).otherwise(F.array().cast(spans_type))
 
     return let(tokens, scan)
 
@@ -165,8 +172,12 @@ def titlecase_probes(tokens: Column) -> Column:
                 F.concat(acc["out"], F.array(F.struct(i.alias("start"), (i + w).alias("end")))).alias("out"),
             ))))
 
+        # Only a capital or a title opens a probe; all other tokens are passed over before the walk.
+        opens = lambda t: F.coalesce(
+            t.rlike(rf"\A[{SPACE_CLASS}]*\p{{Lu}}") | fold_case(_strip_marks(strip_space(t))).isin(*NAME_TITLES), F.lit(False))
+        starts = F.array_compact(F.transform(ts, lambda t, i: F.when(opens(t), i)))
         return F.when(n > 0, F.aggregate(
-            F.sequence(F.lit(0), n - 1),
+            starts,
             F.struct(F.lit(0).alias("at"), F.array().cast(spans_type).alias("out")),
             step,
             lambda a: a["out"],

@@ -20,7 +20,7 @@ from ..constants import AMBIGUOUS_TAGS, CHALLENGE_MINIMUMS, CHALLENGE_TAGS, CONT
 from ..functions import labels as L
 from ..functions import rules as R
 from ..functions.text import fold_case, stable_hash
-from ..functions.tokens import explode_rows, tokenize
+from ..functions.tokens import bind, explode_rows, tokenize
 from ..plans.scaled import first_k, hash_block, ranked
 from ..session import cut_lineage
 from .quality import require_none
@@ -327,27 +327,29 @@ def span_pool(candidates: DataFrame, legacy: DataFrame | None = None, pred_per_r
     step = (
         f"if(size(filter(a, x -> x.src = s.src)) >= {budget} or exists(a, x -> {L.overlap_sql('x', 's')}), a, concat(a, array(s)))"
     )
-    pool = F.expr(
+    pool = (
         f"aggregate(concat({tag('__pred', 2)}, {tag('__title', 3)}, {tag('__math', 4)}), cast({tag('__gold', 1)} as {t}), "
         f"(a, s) -> cast({step} as {t}))")
-    rows = explode_rows(held.withColumn("__pool", pool), F.col("__pool"), "s").select(
-        F.col("id").alias("source_row_id"), "subject", "tokens", F.col("s.src").alias("src"), F.col("s.start").alias("start"), F.col("s.end").alias("end"),
-        F.lit(0).cast("long").alias("ord")).withColumn("span_text", F.expr(L.span_text_sql("tokens", "struct(start, `end`)")))
+    # A span travels with its own tokens, not with those of its row.
+    rows = explode_rows(held.withColumn("__pool", F.expr(bind("tokens", lambda ts: (
+        f"transform({pool}, s -> named_struct('src', s.src, 'start', s.start, 'end', s.`end`, "
+        f"'words', slice({ts}, s.start + 1, s.`end` - s.start)))")))).select("id", "subject", "__pool"), F.col("__pool"), "s").select(
+        F.col("id").alias("source_row_id"), "subject", "s.src", "s.start", "s.end", F.lit(0).cast("long").alias("ord"),
+        F.array_join("s.words", " ").alias("span_text"), "s.words")
     if legacy is not None:
         own = candidates.select(F.col("id").alias("source_row_id"), "subject", "tokens")
         found = legacy.withColumn("__w", tokenize(F.col("span_text"))).join(own, "source_row_id").withColumn(
             "__f", L.find_subsequence("tokens", "__w"))
         rows = rows.unionByName(found.select(
-            "source_row_id", "subject", "tokens", F.lit(0).alias("src"), F.col("__f.start").alias("start"), F.col("__f.end").alias("end"),
-            F.col("ord").cast("long").alias("ord"), "span_text"))
+            "source_row_id", "subject", F.lit(0).alias("src"), F.col("__f.start").alias("start"), F.col("__f.end").alias("end"),
+            F.col("ord").cast("long").alias("ord"), "span_text", F.lit(None).cast("array<string>").alias("words")))
     key = F.when(F.col("start").isNotNull(), F.concat_ws(":", F.col("start").cast("string"), F.col("end").cast("string"))).otherwise(
         F.concat_ws("|", F.col("src").cast("string"), fold_case(F.col("span_text"))))
     once = first_k(rows.withColumn("__k", key), ["source_row_id", "__k"], [F.col("src"), F.col("ord")], 1).drop("__k", "ord")
-    words = F.expr("slice(tokens, start + 1, `end` - start)")
     names = F.array(*[F.lit(s) for s in POOL_SOURCES])
     return once.withColumn("pool_source", F.get(names, F.col("src"))).withColumn(
         "suggested_action", F.when(F.col("src") == 0, "REDACT").when(F.col("src") == 3, "REVIEW").when(
-            F.col("src") == 4, "KEEP").otherwise(R.pool_suggestion(F.col("span_text"), words))).drop("src", "tokens")
+            F.col("src") == 4, "KEEP").otherwise(R.pool_suggestion(F.col("span_text"), F.col("words")))).drop("src", "words")
 
 
 # --- stratified and balanced splits ------------------------------------------------------------------
