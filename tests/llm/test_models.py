@@ -198,3 +198,18 @@ def test_languages_equal_plain_word_first_backoff(spark):
         lang, score = word_first(words, t)
         assert found[1000 + i][0] == lang and abs(found[1000 + i][1] - score) < 1e-9, t
     assert [found[1000 + len(asked) - 8 + k][0] for k in range(5)] == ["und"] * 5 and found[2000] == ("und", 0.0)
+
+
+def test_words_of_letters_come_by_the_fast_way():
+    import sys
+    from time import process_time
+
+    every = "".join(f"a{chr(c)}b " for c in range(0x80, sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF).lower()
+    assert language_id.letter_words(every) == language_id.LETTERS.findall(every)
+    text = "una frase cualquiera con acentos y eñes más allá " * 4000
+    took = []
+    for words in (language_id.letter_words, language_id.LETTERS.findall):
+        start = process_time()
+        words(text)
+        took.append(process_time() - start)
+    assert took[0] * 3 < took[1]
