@@ -61,8 +61,14 @@ def labelling_prompt(subject, context, span, optional: dict[str, Column] | None
 
 def span_excerpt(context: Column, span: Column, radius: int = 72) -> Column:
     """About ``radius`` characters either side of the first hit, with ellipses."""
-    text, needle = collapse_space(context), strip_space(span)
-    at = F.when(needle != "", F.position(F.lower(needle), F.lower(text))).otherwise(F.lit(0))
+    text = collapse_space(context)
+    return excerpt_of(text, F.lower(text), span, radius)
+
+
+def excerpt_of(text: Column, low: Column, span: Column, radius: int = 72) -> Column:
+    """:func:`span_excerpt` where ``text`` is collapsed and ``low`` its lower case, made once for all spans of a text."""
+    needle = strip_space(span)
+    at = F.when(needle != "", F.position(F.lower(needle), low)).otherwise(F.lit(0))
     lo = F.greatest(F.lit(0), at - 1 - radius)
     hi = F.least(F.length(text), at - 1 + F.length(needle) + radius)
     cut = F.concat(

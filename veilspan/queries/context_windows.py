@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import prompts as P
+from ..functions.text import collapse_space
 from ..operators import context as C
 from . import inputs as I
 from .registry import query
@@ -107,13 +108,16 @@ _TAGROWS = f"""WITH {I.TAGGED_SQL}, keyed AS (SELECT dialogue_id || '-' || turn_
 it AS (SELECT k AS id, subject, speaker_role, text, txt AS span, substring(txt, 2, length(txt) - 2) AS et, s, e FROM tg_chars JOIN keyed ON k = tg_chars.id)"""
 
 
-def _items(spark, root):
+def _items(spark, root, **per_turn):
+    """``per_turn``: more columns, worked out once for each turn and not for each of its tags."""
     from ..functions.tokens import explode_rows
     from ..operators.spans import tag_spans
 
     df = I.tagged_turns(spark, root).withColumn("id", F.concat_ws("-", "dialogue_id", F.col("turn_index").cast("string")))
+    for name, column in per_turn.items():
+        df = df.withColumn(name, column)
     rows = explode_rows(df, tag_spans("text", supported_only=False), "h")
-    return rows.select("id", "subject", "speaker_role", "text", F.col("h.text").alias("span"), F.col("h.entity_type").alias("et"), F.col("h.start").alias("s"), F.col("h.end").alias("e"))
+    return rows.select("id", "subject", "speaker_role", "text", F.col("h.text").alias("span"), F.col("h.entity_type").alias("et"), F.col("h.start").alias("s"), F.col("h.end").alias("e"), *per_turn)
 
 
 @query("w9_flat_prompt", f"{_TAGROWS} SELECT id, s AS tag_start, md5(concat_ws(chr(10), 'subject: ' || subject, 'context: ' || text, 'span: ' || span, 'speaker_role: ' || speaker_role, 'entity_type: ' || et)) AS prompt FROM it")
@@ -146,7 +150,8 @@ _EX = f"""{_TAGROWS}, cx AS (SELECT *, {I.collapse_sql('text')} AS c FROM it), h
 @query("w12_span_excerpt", f"""{_EX} SELECT id, s AS tag_start, CASE WHEN a - 72 > 0 THEN '...' ELSE '' END || substring(c, greatest(a - 72, 0) + 1, least(length(c), a + length(span) + 72) - greatest(a - 72, 0))
   || CASE WHEN a + length(span) + 72 < length(c) THEN '...' ELSE '' END AS excerpt FROM hit_at""")
 def span_excerpt(spark, root):
-    return _items(spark, root).select("id", F.col("s").cast("long").alias("tag_start"), P.span_excerpt(F.col("text"), F.col("span")).alias("excerpt"))
+    rows = _items(spark, root, flat=collapse_space(F.col("text")), low=F.lower("flat"))
+    return rows.select("id", F.col("s").cast("long").alias("tag_start"), P.excerpt_of(F.col("flat"), F.col("low"), F.col("span")).alias("excerpt"))
 
 
 @query("w13_offset_excerpt", f"""{_TAGROWS} SELECT id, s AS tag_start, CASE WHEN s > 120 THEN '...' ELSE '' END || substring(text, greatest(0, s - 120) + 1, s - greatest(0, s - 120)) || '[[' || span || ']]' ||
