@@ -242,12 +242,13 @@ def _prune(items: DataFrame, name: str, groups: Sequence[str], order: Sequence[C
 
 def _select(items: DataFrame, chooser, spec: Mapping, lists: Sequence[tuple[str, Sequence[str], Sequence[Column], Column | None]]) -> DataFrame:
     cap, total = spec["cap"], spec["total"]
+    columns = ["subject", "id", "session_id", "entity_type", "h", "challenge", "private_prior", "person_private", "bonus"]
+    items = cut_lineage(items.select(*columns))  # every list reads the scores; texts and cues are gone through once
     ids = None
     for name, groups, order, where in lists:
         part = _prune(items if where is None else items.filter(where), name, groups, order, cap, total)
         ids = part if ids is None else ids.unionByName(part)
     wanted = ids.select("subject", "id").distinct()
-    columns = ["subject", "id", "session_id", "entity_type", "h", "challenge", "private_prior", "person_private", "bonus"]
     reach = items.join(wanted, ["subject", "id"], "left_semi").select(*columns)
     counts = items.groupBy("subject", "entity_type").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.select(*[F.col(c).alias(c) for c in counts.columns])  # fresh columns for the cogroup
