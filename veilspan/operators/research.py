@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,8 +17,18 @@ K1, B = 1.2, 0.75
 
 
 # --- search -------------------------------------------------------------------------------------
-def bm25(docs: DataFrame, queries: DataFrame, boosts: Mapping[str, float]) -> DataFrame:
-    """``query_id, doc_id, score`` of every document sharing a term with a query.
+SCORED_ROWS = 1 << 17  # postings in one task of the scoring
+
+
+class Postings(NamedTuple):
+    """``rows``: doc_id, term, w (written, each document and term once); ``terms``: query_id, term."""
+
+    rows: DataFrame
+    terms: DataFrame
+
+
+def postings(docs: DataFrame, queries: DataFrame, boosts: Mapping[str, float]) -> Postings:
+    """BM25 weights of the queries' terms in every document.
 
     ``docs``: doc_id and one text column per boosted field; ``queries``: query_id, text.
     The corpus is tokenised once: a field's query terms with their counts, and one marked row for its
@@ -41,8 +52,37 @@ def bm25(docs: DataFrame, queries: DataFrame, boosts: Mapping[str, float]) -> Da
     part = tf.join(df, ["field", "term"]).join(F.broadcast(stats), "field").select(
         "doc_id", "term", (weight * idf * F.col("tf") * (K1 + 1) / norm).alias("w"))
     # Fields of one document and term add up before queries multiply the rows.
-    part = part.groupBy("doc_id", "term").agg(F.sum("w").alias("w"))
-    return part.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
+    return Postings(cut_lineage(part.groupBy("doc_id", "term").agg(F.sum("w").alias("w"))), terms)
+
+
+def scores(index: Postings) -> DataFrame:
+    """``query_id, doc_id, score`` of every document sharing a term with a query.
+
+    Postings are dealt by document before queries multiply them, so that the pairs are added up where they are made and
+    only what a caller keeps of them travels on.
+    """
+    parts = max(int(index.rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), index.rows.count() // SCORED_ROWS)
+    return index.rows.repartition(parts, "doc_id").join(index.terms, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, boosts: Mapping[str, float]) -> DataFrame:
+    """:func:`scores` of :func:`postings`."""
+    return scores(postings(docs, queries, boosts))
+
+
+def judged_rows(index: Postings, labels: DataFrame, hits: Sequence[DataFrame], k: int = 10) -> DataFrame:
+    """``query_id, doc_id, rel`` of all judged documents that nDCG at ``k`` reads, of those that share a term with the query.
+
+    That is the judged among ``hits``, and the query's ``k`` best by ``rel`` and ``doc_id``: these are among the ``k`` best of each
+    of its terms, so pairs of queries and documents need not be made.  ``labels``: doc_id, rel; a document may have several.
+    """
+    lab = labels.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("rel")))
+    out = first_k(index.rows.join(lab, "doc_id").select("term", "doc_id", "rel", "__nth"), ["term"], [F.desc("rel"), F.col("doc_id")], k).join(
+        index.terms, "term").select("query_id", "doc_id", "rel", "__nth")
+    for found in hits:
+        met = found.select("query_id", "doc_id").join(index.terms, "query_id").join(index.rows, ["doc_id", "term"], "left_semi")
+        out = out.unionByName(met.select("query_id", "doc_id").distinct().join(lab, "doc_id").select("query_id", "doc_id", "rel", "__nth"))
+    return out.distinct().drop("__nth")
 
 
 def top_hits(scored: DataFrame, k: int = 10) -> DataFrame:
