@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from veilspan.llm import attention, language_id, lm_scoring, toxicity
@@ -110,6 +111,20 @@ def test_head_and_join_give_one_score(spark):
     assert scores[0] == scores[1]
 
 
+@pytest.mark.parametrize("block", (1_500_000, 4_000))
+def test_attention_learns_from_every_training_row(spark, monkeypatch, block):
+    monkeypatch.setattr(lm_scoring, "BLOCK_TOKENS", block, raising=False)
+    low = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) >> 63 == 1
+    plain = [t for t in (f"tree w{k}" for k in range(5000)) if low(t)][:2100]  # more texts than a sample of the least hashes would take
+    cycles = [t for t in (" ".join(["the", "of", "on"] * 20 + [f"w{k}"]) for k in range(900)) if not low(t)][:300]
+    asked = [" ".join(["the", "of", "on"] * 10), " ".join(["the", "on", "of"] * 10)]
+    rows = [(k, t, True) for k, t in enumerate(plain + cycles)] + [(10_000 + k, t, False) for k, t in enumerate(asked)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, l boolean")
+    found = lm_scoring.score_texts(docs, F.col("l"), MODEL, steps=150)
+    right, turned = (r.score for r in found.filter("doc_id >= 10000").orderBy("doc_id").collect())
+    assert right > turned + 5
+
+
 def test_words_of_a_class_have_at_most_all_its_probability():
     pieces = {b"th": 1, b"a": 2}
     counts = Counter({b"the": 5, b"tha": 2, b"ab": 3})
