@@ -98,6 +98,34 @@ def test_touching_intervals_merge_but_annotations_do_not(spark):
     assert row.a == ["B-SUSPECT", "B-SUSPECT", "O"]
 
 
+def test_labels_of_text_count_tokens_and_place_none(spark):
+    rng, rows = random.Random(7), []
+    for _ in range(400):
+        text = "".join(rng.choice(["a", "Bc", "9", "_", " ", "\t", ".", "@", "é", "\U0001d11e", "x1"]) for _ in range(rng.randrange(30)))
+        n = len(text)
+        rows.append((text, [(a, min(n, a + rng.randint(1, 5))) for a in (rng.randrange(n) for _ in range(rng.randrange(5)))] if n else []))
+    df = T.with_tokens(spark.createDataFrame(rows, "text string, s array<struct<start:int,end:int>>"))
+    found = df.select(L.labels_of_text("text", "tokens", "s").alias("t"), L.labels_from_merged_spans("starts", "ends", "s").alias("m")).collect()
+    assert all(r.t == r.m for r in found) and sum("B-SUSPECT" in r.t for r in found) > 200
+    bare = spark.createDataFrame([], "text string, tokens array<string>, s array<struct<start:int,end:int>>")
+    plan = bare.select(L.labels_of_text("text", "tokens", "s"))._jdf.queryExecution().analyzed().toString()
+    assert f"[{T.SPACE_CLASS}]*" not in plan  # no second pass that finds where each token ends
+
+
+def test_searched_patterns_find_what_the_stated_ones_find(spark):
+    from veilspan.queries import inputs as I
+
+    rng = random.Random(8)
+    parts = ["ab.c", "@", "x-y", ".", "com", "1234567", "10.0.0.7", "+49 (30) ", "-", " ", "99", "Abcdefghijklmn", "Ünicodewörtern", "%", "_", "("]
+    rows = [("".join(rng.choice(parts) for _ in range(rng.randrange(12))).replace("@", "@" if k % 2 else ""),) for k in range(600)]
+    df = spark.createDataFrame(rows, "text string")
+    for side, pattern in (("gold", I.GOLD_PATTERN), ("pred", I.PRED_PATTERN)):
+        full, plain = I._SEARCHED[side]
+        use = F.when(F.contains("text", F.lit("@")), T.regex_spans("text", full)).otherwise(T.regex_spans("text", plain))
+        found = df.select(use.alias("a"), T.regex_spans("text", pattern).alias("b")).collect()
+        assert all(r.a == r.b for r in found) and sum(len(r.a) > 0 for r in found) > 100
+
+
 def test_mask_fuses_adjacent_spans(spark):
     df = spark.createDataFrame([(["B-SUSPECT", "B-SUSPECT", "O", "I-SUSPECT"],)], "l array<string>")
     assert df.select(L.mask_to_labels("transform(l, x -> x <> 'O')").alias("m")).first().m == [

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import BEGIN, INSIDE, OUTSIDE
-from .tokens import bind, regex_spans_sql, token_ends_sql, token_span_sql
+from .tokens import bind, regex_spans_sql, token_span_sql, token_spans_in_text_sql
 
 SPANS = "array<struct<start:int,end:int>>"
 
@@ -135,11 +135,9 @@ def mask_to_labels(mask: str) -> Column:
 def labels_of_text(text: str, tokens: str, spans: str) -> Column:
     """Merged character spans as labels, for rows whose token offsets nobody else needs.
 
-    Offsets are worked out only where the row holds a span.
+    Tokens are counted up to the spans, only where the row holds one; no offsets are worked out.
     """
-    starts = "zip_with({e}, " + tokens + ", (e, t) -> e - length(t))"
-    painted = bind(token_ends_sql(text), lambda e: bind(
-        starts.format(e=e), lambda s: _paint(f"size({s})", project_spans_sql(s, e, merge_intervals_sql(spans)))))
+    painted = bind(f"size({tokens})", lambda n: _paint(n, token_spans_in_text_sql(text, merge_intervals_sql(spans))))
     return F.expr(f"if(size({spans}) = 0, array_repeat('{OUTSIDE}', size({tokens})), {painted})")
 
 

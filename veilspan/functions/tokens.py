@@ -16,7 +16,7 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import SPACE_CLASS, TOKEN_PATTERN
+from .text import SPACE_CLASS, TOKEN_PATTERN, WORD_CLASS
 
 _BLOCK = 32
 _fresh = itertools.count()
@@ -117,7 +117,7 @@ def regex_spans_sql(text: str, pattern: str) -> str:
                 "(e, m) -> named_struct('start', e - length(m), 'end', e, 'text', m))"
             )
 
-        return f"if({t} rlike {sql_text(pattern)}, {bind(hits, zipped)}, {none})"
+        return bind(hits, lambda h: f"if(size({h}) > 0, {zipped(h)}, {none})")
 
     none = "cast(array() as array<struct<start:int,end:int,text:string>>)"
     return bind(text, located)
@@ -140,5 +140,24 @@ def token_span_sql(starts: str, ends: str, start: str, end: str) -> str:
     )
 
 
+def token_spans_in_text_sql(text: str, spans: str) -> str:
+    """Disjoint character spans (in order) as token spans, from the text alone; those touching no token vanish.
+
+    Tokens are counted between the bounds of the spans.  A word that a bound cuts counts on both of its sides,
+    so one of the two is taken off.
+    """
+    def counted(t, m, b, cut):
+        piece = bind("if(i = 0, 0, get({b}, i - 1))".format(b=b), lambda lo: f"substring({t}, {lo} + 1, x - {lo})")
+        sizes = f"transform({b}, (x, i) -> size({tokenize_sql(piece)}) - get({cut}, i))"
+        return bind(prefix_ends_sql(sizes), lambda n: (
+            f"filter(transform({m}, (s, i) -> named_struct('start', get({n}, 2 * i), 'end', get({n}, 2 * i + 1) + get({cut}, 2 * i + 1))), "
+            "s -> s.`end` > s.start)"))
+
+    cuts = lambda t, b: f"transform({b}, x -> int(x > 0 and substring({t}, x, 2) rlike {sql_text(f'[{WORD_CLASS}]' + '{2}')}))"
+    return bind(text, lambda t: bind(spans, lambda m: bind(
+        f"flatten(transform({m}, s -> array(greatest(s.start, 0), greatest(s.`end`, 0))))",
+        lambda b: bind(cuts(t, b), lambda cut: counted(t, m, b, cut)))))
+
+
 def token_span(starts: str, ends: str, start: str, end: str) -> Column:
     return F.expr(token_span_sql(starts, ends, start, end))

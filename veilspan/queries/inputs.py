@@ -24,6 +24,14 @@ GOLD_PATTERN = (
 PRED_PATTERN = r"[A-Za-z0-9._\-]*@[A-Za-z0-9.\-]+|[0-9][0-9.\-]{3,}[0-9]|\p{Lu}\p{L}{11,}"
 
 
+# What Spark searches: the same matches, but a run of letters that no @ follows is not gone back over, and a
+# text without an @ is not searched for addresses at all.
+_SEARCHED = {
+    side: (pattern.replace(mail, f"{mail}+", 1), pattern.split("|", 1)[1])
+    for side, pattern, mail in (("gold", GOLD_PATTERN, r"[A-Za-z0-9._%+\-]+"), ("pred", PRED_PATTERN, r"[A-Za-z0-9._\-]*"))
+}
+
+
 # --- documents as candidate rows -------------------------------------------------------
 def documents(spark: SparkSession, root: str) -> DataFrame:
     return load_text(spark, root, "documents", "doc_id", "text", "lang", "source").select(
@@ -38,8 +46,9 @@ def tokenized(spark: SparkSession, root: str) -> DataFrame:
 def candidates(spark: SparkSession, root: str) -> DataFrame:
     """``id, subject, speaker_role, text, tokens, gold_*, pred_*``."""
     df = documents(spark, root).withColumn("tokens", F.expr(T.tokenize_sql("text")))
-    for side, pattern in (("gold", GOLD_PATTERN), ("pred", PRED_PATTERN)):
-        df = df.withColumn(f"{side}_chars", T.regex_spans("text", pattern))
+    for side, (full, plain) in _SEARCHED.items():
+        spans = F.when(F.contains("text", F.lit("@")), T.regex_spans("text", full)).otherwise(T.regex_spans("text", plain))
+        df = df.withColumn(f"{side}_chars", spans)
         df = df.withColumn(f"{side}_labels", L.labels_of_text("text", "tokens", f"{side}_chars"))
     return df
 
