@@ -13,7 +13,7 @@ bucket is too large (fifteen free bits hold at most that many fingerprints).
 from __future__ import annotations
 
 import random
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -41,11 +41,18 @@ def fingerprint(text: bytes, size: int = 4, seed: int = 42) -> int:
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(parts) - size + 1)
     first, last = starts[:n].tolist(), ends[min(size, len(parts)) - 1:].tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for k in range(0, n, BLOCK):
-        block = [digest(joined[x:y], seed) for x, y in zip(first[k:k + BLOCK], last[k:k + BLOCK])]
-        bytes_of = np.array(block, np.uint64).astype("<u8").view(np.uint8).reshape(-1, 8)
+    digest = xxhash.xxh64_intdigest
+    return majority(np.array([digest(joined[x:y], seed) for x, y in zip(first[k:k + BLOCK], last[k:k + BLOCK])], np.uint64)
+                    for k in range(0, n, BLOCK))
+
+
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half of all hashes."""
+    ones, n = np.zeros(64, np.int64), 0
+    for block in blocks:
+        bytes_of = block.astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(bytes_of, axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(block)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
