@@ -2,19 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from veilspan.session import written
 
-from veilspan.session import cut_lineage
-
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Like ``cut_lineage``; the shuffle files that made the table are removed when it is written, not at some later collection."""
-    conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, None)
-    conf.set(CLEANUP, "true")
-    try:
-        return cut_lineage(df)
-    finally:
-        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+__all__ = ["written"]

@@ -156,11 +156,11 @@ def work_points(spark, root):
 BOOSTS = {"title": 2.0, "body": 1.0}
 
 
-def _corpus(spark, root, text=None):
+def _corpus(spark, root, text=None, *more):
     t = F.col("text") if text is None else text
-    docs = I.load_text(spark, root, "documents", "doc_id", "text").withColumn("text", t)
-    return docs.select("doc_id", F.substring_index("text", "\n", 1).alias("title"), "text").select(
-        "doc_id", "title", F.expr("substring(text, length(title) + 2)").alias("body"))
+    docs = I.load_text(spark, root, "documents", "doc_id", "text", *more).withColumn("text", t)
+    return docs.select("doc_id", F.substring_index("text", "\n", 1).alias("title"), "text", *more).select(
+        "doc_id", "title", F.expr("substring(text, length(title) + 2)").alias("body"), *more)
 
 
 def _queries(spark, root):
@@ -193,8 +193,7 @@ def bm25_search(spark, root):
 @query("l12_index_search", f"WITH {_bm25_sql()} SELECT query_id, rank, doc_id, round(score, 5) AS score FROM hits WHERE rank <= 10")
 def index_search(spark, root):
     """The same hits from the block-max index; languages share blocks."""
-    docs = _corpus(spark, root).join(I.load(spark, root, "documents").select("doc_id", "lang"), "doc_id")
-    hits = W.search(W.build_index(docs, BOOSTS, cluster=F.col("lang")), _queries(spark, root)).hits
+    hits = W.search(W.build_index(_corpus(spark, root, None, "lang"), BOOSTS, cluster=F.col("lang")), _queries(spark, root)).hits
     return hits.select("query_id", "rank", "doc_id", F.round("score", 5).alias("score"))
 
 
